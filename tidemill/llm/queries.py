@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import base, quality, rules, toxicity
+from . import base, jaccard, quality, rules, toxicity
 
 
 def _held_out(mod: int, remainder: int) -> Column:
@@ -23,11 +23,15 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.apply_rules(docs, rules.fit_ratio(docs, labels.where("quality = 1")))
 
 
+def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(base.table(spark, sf_dir, "documents"), n=3, percent=90)
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = base.table(spark, sf_dir, "documents"), base.table(spark, sf_dir, "labels")
     model = toxicity.fit_toxicity(docs, labels, train=base.fold("doc_id", 5) != 0)
     return quality.score_documents(docs, model, threshold=0.5).select("doc_id", _held_out(5, 0).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_quality_rules, op8_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_quality_rules, op7_ngram_jaccard_join, op8_toxicity)}
 ORACLES: dict[str, str] = {}
