@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import base, jaccard, quality, rules, toxicity
+from . import base, jaccard, packing, quality, rules, toxicity
 
 
 def _held_out(mod: int, remainder: int) -> Column:
@@ -33,5 +33,17 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(docs, model, threshold=0.5).select("doc_id", _held_out(5, 0).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_quality_rules, op7_ngram_jaccard_join, op8_toxicity)}
+def byte_bpe_spec() -> str:
+    """JSON of the public byte-level BPE that the packing contract names."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        return f.read()
+
+
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(base.table(spark, sf_dir, "documents"), byte_bpe_spec(), end_id=2, capacity=1024)
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_quality_rules, op7_ngram_jaccard_join, op8_toxicity, op10_best_fit_packing)}
 ORACLES: dict[str, str] = {}
