@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import base, jaccard, packing, quality, rules, toxicity
+from . import base, jaccard, packing, quality, rules, topk, toxicity, urls
 
 
 def _held_out(mod: int, remainder: int) -> Column:
@@ -23,6 +23,14 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.apply_rules(docs, rules.fit_ratio(docs, labels.where("quality = 1")))
 
 
+def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.exact_top_k(base.table(spark, sf_dir, "embeddings"), k=5, every=50)
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.filter_urls(base.table(spark, sf_dir, "pages"))
+
+
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(base.table(spark, sf_dir, "documents"), n=3, percent=90)
 
@@ -45,5 +53,36 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(base.table(spark, sf_dir, "documents"), byte_bpe_spec(), end_id=2, capacity=1024)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_quality_rules, op7_ngram_jaccard_join, op8_toxicity, op10_best_fit_packing)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_quality_rules, op3_exact_top_k, op4_url_filter, op7_ngram_jaccard_join, op8_toxicity, op10_best_fit_packing)}
+ORACLES: dict[str, str] = {
+    "op3_exact_top_k": """
+        WITH good AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::DOUBLE) AS v FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+              AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+        scored AS (
+            SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::BIGINT AS score
+            FROM good q JOIN good c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM scored)
+        SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5""",
+    "op4_url_filter": """
+        WITH split AS (
+            SELECT page_id,
+                coalesce(translate(regexp_extract(url, '^[\\s\\S]*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+                coalesce(regexp_extract(url, '^[\\s\\S]*?://[^/?#]*([^?#]*)', 1), '') AS path
+            FROM pages),
+        ruled AS (
+            SELECT *, CASE
+                WHEN ('.' || host LIKE '%.example.org') AND starts_with(path, '/en/1') THEN 'example.org/en/1'
+                WHEN ('.' || host LIKE '%.example.org') AND starts_with(path, '/es/') THEN 'example.org/es/'
+                WHEN ('.' || host LIKE '%.com') AND starts_with(path, '/fr/') THEN 'com/fr/'
+                WHEN ('.' || host LIKE '%.com') AND starts_with(path, '/de/') THEN 'com/de/'
+                WHEN ('.' || host LIKE '%.org') AND starts_with(path, '/') THEN 'org/' END AS rule
+            FROM split)
+        SELECT page_id, host, path, rule, CASE
+            WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
+            WHEN '.' || host LIKE '%spam%' OR '.' || host LIKE '%cheap-%' OR '.' || host LIKE '%casino%' OR '.' || host LIKE '%pills%'
+                OR '.' || host LIKE '%adult%' OR path LIKE '%/ads/%' OR path LIKE '%/login%' OR path LIKE '%.exe' THEN 'block'
+            ELSE 'allow' END AS verdict
+        FROM ruled""",
+}
