@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import base, jaccard, packing, quality, rules, topk, toxicity, urls
+from . import base, jaccard, packing, quality, rules, spm, topk, toxicity, urls
 
 
 def _held_out(mod: int, remainder: int) -> Column:
@@ -41,6 +41,14 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(docs, model, threshold=0.5).select("doc_id", _held_out(5, 0).alias("held_out"), "score", "predicted")
 
 
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
+        raw = f.read()
+    return spm.encode_documents(base.table(spark, sf_dir, "documents"), raw)
+
+
 def byte_bpe_spec() -> str:
     """JSON of the public byte-level BPE that the packing contract names."""
     import public_tokenizers
@@ -53,7 +61,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(base.table(spark, sf_dir, "documents"), byte_bpe_spec(), end_id=2, capacity=1024)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_quality_rules, op3_exact_top_k, op4_url_filter, op7_ngram_jaccard_join, op8_toxicity, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_quality_rules, op3_exact_top_k, op4_url_filter, op7_ngram_jaccard_join, op8_toxicity, op9_sentencepiece, op10_best_fit_packing)}
 ORACLES: dict[str, str] = {
     "op3_exact_top_k": """
         WITH good AS (
