@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import base, jaccard, packing, pitman_yor, quality, rules, spm, topk, toxicity, urls
+from . import base, jaccard, packing, pii, pitman_yor, quality, rules, spm, topk, toxicity, urls
 
 
 def _held_out(mod: int, remainder: int) -> Column:
@@ -31,6 +31,11 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(base.table(spark, sf_dir, "pages"))
 
 
+def op5_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = base.table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.replace_personal_data(docs, key="tidemill-surrogates")
+
+
 def op6_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = base.table(spark, sf_dir, "documents")
     held = _held_out(7, 2)
@@ -69,7 +74,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(base.table(spark, sf_dir, "documents"), byte_bpe_spec(), end_id=2, capacity=1024)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_quality_rules, op3_exact_top_k, op4_url_filter, op6_pitman_yor, op7_ngram_jaccard_join, op8_toxicity, op9_sentencepiece, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_quality_rules, op3_exact_top_k, op4_url_filter, op5_pii_surrogates, op6_pitman_yor, op7_ngram_jaccard_join, op8_toxicity, op9_sentencepiece, op10_best_fit_packing)}
 ORACLES: dict[str, str] = {
     "op3_exact_top_k": """
         WITH good AS (
