@@ -1,16 +1,20 @@
-"""Exponential recursions y = (1 - a) y + a x without a window over whole rows.
+"""Exponential recursions y = (1 - a) y + a x that no task needs a whole series for.
 
-The recursion is affine in the state it starts from, so blocks of a series compose: one pass
-reduces each time block to a summary, the summaries of a series are folded in order, and a second
-pass runs each block from its entry state. Blocks are cut by time, so no task needs a whole series.
+The recursion is affine in the state it starts from, so blocks of a series compose. Blocks are cut by
+time. One pass reduces each block to a summary of fixed size, the summaries of a series are
+folded in order, and a second pass runs each block from its entry state. A row's value hangs on all
+rows before it, which window frames cannot express; so the two passes are Arrow-grouped numpy code.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 @dataclass(frozen=True)
@@ -32,95 +36,110 @@ def wilder(column: str, out: str, n: int) -> Smooth:
     return Smooth(column, out, 1.0 / n, n)
 
 
-#: 256 hourly bars.
-BLOCK_SECONDS = 256 * 3600
-
-_STATE = "struct<y:double,gap:int,seen:int,total:double>"
-
-
-def _step(s: Smooth, state: Column, x: Column) -> Column:
-    """The state after one row: value, rows since the last observation, observations and their sum while seeding."""
-    y, gap, seen, total = state["y"], state["gap"], state["seen"], state["total"]
-    w = F.pow(F.lit(1 - s.alpha), gap + 1)
-    moved = (w * y + F.lit(s.alpha) * x) / (w + F.lit(s.alpha))
-    seeding = seen + 1 < s.seed
-    seeded = F.when(seen + 1 == s.seed, (total + x) / s.seed)
-    value = F.when(seeding, F.lit(None).cast("double")).otherwise(F.coalesce(seeded, moved))
-    taken = F.struct(value.alias("y"), F.lit(0).alias("gap"), F.least(seen + 1, F.lit(s.seed)).alias("seen"), F.when(seeding, total + x).otherwise(F.lit(0.0)).alias("total"))
-    skipped = F.struct(y.alias("y"), (gap + 1).alias("gap"), seen.alias("seen"), total.alias("total"))
-    return F.when(x.isNull(), skipped).otherwise(taken).cast(_STATE)
-
-
-def _start() -> Column:
-    return F.struct(F.lit(None).cast("double").alias("y"), F.lit(0).alias("gap"), F.lit(0).alias("seen"), F.lit(0.0).alias("total")).cast(_STATE)
+#: 2048 hourly bars.
+BLOCK_SECONDS = 2048 * 3600
+
+#: Value (nan before the seed), rows since the last observation, observations while seeding, their sum.
+State = tuple[float, int, int, float]
+START: State = (np.nan, 0, 0, 0.0)
+
+
+def run(s: Smooth, x: np.ndarray, state: State) -> tuple[np.ndarray, State]:
+    """Values of a block and the state at its end. A missing input repeats the value and weakens it."""
+    y, gap, seen, total = state
+    decay, out = 1 - s.alpha, np.empty(len(x))
+    for i, v in enumerate(x.tolist()):
+        if v != v:
+            gap += 1
+        else:
+            if seen + 1 < s.seed:
+                total += v
+            elif seen < s.seed:
+                y = (total + v) / s.seed
+            else:
+                w = decay ** (gap + 1)
+                y = (w * y + s.alpha * v) / (w + s.alpha)
+            seen, gap = min(seen + 1, s.seed), 0
+        out[i] = y
+    return out, (y, gap, seen, total)
+
+
+def summary(s: Smooth, x: np.ndarray) -> dict:
+    """A block's first observations with their places, and the affine maps from each of them to the block's last one."""
+    at = np.flatnonzero(~np.isnan(x))
+    k = min(len(at), s.seed)
+    a, b = [1.0], [0.0]
+    for j in range(len(at) - 1, 0, -1):
+        w = (1 - s.alpha) ** int(at[j] - at[j - 1])
+        c, g = w / (w + s.alpha), s.alpha * x[at[j]] / (w + s.alpha)
+        m, n = a[0] * c, a[0] * g + b[0]
+        if j <= k:
+            a, b = [m, *a][: k + 1], [n, *b][: k + 1]
+        else:
+            a, b = [m], [n]
+    return {"n": len(x), "places": at[:k].tolist(), "values": x[at[:k]].tolist(), "a": a[: max(1, k)], "b": b[: max(1, k)], "last": int(at[-1]) if len(at) else -1}
+
+
+def advance(s: Smooth, state: State, b: dict) -> State:
+    """The state after a block of that summary: its first observations one by one, the others by the map."""
+    y, gap, seen, total = state
+    places, values = b["places"], b["values"]
+    if not len(places):
+        return y, gap + b["n"], seen, total
+    k = min(len(places), max(1, s.seed - seen))
+    head = np.full(int(places[k - 1]) + 1, np.nan)
+    head[list(places[:k])] = values[:k]
+    _, (y, _, seen, total) = run(s, head, state)
+    # the map of the k-th observation; while the seed is not complete there are no others
+    return b["a"][k - 1] * y + b["b"][k - 1], b["n"] - 1 - b["last"], seen, total
+
+
+_SUMMARY = "series_id string, block long, spec int, n int, places array<int>, values array<double>, a array<double>, b array<double>, last int"
+_ENTRY = "series_id string, block long, spec int, y double, gap int, seen int, total double"
+
+
+def _numbers(column: pa.ChunkedArray) -> np.ndarray:
+    return column.cast(pa.float64()).to_pandas().to_numpy(dtype=float, na_value=np.nan)
 
 
 def smooth(df: DataFrame, specs: list[Smooth], *, block_seconds: int = BLOCK_SECONDS) -> DataFrame:
-    """``df`` (series_id, ts, ...) with each spec's column; missing inputs repeat the value and weaken it by their number.
+    """``df`` (series_id, ts, ...) with each spec's column, ordered by ``ts`` inside a block.
 
-    A block may hold at most the rows of ``block_seconds``; choose it for some hundreds of bars.
+    A task holds the rows of ``block_seconds`` of a series; choose it for some thousands of bars.
     """
-    block = F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / block_seconds)
+    at = F.unix_timestamp(F.col("ts").cast("timestamp"))
+    keyed = df.withColumn("__block", ((at - F.pmod(at, F.lit(block_seconds))) / block_seconds).cast("long"))
     inputs = sorted({s.column for s in specs})
-    rows = F.array_sort(F.collect_list(F.struct("ts", *inputs)))
-    blocks = df.groupBy("series_id", block.alias("block")).agg(rows.alias("rows"))
-
-    # what a block makes of any entry state: for seeding and gaps the number of rows and the observations matter
-    def summary(s: Smooth) -> Column:
-        seen = F.filter(F.transform("rows", lambda r, i: F.struct(i.alias("i"), r[s.column].alias("x"))), lambda e: e["x"].isNotNull())
-        lead = F.slice(seen, 1, s.seed)
-        return F.struct(
-            F.size("rows").alias("n"),
-            lead.alias("lead"),
-            F.transform(F.sequence(F.lit(0), F.least(F.size(seen), F.lit(s.seed))), lambda k: _after(s, seen, k)).alias("after"),
-            F.size(seen).alias("count"),
-        )
-
-    def _after(s: Smooth, seen: Column, k: Column) -> Column:
-        """Affine map from the value at the k-th observation (from 1) to the block's end."""
-        head = F.when(k > 0, F.element_at(seen, F.greatest(k, F.lit(1)))["i"]).otherwise(F.lit(-1))
-        rest = F.filter(seen, lambda e: e["i"] > head)
-        def onward(acc: Column, e: Column) -> Column:
-            w = F.pow(F.lit(1 - s.alpha), e["i"] - acc["at"])
-            return F.struct((acc["a"] * w / (w + s.alpha)).alias("a"), ((acc["b"] * w + s.alpha * e["x"]) / (w + s.alpha)).alias("b"), e["i"].cast("int").alias("at"))
-
-        return F.aggregate(rest, F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("b"), head.cast("int").alias("at")), onward)
-
-    def across(s: Smooth, state: Column, b: Column) -> Column:
-        """Entry state of the block after ``b``: the first observations one by one while seeding or behind a gap, then the affine map."""
-        need = F.when(state["seen"] < s.seed, s.seed - state["seen"]).otherwise(F.lit(1))
-        k = F.least(need, b["count"])
-        walked = F.aggregate(
-            F.slice(b["lead"], 1, F.greatest(k, F.lit(1))),
-            F.struct(state.alias("s"), F.lit(-1).alias("at")),
-            lambda acc, e: F.struct(
-                _step(s, F.struct(acc["s"]["y"].alias("y"), (acc["s"]["gap"] + e["i"] - acc["at"] - 1).alias("gap"), acc["s"]["seen"].alias("seen"), acc["s"]["total"].alias("total")), e["x"]).alias("s"),
-                e["i"].cast("int").alias("at"),
-            ),
-        )
-        m = F.element_at(b["after"], k + 1)
-        end = F.struct((m["a"] * walked["s"]["y"] + m["b"]).alias("y"), (b["n"] - 1 - m["at"]).alias("gap"), walked["s"]["seen"].alias("seen"), walked["s"]["total"].alias("total")).cast(_STATE)
-        none = F.struct(state["y"].alias("y"), (state["gap"] + b["n"]).alias("gap"), state["seen"].alias("seen"), state["total"].alias("total")).cast(_STATE)
-        return F.when(b["count"] == 0, none).otherwise(end)
-
-    named = {f"__{i}": s for i, s in enumerate(specs)}
-    summed = blocks.select("series_id", "block", *(summary(s).alias(k) for k, s in named.items()))
-    ordered = summed.groupBy("series_id").agg(F.array_sort(F.collect_list(F.struct("block", *named))).alias("all"))
-
-    def entries(k: str, s: Smooth) -> Column:
-        start = F.struct(_start().alias("s"), F.array().cast(f"array<{_STATE}>").alias("out"))
-        return F.aggregate("all", start, lambda acc, b: F.struct(across(s, acc["s"], b[k]).alias("s"), F.concat(acc["out"], F.array(acc["s"])).alias("out")), lambda acc: acc["out"])
-
-    carried = ordered.select("series_id", F.transform("all", lambda b: b["block"]).alias("block"), *(entries(k, s).alias(k) for k, s in named.items()))
-    carried = carried.select("series_id", F.explode(F.arrays_zip("block", *named)).alias("z")).select("series_id", "z.*")
-    keyed = df.withColumn("block", block)
-    # inside a block the recursion runs over its own sorted rows from the entry state
-    joined = blocks.join(carried, ["series_id", "block"])
-
-    def run(k: str, s: Smooth) -> Column:
-        states = F.aggregate("rows", F.array(F.col(k)), lambda acc, r: F.concat(acc, F.array(_step(s, F.element_at(acc, -1), r[s.column]))))
-        return F.transform(F.slice(states, 2, F.size("rows")), lambda x: x["y"])
-
-    values = joined.select("series_id", F.transform("rows", lambda r: r["ts"]).alias("ts"), *(run(k, s).alias(s.out) for k, s in named.items()))
-    values = values.select("series_id", F.explode(F.arrays_zip("ts", *(s.out for s in specs))).alias("z")).select("series_id", "z.*")
-    return keyed.drop("block").join(values, ["series_id", "ts"], "left")
+
+    def reduce(t: pa.Table) -> pa.Table:
+        t = t.sort_by("ts")
+        rows = [{"series_id": t["series_id"][0].as_py(), "block": t["__block"][0].as_py(), "spec": i, **summary(s, _numbers(t[s.column]))} for i, s in enumerate(specs)]
+        return pa.Table.from_pylist(rows, schema=_arrow(_SUMMARY))
+
+    def fold(t: pa.Table) -> pa.Table:
+        rows = []
+        states: dict[int, State] = {}
+        for r in t.sort_by("block").to_pylist():
+            state = states.get(r["spec"], START)
+            rows.append((r["series_id"], r["block"], r["spec"], *state))
+            states[r["spec"]] = advance(specs[r["spec"]], state, r)
+        return pa.table(list(map(list, zip(*rows, strict=True))), schema=_arrow(_ENTRY))
+
+    def fill(left: pa.Table, right: pa.Table) -> pa.Table:
+        left = left.sort_by("ts").drop_columns(["__block"])
+        states = {r["spec"]: (r["y"], r["gap"], r["seen"], r["total"]) for r in right.to_pylist()}
+        for i, s in enumerate(specs):
+            y, _ = run(s, _numbers(left[s.column]), states.get(i, START))
+            left = left.append_column(s.out, pa.array(y, mask=np.isnan(y)))
+        return left
+
+    kept = keyed.select(*df.columns, "__block")
+    sums = kept.select("series_id", "ts", "__block", *inputs).groupBy("series_id", "__block").applyInArrow(reduce, _SUMMARY)
+    entries = sums.groupBy("series_id").applyInArrow(fold, _ENTRY)
+    schema = T.StructType([*df.schema.fields, *(T.StructField(s.out, T.DoubleType()) for s in specs)])
+    return kept.groupBy("series_id", "__block").cogroup(entries.groupBy("series_id", "block")).applyInArrow(fill, schema)
+
+
+def _arrow(ddl: str) -> pa.Schema:
+    kinds = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "array<int>": pa.list_(pa.int32()), "array<double>": pa.list_(pa.float64())}
+    return pa.schema([(n, kinds[k]) for n, k in (x.split() for x in ddl.split(", "))])
