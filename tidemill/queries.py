@@ -765,3 +765,26 @@ def knn_labels(spark, d):
 def flagship(spark, d):
     """Ticks to bars, features, regimes, and what followed each regime."""
     return rounded(classified(spark, d).groupBy("regime").agg(F.count(F.lit(1)).alias("bars"), F.avg("fwd").alias("mean_fwd"), F.avg("adx").alias("adx")))
+
+
+# --- models (no SQL) --------------------------------------------------------------------------------------------------
+
+
+@register()
+def window_regression(spark, d):
+    from .operators.models import WindowRegressor
+
+    s = events.training_signals(hourly(spark, d), "close").dropna(subset=["trend", "volatility"])
+    w = events.sliding_windows(s, 8, "high", "low", "close")
+    r = WindowRegressor()
+    return r.predict(r.fit(w), w).select("series_id", "ts", "predicted_trend", "predicted_volatility")
+
+
+@register()
+def pca_clusters(spark, d):
+    from .operators import models
+
+    names = ("atr_ratio", "adx", "rsi", "bb_position", "ema_alignment", "stoch_k", "roc_12")
+    s = features(spark, d).dropna(subset=list(names))
+    projected, _ = models.principal_components(models.standardise(s, *names), 6)
+    return models.clusters(projected, 5).select("series_id", "ts", "cluster")
