@@ -77,8 +77,8 @@ def test_ratio_equals_brute_force(spark):
         np.add.at(raw, at, 1)
         if i in (0, 2):
             np.add.at(target, at, 1)
-    p = (raw + 1 / 256) / (raw.sum() + 1)
-    ratio = np.log((target + 256 * p) / (target.sum() + 256) / p)
+    p = (raw + 4 / 256) / (raw.sum() + 4)
+    ratio = np.log((target + 1024 * p) / (target.sum() + 1024) / p)
     np.testing.assert_allclose(model.ratio, ratio)
     got = {r.doc_id: r.ratio for r in rules.apply_rules(docs, model).collect()}
     for i, at in enumerate(feats):

@@ -84,10 +84,13 @@ def base_failed(n_words: np.ndarray, n_repeat_words: np.ndarray) -> np.ndarray:
     return (n_words < MIN_WORDS) | (100 * n_repeat_words > MAX_REPEAT_PERCENT * n_words)
 
 
-def fit_ratio(docs: DataFrame, trusted: DataFrame, *, bits: int = 16, threshold: float = -0.15, smoothing: float = 1.0) -> RatioModel:
-    """Count both multinomials over all of ``docs``; ``trusted`` has the ``doc_id`` of the target's rows.
+def fit_ratio(docs: DataFrame, trusted: DataFrame, *, bits: int = 12, threshold: float = -0.15, smoothing: float = 4.0) -> RatioModel:
+    """Count both multinomials over all of ``docs``.
 
-    Null texts hold no n-grams; null ids are never trusted; several ``trusted`` rows of one id count once.
+    A few thousand buckets with some pseudo-counts each, dealt by the raw corpus, keep words that a small
+    target happens to lack near a ratio of 0, so that clean texts outside the target do not suffer.
+
+    ``trusted`` has the ``doc_id`` of the target's rows. Null texts hold no n-grams; null ids are never trusted; several ``trusted`` rows of one id count once.
     Without a trusted text, or without any, all ratios are 0 and every document meets a threshold of at most 0.
     """
     ids = trusted.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("trusted_id")).distinct()
