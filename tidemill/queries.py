@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from . import functions as fn
 from .operators import align, bars, events, indicators, labels, regimes, rolling, stats
 from .operators import recursive as rec
+from .session import importable
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -38,7 +39,7 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return importable(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def hourly(spark: SparkSession, sf_dir: str, seconds: int = HOUR) -> DataFrame:
