@@ -171,11 +171,25 @@ def drop_sparse(spark, d):
 # --- windows and indicators -----------------------------------------------------------------------------------------
 
 
-@register(f"""WITH {bars_sql()}, s AS (SELECT series_id, ts, {agg_sql('avg', 'close', 14)} AS sma_14, {agg_sql('avg', 'close', 60)} AS sma_60,
-    {agg_sql('stddev_samp', 'close', 20)} AS std_20 FROM bars) {final('s')}""")
-def rolling_mean_std(spark, d):
+_MEANS = f"""WITH {bars_sql()}, s AS (SELECT series_id, ts, {agg_sql('avg', 'close', 14)} AS sma_14, {agg_sql('avg', 'close', 60)} AS sma_60,
+    {agg_sql('stddev_samp', 'close', 20)} AS std_20 FROM bars) {final('s')}"""
+
+
+def means(df: DataFrame) -> DataFrame:
     c = F.col("close")
-    return rounded(hourly(spark, d).select("series_id", "ts", rolling.mean(c, 14).alias("sma_14"), rolling.mean(c, 60).alias("sma_60"), rolling.std(c, 20).alias("std_20")))
+    return df.withColumns({"sma_14": rolling.mean(c, 14), "sma_60": rolling.mean(c, 60), "std_20": rolling.std(c, 20)})
+
+
+@register(_MEANS)
+def rolling_mean_std(spark, d):
+    return rounded(means(hourly(spark, d)).select("series_id", "ts", "sma_14", "sma_60", "std_20"))
+
+
+@register(_MEANS)
+def rolling_in_blocks(spark, d):
+    """The same over time blocks with copied rows, as for one very long series."""
+    s = rolling.in_blocks(hourly(spark, d), means, rows=59, block_seconds=40 * HOUR)
+    return rounded(s.select("series_id", "ts", "sma_14", "sma_60", "std_20"))
 
 
 _LOW14, _HIGH14 = agg_sql("min", "low", 14), agg_sql("max", "high", 14)
