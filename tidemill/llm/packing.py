@@ -107,9 +107,12 @@ def token_pieces(docs: DataFrame, spec: str, *, end_id: int, capacity: int) -> D
     The first piece takes what the others leave, so that they fill whole sequences.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def ready():
         tok = load_tokenizer(spec)
-        cache = tokens.UnitCache(lambda units: [e.ids for e in tok.encode_batch_fast(units, add_special_tokens=False)])
+        return tok, tokens.UnitCache(lambda units: [e.ids for e in tok.encode_batch_fast(units, add_special_tokens=False)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tok, cache = tokens.kept(("byte-level", spec), ready)
         for b in batches:
             for s in T.slices(b.column(1)):
                 whole = tokens.has_wide_space(s)

@@ -246,7 +246,7 @@ def encode_documents(docs: DataFrame, raw_model: bytes, *, threads: int = 2) ->
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = Encoder(Model(raw_model), threads)
+        enc = tokens.kept(("sentencepiece", raw_model, threads), lambda: Encoder(Model(raw_model), threads))
         for b in batches:
             step = 512  # rows whose ids are held at once
             for at in range(0, b.num_rows, step):

@@ -50,6 +50,17 @@ class UnitCache:
         return spread(self.ids, self.start[where], self.size[where]), self.size[where].astype(np.int64)
 
 
+_KEPT: dict[tuple, object] = {}
+
+
+def kept(key: tuple, make: Callable[[], object]) -> object:
+    """What ``make`` gave for ``key``; a Python worker that runs several tasks keeps the last one."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
 def spread(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """flat[start[0] : start[0] + size[0]], flat[start[1] : ...], ... as one array."""
     size = size.astype(np.int64)
