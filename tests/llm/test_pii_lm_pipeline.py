@@ -69,7 +69,7 @@ def test_clean_and_repeated_rows(replaced):
 
 
 def test_surrogates_are_distinct_and_never_real(spark):
-    # 300 of the 900 three-digit-free short units collide at first
+    # sixty units of the hundred two-digit ones collide at first
     units = spark.createDataFrame([("ssn", f"{i:02d}") for i in range(60)] + [("given_f", "mary")], "kind string, canon string")
     rows = pii.distinct_surrogates(units, "k").collect()
     ssn = [r for r in rows if r.kind == "ssn"]
