@@ -62,6 +62,22 @@ def test_names_keep_gender_script_and_identity(replaced):
     assert re.search("(a|ina|elle)$", given) and "Poppins" not in t and "Петров" not in t
 
 
+def test_whole_secrets_and_phones_of_all_forms(spark):
+    long, jwt, number = "aB3" * 133 + "z", "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.SflKxwRJSMeKKF2QT4fwpMeJf36POk6yJV", "4111111111111112"
+    phones = ["555 123 4567", "+15551234567", "+33 1 23 45 67 89", "+49 30 123456", "030-1234567", "01 23 45 67 89"]
+    clean = [f"order {number} of", "see 1,234 567 8901 or 2024-05-06", "let token = request.headers.get now"]
+    texts = [f"token = {long}.", f"token = {jwt} end", f"secret: {number}", *(f"Call {p} now" for p in phones), *clean]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.text, r.n_entities) for r in pii.replace_personal_data(df, key="k").collect()}
+    assert [got[i][1] for i in range(len(texts))] == [1] * (3 + len(phones)) + [0] * len(clean)
+    assert [got[i][0] for i in range(3 + len(phones), len(texts))] == clean
+    for i, old in enumerate(texts[: 3 + len(phones)]):
+        assert re.sub("[A-Za-z]", "a", re.sub("[0-9]", "0", got[i][0])) == re.sub("[A-Za-z]", "a", re.sub("[0-9]", "0", old))
+    assert got[0][0][8:-1] != long and long[-40:] not in got[0][0] and number not in got[2][0]
+    assert not any(part in got[1][0] for part in jwt.split("."))
+    assert not any(p in got[3 + i][0] for i, p in enumerate(phones))
+
+
 def test_clean_and_repeated_rows(replaced):
     by = {r.doc_id: r for r in replaced}
     assert (by[5].text, by[5].n_entities, by[6].text, by[7].text, by[7].n_entities) == (TEXTS[5], 0, "", None, 0)

@@ -26,20 +26,29 @@ _TITLE = "(?:" + "|".join(MALE_TITLES + FEMALE_TITLES + OPEN_TITLES) + r")\b\.?"
 _GIVEN = "(?:" + "|".join(n.capitalize() for n in MALE_NAMES + FEMALE_NAMES) + ")"
 _CAPITAL = r"\p{Lu}[\p{L}'’-]{1,40}"
 
-#: Possessive and bounded, so that no text makes it backtrack far.
+_PHONES = (
+    r"(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\) ?|(?<=\d[ .-])\d{2,4}[ .-]|\d{3}[.-])\d{3,4}[ .-]\d{3,4}",
+    r"\+(?:[ .()/-]{0,2}+\d){7,15}+",  # international, grouped in any way or not at all
+    r"(?<!\d[ .,-])(?:\d{3} \d{3} \d{4}|0\d(?:[ .-]\d{2}){4})(?! \d)",
+    r"(?<!\d[ .,-])0\d{1,4}[ /-]\d{5,8}",
+)
+
+#: Possessive or bounded, so that no text makes it backtrack far.
 KINDS: dict[str, str] = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@(?:[\p{L}\p{N}-]{1,63}+\.){1,8}\p{L}{2,24}+",
-    "secret": r"(?<=(?i:token|secret|password|passwd|api_key|apikey|access_key)['\"]?\s{0,3}[=:]\s{0,3}['\"]?)[A-Za-z0-9+/_-]{16,256}+",
+    "secret": r"(?<=(?i:token|secret|password|passwd|api_key|apikey|access_key)['\"]?\s{0,3}[=:]\s{0,3}['\"]?)(?=[A-Za-z0-9+/_.~=%$-]{0,64}?[A-Za-z0-9+/_-]{16})[A-Za-z0-9+/_-]++(?:[.~=%$]{1,3}+[A-Za-z0-9+/_-]++)*+",
     "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
     "ip": r"(?<![\p{N}.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?![\p{N}]|\.\d)",
     "ssn": r"(?<![\p{N}-])\d{3}-\d{2}-\d{4}(?![\p{N}-])",
-    "phone": r"(?<![\p{N}\p{L}])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\) ?|(?<=\d[ .-])\d{2,4}[ .-]|\d{3}[.-])\d{3,4}[ .-]\d{3,4}(?![\p{N}])",
+    "phone": rf"(?<![\p{{N}}\p{{L}}])(?:{'|'.join(_PHONES)})(?![\p{{N}}])",
     "card": r"(?<![\p{N}\p{L}])\d(?:[ -]?\d){12,18}(?![\p{N}\p{L}])",
     "name": rf"(?<!\p{{L}})(?:{_TITLE} {_CAPITAL}(?: {_CAPITAL}){{0,2}}|{_GIVEN} {_CAPITAL}(?: {_CAPITAL})?)",
 }
-PATTERN = "|".join(f"(?:{p})" for p in KINDS.values())
+#: Its only group holds what stands behind a secret's keyword.
+PATTERN = "|".join(f"({p})" if k == "secret" else f"(?:{p})" for k, p in KINDS.items())
+_KEYWORD = "(?i:token|secret|passw|api_?key|access_key)"
 #: A text without any of these has no mention.
-_HINT = rf"[@0-9]|(?i:token|secret|passw|api_?key|access_key)|(?<!\p{{L}})(?:{_TITLE}|{_GIVEN}) "
+_HINT = rf"[@0-9]|{_KEYWORD}|(?<!\p{{L}})(?:{_TITLE}|{_GIVEN}) "
 
 _LATIN_SYLLABLES = ("ba", "be", "da", "do", "fa", "ga", "ha", "ka", "ke", "la", "le", "li", "lo", "ma", "me", "mi", "na", "ne", "no", "pa", "ra", "re", "ri", "ro", "sa", "se", "ta", "te", "va", "vi", "wa", "zo")
 _CYRILLIC_SYLLABLES = ("ба", "бе", "ва", "ви", "га", "да", "до", "жи", "за", "ка", "ко", "ла", "ле", "ли", "ло", "ма", "ме", "ми", "на", "не", "но", "па", "ра", "ре", "ро", "са", "се", "та", "те", "фа", "ха", "зо")
@@ -54,9 +63,11 @@ def _array(words: tuple[str, ...]) -> str:
 
 
 def mentions(text: Column) -> Column:
-    """The mentions of a text in order (empty for a null text)."""
-    found = F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
-    return F.when(text.rlike(_HINT), found).otherwise(F.array().cast("array<string>"))
+    """The mentions of a text in order (empty for a null text), and whether each stands behind a secret's keyword."""
+    none = F.array().cast("array<string>")
+    found = F.when(text.rlike(_HINT), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).otherwise(none)
+    secret = F.when(text.rlike(_KEYWORD), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(1))).otherwise(none)
+    return F.zip_with(found, secret, lambda m, s: F.struct(m.alias("mention"), F.coalesce(m == s, F.lit(False)).alias("behind")))
 
 
 def _kind(m: Column) -> Column:
@@ -85,11 +96,15 @@ _ISSUER = "^(?:4|5[1-5]|2[2-7]|3[47]|35|36|30|6011|64|65)"
 
 
 def _units(found: DataFrame) -> DataFrame:
-    """mention, at, raw, kind, canon: the units of distinct mentions that are personal data."""
+    """mention, behind, at, raw, kind, canon: the units of distinct mentions that are personal data."""
     m = F.col("mention")
-    kinds = found.select("mention", _kind(m).alias("kind"))
+    card = F.expr(f"{_digits('mention')} RLIKE '{_ISSUER}' AND {luhn_sum(_digits('mention'))} % 10 = 0")
+    kinds = found.select("mention", "behind", _kind(m).alias("kind"))
+    # a number that is no card is a secret behind the keyword of one, and else nothing
+    kinds = kinds.withColumn("kind", F.when((F.col("kind") != "card") | card, F.col("kind")).when(F.col("behind"), "secret")).where("kind IS NOT NULL")
     single = kinds.where("kind <> 'name'").select(
         "mention",
+        "behind",
         F.lit(0).alias("at"),
         m.alias("raw"),
         "kind",
@@ -98,11 +113,10 @@ def _units(found: DataFrame) -> DataFrame:
                 WHEN 'card' THEN {_digits("mention")} WHEN 'ssn' THEN {_digits("mention")} WHEN 'iban' THEN replace(mention, ' ', '') ELSE mention END"""
         ).alias("canon"),
     )
-    single = single.where(F.expr(f"kind <> 'card' OR (canon RLIKE '{_ISSUER}' AND {luhn_sum('canon')} % 10 = 0)"))
     title = F.regexp_extract(m, rf"^(?:{_TITLE})", 0)
     plain = F.regexp_replace(title, r"\.$", "")
     names = kinds.where("kind = 'name'").withColumns({"titled": F.length(title) > 0, "title": plain, "words": F.split(F.trim(F.regexp_replace("mention", rf"^(?:{_TITLE}) ", "")), " ")})
-    words = names.select("mention", "title", "words", F.posexplode("words").alias("at", "raw"))
+    words = names.select("mention", "behind", "title", "words", F.posexplode("words").alias("at", "raw"))
     first = F.lower(F.col("words")[0])
     gender = (
         F.when(F.col("title").isin(*MALE_TITLES), "m")
@@ -114,14 +128,14 @@ def _units(found: DataFrame) -> DataFrame:
     is_given = (F.col("at") < F.size("words") - 1) & (F.size("words") > 1)
     cyrillic = F.col("raw").rlike(r"\p{IsCyrillic}")
     # Cyrillic surnames end by gender; elsewhere a surname is one unit for all genders
-    named = words.select("mention", "at", "raw", F.when(is_given, F.concat(F.lit("given_"), gender)).when(cyrillic, F.concat(F.lit("surname_"), gender)).otherwise("surname").alias("kind"), F.lower("raw").alias("canon"))
+    named = words.select("mention", "behind", "at", "raw", F.when(is_given, F.concat(F.lit("given_"), gender)).when(cyrillic, F.concat(F.lit("surname_"), gender)).otherwise("surname").alias("kind"), F.lower("raw").alias("canon"))
     return single.unionByName(named)
 
 
 def _surrogate(key: str) -> Column:
     """The candidate of the columns kind, canon and attempt."""
     seed = f"sha2(concat_ws('|', {_sql(key)}, kind, canon, string(attempt)), 256)"
-    r = lambda i, n: f"int(pmod(xxhash64({seed}, {i}), {n}))"
+    r = lambda i, n: f"int(pmod(xxhash64(seed, {i}), {n}))"
     by_char = (
         "array_join(transform(split({text}, ''), (c, i) -> CASE "
         f"WHEN c RLIKE '[0-9]' THEN string({r('i', 10)}) "
@@ -132,7 +146,7 @@ def _surrogate(key: str) -> Column:
         f"WHEN c RLIKE '\\\\p{{{{IsHan}}}}' THEN substr('安白陈丁方高何江李林马宁石王文吴许杨叶张', 1 + {r('i', 20)}, 1) "
         f"WHEN c RLIKE '\\\\p{{{{Lu}}}}' THEN char(65 + {r('i', 26)}) WHEN c RLIKE '\\\\p{{{{L}}}}' THEN char(97 + {r('i', 26)}) ELSE c END), '')"
     )
-    hexed = f"array_join(transform(split(canon, ''), (c, i) -> CASE WHEN c RLIKE '[A-F]' OR canon RLIKE '[A-F]' THEN substr('0123456789ABCDEF', 1 + {r('i', 16)}, 1) ELSE substr('0123456789abcdef', 1 + {r('i', 16)}, 1) END), '')"
+    hexed = lambda digits: f"array_join(transform(split(canon, ''), (c, i) -> substr('{digits}', 1 + {r('i', 16)}, 1)), '')"
     octets = f"array_join(transform(split(canon, '[.]'), (c, i) -> string(CASE length(c) WHEN 1 THEN 1 + {r('i', 9)} WHEN 2 THEN 10 + {r('i', 90)} ELSE 100 + {r('i', 156)} END)), '.')"
     body = f"concat(left(canon, 1), array_join(transform(sequence(1, length(canon) - 2), i -> string({r('i', 10)})), ''))"
     card = f"concat({body}, string(pmod(10 - {luhn_sum(f'concat({body}, {_sql(chr(48))})')} % 10, 10)))"
@@ -154,7 +168,10 @@ def _surrogate(key: str) -> Column:
     plain = by_char.format(text="canon")
     # further attempts of a short unit whose format has no free place left get a longer surrogate
     grown = f"concat({plain}, CASE WHEN attempt >= 32 THEN string(attempt) ELSE '' END)"
-    return F.expr(f"CASE kind WHEN 'email' THEN {email} WHEN 'ip' THEN {octets} WHEN 'card' THEN {card} WHEN 'secret' THEN CASE WHEN canon RLIKE '^(?:[0-9a-f]+|[0-9A-F]+)$' THEN {hexed} ELSE {grown} END {names} ELSE {grown} END")
+    secret = f"CASE WHEN canon RLIKE '^[0-9]*[a-f][0-9a-f]*$' THEN {hexed('0123456789abcdef')} WHEN canon RLIKE '^[0-9]*[A-F][0-9A-F]*$' THEN {hexed('0123456789ABCDEF')} ELSE {grown} END"
+    one = f"CASE kind WHEN 'email' THEN {email} WHEN 'ip' THEN {octets} WHEN 'card' THEN {card} WHEN 'secret' THEN {secret} {names} ELSE {grown} END"
+    # the seed is made once for a unit, not for each character: a secret may be long
+    return F.expr(f"element_at(transform(array({seed}), seed -> {one}), 1)")
 
 
 def distinct_surrogates(units: DataFrame, key: str) -> DataFrame:
@@ -202,15 +219,15 @@ def replace_personal_data(docs: DataFrame, *, key: str, text: str = "text") -> D
     bearing = docs.where(some)
 
     listed = base.stored(bearing.select(F.sha2(text, 256).alias("text_key"), found.alias("found")).dropDuplicates(["text_key"]))
-    distinct = listed.select(F.explode("found").alias("mention")).distinct()
+    distinct = listed.select(F.inline("found")).distinct()
     units = base.stored(_units(distinct))
     solved = units.join(distinct_surrogates(units, key), ["kind", "canon"]).withColumn("shown", _rendered())
-    parts = solved.groupBy("mention").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "shown"))), lambda x: x["shown"]), " ").alias("shown"), F.first("kind").alias("kind"))
+    parts = solved.groupBy("mention", "behind").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "shown"))), lambda x: x["shown"]), " ").alias("shown"), F.first("kind").alias("kind"))
     titled = F.when(F.col("kind").rlike("name|given"), F.concat(F.regexp_extract("mention", rf"^(?:{_TITLE} )?", 0), "shown")).otherwise(F.col("shown"))
-    solved = base.stored(parts.select("mention", titled.alias("shown")))
+    solved = base.stored(parts.select("mention", "behind", titled.alias("shown")))
 
-    each = listed.select("text_key", F.posexplode("found").alias("at", "mention"))
-    joined = each.join(base.bounded_broadcast(solved, BROADCAST_ROWS), "mention", "left")
+    each = listed.select("text_key", F.posexplode("found").alias("at", "m")).select("text_key", "at", "m.*")
+    joined = each.join(base.bounded_broadcast(solved, BROADCAST_ROWS), ["mention", "behind"], "left")
     one = F.struct("at", F.coalesce("shown", "mention").alias("s"), F.col("shown").isNotNull().alias("hit"))
     filled = joined.groupBy("text_key").agg(F.array_sort(F.collect_list(one)).alias("filled"))
 
