@@ -508,6 +508,43 @@ def shifted_ticks(spark, d):
     return rounded(align.shifted_ticks(view_bars(spark, d), purchases(spark, d), 900, "value", 3))
 
 
+def observations(spark: SparkSession, d: str) -> DataFrame:
+    """All events as observations of their own series, the last one by id at each time."""
+    return table(spark, d, "events").groupBy(F.col("event_type").alias("series_id"), "ts").agg(F.max_by("value", "event_id").alias("value"))
+
+
+def all_bars(spark: SparkSession, d: str) -> DataFrame:
+    return hourly(spark, d).select("series_id", "ts", "close")
+
+
+_ALL = f"{bars_sql()}, obs AS (SELECT event_type AS series_id, ts, last(value ORDER BY event_id) AS value FROM events GROUP BY 1, 2)"
+_SLOTS = "e AS (SELECT series_id, time_bucket(INTERVAL '15 minutes', min(ts)) AS a, time_bucket(INTERVAL '15 minutes', max(ts)) AS b FROM obs GROUP BY 1)"
+
+
+@register(f"""WITH {_ALL}, e AS (SELECT series_id, time_bucket(INTERVAL '1 day', max(ts)) AS last FROM obs GROUP BY 1),
+    k AS (SELECT series_id, ts, close, least(time_bucket(INTERVAL '1 day', ts), last) AS at FROM bars JOIN e USING (series_id))
+    SELECT k.series_id, k.ts, round(k.close, 6) AS close, round(coalesce(o.value, 0), 6) AS value FROM k ASOF LEFT JOIN obs o ON k.series_id = o.series_id AND k.at >= o.ts""")
+def asof_align_all(spark, d):
+    return rounded(align.resampled_as_of(all_bars(spark, d), observations(spark, d), DAY, "value"))
+
+
+@register(f"WITH {_ALL} SELECT k.series_id, k.ts, round(coalesce(o.value, -1), 6) AS value FROM bars k ASOF LEFT JOIN obs o ON k.series_id = o.series_id AND k.ts >= o.ts")
+def asof_plain_all(spark, d):
+    s = align.as_of(all_bars(spark, d), observations(spark, d), "value")
+    return rounded(s.select("series_id", "ts", F.coalesce("value", F.lit(-1.0)).alias("value")))
+
+
+_TICKS = ", ".join(
+    f"t{i} AS (SELECT k.series_id, k.ts, CASE WHEN k.at BETWEEN k.a AND k.b THEN round(o.value, 6) END AS tick_{i} FROM (SELECT bars.*, a, b, bars.ts - INTERVAL '{15 * i} minutes' AS at FROM bars JOIN e USING (series_id)) k ASOF LEFT JOIN obs o ON k.series_id = o.series_id AND k.at >= o.ts)"
+    for i in range(1, 4)
+)
+
+
+@register(f"WITH {_ALL}, {_SLOTS}, {_TICKS} SELECT series_id, ts, round(close, 6) AS close, tick_1, tick_2, tick_3 FROM bars JOIN t1 USING (series_id, ts) JOIN t2 USING (series_id, ts) JOIN t3 USING (series_id, ts)")
+def shifted_ticks_all(spark, d):
+    return rounded(align.shifted_ticks(all_bars(spark, d), observations(spark, d), 900, "value", 3))
+
+
 @register(f"WITH {bars_sql()}, e AS (SELECT series_id, ts, high FROM bars WHERE high > 100) SELECT b.series_id, b.ts, round(b.close, 6) AS close, round(coalesce(e.high, -1), 6) AS spike FROM bars b LEFT JOIN e USING (series_id, ts)")
 def calendar_exact_align(spark, d):
     b = hourly(spark, d)
