@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import functools
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -29,6 +31,61 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+_LIBC: list = []
+
+
+def _give_back() -> None:
+    """Return what this Python worker has freed to the system.
+
+    Workers outlive their tasks, and an allocator that keeps freed blocks lets them grow to the
+    largest task they ever ran. Large arrays so go back when freed, the rest when a task ends.
+    """
+    if not _LIBC:
+        pa.set_memory_pool(pa.system_memory_pool())
+        try:
+            libc = ctypes.CDLL("libc.so.6")
+            libc.mallopt(-3, 4 << 20)  # M_MMAP_THRESHOLD
+            libc.mallopt(-1, 16 << 20)  # M_TRIM_THRESHOLD
+            _LIBC.append(libc.malloc_trim)
+        except (OSError, AttributeError):  # another C library
+            _LIBC.append(lambda _: 0)
+    _LIBC[0](0)
+
+
+def frugal(fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function of batches for ``mapInArrow`` whose worker gives memory back at its ends."""
+
+    @functools.wraps(fn)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _give_back()
+        try:
+            yield from fn(batches)
+        finally:
+            _give_back()
+
+    return run
+
+
+def frugal_group(fn: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    """The same for a function of one group."""
+
+    def run(t: pa.Table) -> pa.Table:
+        _give_back()
+        return fn(t)
+
+    return run
+
+
+def frugal_pair(fn: Callable[[pa.Table, pa.Table], pa.Table]) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """The same for a function of two co-grouped groups."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        _give_back()
+        return fn(left, right)
+
+    return run
+
+
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read again: cuts lineage and survives lost executors."""
     spark = df.sparkSession
@@ -99,7 +156,7 @@ def summed_vectors(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], dict[
         )
 
     schema = "k int, part int, v binary"
-    rows = df.mapInArrow(make, schema).repartition(SLICES, "part").mapInArrow(merge, schema).collect()
+    rows = df.mapInArrow(frugal(make), schema).repartition(SLICES, "part").mapInArrow(frugal(merge), schema).collect()
     out: dict[int, dict[int, np.ndarray]] = {}
     for r in rows:
         out.setdefault(r.k, {})[r.part] = np.frombuffer(r.v, np.float64)

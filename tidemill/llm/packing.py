@@ -140,7 +140,7 @@ def token_pieces(docs: DataFrame, spec: str, *, end_id: int, capacity: int) -> D
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+    return docs.select("doc_id", "text").mapInArrow(base.frugal(run), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 #: Pieces of one length that are ranked together.
@@ -183,4 +183,4 @@ def pack(docs: DataFrame, spec: str, *, end_id: int = 2, capacity: int = 1024) -
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return ranked.mapInArrow(place, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return ranked.mapInArrow(base.frugal(place), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

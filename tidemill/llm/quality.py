@@ -82,7 +82,7 @@ def train_in_one_task(sample: DataFrame, fit) -> list:
         got = fit(t)
         yield pa.RecordBatch.from_arrays([pa.array(list(got), pa.string()), pa.array(list(got.values()), pa.binary())], ["name", "v"])
 
-    return sample.coalesce(1).mapInArrow(run, "name string, v binary").collect()
+    return sample.coalesce(1).mapInArrow(base.frugal(run), "name string, v binary").collect()
 
 
 def fit_quality(
@@ -135,7 +135,7 @@ def score_documents(docs: DataFrame, model, *, threshold: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p), pa.array((p >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double, predicted int")
+    return docs.select("doc_id", "text").mapInArrow(base.frugal(run), f"doc_id {kind}, score double, predicted int")
 
 
 def keep_quality(docs: DataFrame, model: QualityModel, *, threshold: float = 0.3) -> DataFrame:

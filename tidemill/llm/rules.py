@@ -148,7 +148,7 @@ def apply_rules(docs: DataFrame, model: RatioModel) -> DataFrame:
                 ["doc_id", *(x.split()[0] for x in COLUMNS.split(", "))],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {COLUMNS}")
+    return docs.select("doc_id", "text").mapInArrow(base.frugal(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {COLUMNS}")
 
 
 def keep_by_rules(docs: DataFrame, model: RatioModel) -> DataFrame:

@@ -20,8 +20,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+from . import base, tokens
 from . import text as T
-from . import tokens
 
 MARK = "▁"
 UNIGRAM, BPE = 1, 2
@@ -271,4 +271,4 @@ def encode_documents(docs: DataFrame, raw_model: bytes, *, threads: int = 2) ->
                     )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids array<int>, ids_crc32 long, round_trip boolean, parity boolean")
+    return docs.select("doc_id", "text").mapInArrow(base.frugal(run), f"doc_id {kind}, n_tokens long, ids array<int>, ids_crc32 long, round_trip boolean, parity boolean")

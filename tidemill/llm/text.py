@@ -36,6 +36,8 @@ _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * _U(0x5851F42D4C957F2D))
 _BYTE_LOWER = _BYTE[_LOWER]
 _RADIX = _U(0xD6E8FEB86659FD93)
 _POWERS = np.ones(0, np.uint64)
+#: Powers that are kept; longer tokens get theirs each time.
+_KEPT_POWERS = 1 << 16
 
 #: ASCII white space: 0x09-0x0D and 0x20.
 SPACE = np.zeros(256, bool)
@@ -50,13 +52,15 @@ KIND[48:58] = 2
 
 def _powers(n: int) -> np.ndarray:
     global _POWERS
-    if len(_POWERS) < n:
-        size = max(n, 2 * len(_POWERS), 256)
-        p = np.full(size, _RADIX, np.uint64)
-        p[0] = 1
-        with np.errstate(over="ignore"):
-            _POWERS = np.multiply.accumulate(p)
-    return _POWERS
+    if len(_POWERS) >= n:
+        return _POWERS
+    p = np.full(max(256, 1 << (n - 1).bit_length()), _RADIX, np.uint64)
+    p[0] = 1
+    with np.errstate(over="ignore"):
+        p = np.multiply.accumulate(p)
+    if n <= _KEPT_POWERS:
+        _POWERS = p
+    return p
 
 
 @dataclass

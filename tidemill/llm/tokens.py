@@ -15,12 +15,16 @@ from . import text as T
 
 
 class UnitCache:
-    """Ids by unit hash in flat arrays; emptied when it holds ``limit`` units (about 30 bytes each)."""
+    """Ids by unit hash in flat arrays; emptied before they would take more than ``limit`` bytes."""
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], limit: int = 3_000_000) -> None:
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], limit: int = 24 << 20) -> None:
         self.encode, self.limit = encode, limit
         self.clear()
 
+    @property
+    def nbytes(self) -> int:
+        return self.keys.nbytes + self.start.nbytes + self.size.nbytes + self.ids.nbytes
+
     def clear(self) -> None:
         self.keys, self.start, self.size, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
 
@@ -28,7 +32,7 @@ class UnitCache:
         """(ids of all units one after another, number of ids of each unit)."""
         h = T.hash_spans(s.buf, start, size, lower=False)
         keys, first, at = np.unique(h, return_index=True, return_inverse=True)
-        if len(self.keys) + len(keys) > self.limit:
+        if self.nbytes + 32 * len(keys) > self.limit:
             self.clear()
         where = np.searchsorted(self.keys, keys)
         known = np.zeros(len(keys), bool)

@@ -126,7 +126,7 @@ def exact_top_k(vectors: DataFrame, *, k: int = 5, every: int = 50) -> DataFrame
                     q, v, s = held[n][0]
                     yield pa.RecordBatch.from_arrays([pa.array(own[q]), pa.array(v), pa.array(s)], ["query_id", "vec_id", "score"])
 
-        return rows.mapInArrow(run, "query_id long, vec_id long, score long")
+        return rows.mapInArrow(base.frugal(run), "query_id long, vec_id long, score long")
 
     passes: list[DataFrame] = []
     ids: list[int] = []
