@@ -91,17 +91,33 @@ def stored(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidemill-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _drop_at_exit(spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def bucketed(df: DataFrame, key: str, buckets: int) -> DataFrame:
+    """``df`` stored by buckets of ``key``, so that later grouping by it reads each bucket where it lies, without a shuffle."""
+    spark = df.sparkSession
+    name = f"tidemill_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}"
+    df.write.option("compression", "zstd").option("path", path).bucketBy(buckets, key).saveAsTable(name, format="parquet")
+    _drop_at_exit(spark, path, name)
+    return spark.table(name)
+
+
+def _drop_at_exit(spark: SparkSession, path: str, table_name: str | None = None) -> None:
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
 
     def drop() -> None:
         try:
+            if table_name:
+                spark.sql(f"DROP TABLE IF EXISTS {table_name}")
             at = jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(conf).delete(at, True)
         except Exception:  # noqa: BLE001 - the JVM may have gone before the interpreter ends
             pass
 
     atexit.register(drop)
-    return spark.read.schema(df.schema).parquet(path)
 
 
 def fold(doc_id: str | Column, mod: int) -> Column:

@@ -1,24 +1,27 @@
-"""Hierarchical Pitman-Yor language model over words.
-
-Three levels of restaurants: a context restaurant for each class of the previous word (``2**FINE``
-hash classes), ``2**COARSE`` parents that the context restaurants share, and one root above them,
-whose base measure is uniform over the V known words and one unknown. A word's customers in a
-context are its occurrences there; every table is a customer of the parent.
-
-Seating is sampled by blocked Gibbs sweeps: given the other words' seating (the restaurants'
-numbers of tables and customers from the sweep before), all customers of one word are seated anew by the
-Chinese restaurant process, context by context, then in the parents and in the root. Texts are scored with
-the predictive probabilities averaged over the sweeps kept. Discounts are estimated from the counts.
-
-All statistics cover all training texts. Words are dealt by hash into parts, and each part
-samples its own words; only the restaurants' totals (a few thousand numbers) reach the driver.
-Words are identified by 64-bit hashes.
+"""Hierarchical Pitman-Yor language model over words, three words wide.
+
+Every pair of previous words has a restaurant of its own; its parent, which it shares with all pairs that
+end alike, is the restaurant of the last word alone, and the parent of those is one root, whose base
+measure is uniform over the V known words and one unknown. A word's customers in a restaurant of
+pairs are its occurrences there; every table is a customer of the parent.
+
+Seating is sampled by blocked Gibbs sweeps: all customers of one word in one restaurant leave and are
+seated anew, one after the other, given the other words' tables from the sweep before. Discounts come
+from the numbers of words seen once and twice, concentrations from the expected numbers of
+new tables given the seating. Texts are scored with the predictive probabilities averaged over two samples.
+
+Everything covers all training texts. Restaurants are dealt by their last word to parts, whose
+number follows the size of the texts, so that a pair's restaurant and its parent lie together. The restaurants of
+frequent last words are dealt by both words; their parents and the root are seated by word, in groups of words,
+from what the parts report, and the parts are told the probabilities of the words they hold. Only
+totals of the root and of the frequent words' restaurants reach the driver. Words are
+identified by 64-bit hashes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -30,370 +33,798 @@ from . import base
 from . import text as T
 
 _U = np.uint64
-FINE, COARSE = 12, 6
-#: Tokens that a task holds before it passes them on.
-BLOCK_TOKENS = 3_000_000
-#: The token that ends a text; it is the context of the first one, too.
+#: Bytes of text to a part, and tokens that a task holds before it passes them on.
+PART_BYTES = 12 << 20
+BLOCK_TOKENS = 2_000_000
+#: Sweeps that are thrown away, and kept.
+BURN_IN, KEPT = 1, 2
+#: The token that ends a text; it stands for what comes before a text, too.
 END = T.mix(np.array([0xE0D], np.uint64))[0]
 
 
-def token_stream(s: T.Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(doc, word hash, context class) of all tokens of a slice, each text's end included, in text order."""
+def token_stream(s: T.Slice) -> tuple[np.ndarray, np.ndarray]:
+    """(doc, word hash) of all tokens of a slice, each text's end included, in text order."""
     w = T.words(s)
     doc = np.concatenate([w.doc, np.arange(s.n, dtype=np.int32)])
     order = np.argsort(doc, kind="stable")
-    doc, h = doc[order], np.concatenate([w.hash, np.full(s.n, END)])[order]
-    before = np.concatenate([[END], h[:-1]]) if len(h) else h
-    return doc, h, (T.mix(before) >> _U(64 - FINE)).astype(np.uint16)
+    return doc[order], np.concatenate([w.hash, np.full(s.n, END)])[order]
 
 
-def part_of(h: np.ndarray, parts: int) -> np.ndarray:
-    return (h >> _U(32)) * _U(parts) >> _U(32)
+def scaled(key: np.ndarray, n: int) -> np.ndarray:
+    return ((key >> _U(32)) * _U(n) >> _U(32)).astype(np.int64)
 
 
-def _blob(x: np.ndarray, kind: type) -> bytes:
-    return x.astype(kind).tobytes()
+def lookup(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(index, whether present) of each wanted value among ascending keys."""
+    if not len(keys):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return at, keys[at] == wanted
 
 
-def _join(column: pa.ChunkedArray, kind: type) -> np.ndarray:
-    return np.frombuffer(b"".join(x for x in column.to_pylist() if x), kind)
+_CODEC = pa.Codec("zstd", compression_level=1)
 
 
-@dataclass(frozen=True)
-class Counts:
-    """Occurrences ``c`` of words (ascending hashes ``h``) by context class ``f``, ``n`` classes for each word in turn."""
+def pack(x: np.ndarray) -> bytes:
+    """An array without its type, compressed behind its size."""
+    raw = np.ascontiguousarray(x).tobytes()
+    return len(raw).to_bytes(8, "little") + _CODEC.compress(raw, asbytes=True)
 
-    h: np.ndarray
-    n: np.ndarray
-    f: np.ndarray
-    c: np.ndarray
 
-    @staticmethod
-    def of(h: np.ndarray, f: np.ndarray, c: np.ndarray) -> Counts:
-        words, at = np.unique(h, return_inverse=True)
-        key, back = np.unique((at.astype(np.int64) << FINE) | f, return_inverse=True)
-        total = np.bincount(back, weights=c, minlength=len(key)).astype(np.int64)
-        return Counts(words, np.bincount(key >> FINE, minlength=len(words)), (key & ((1 << FINE) - 1)).astype(np.uint16), total)
+def unpack(b: bytes, kind: type) -> np.ndarray:
+    return np.frombuffer(_CODEC.decompress(b[8:], int.from_bytes(b[:8], "little"), asbytes=True), kind)
 
-    @property
-    def word(self) -> np.ndarray:
-        return np.repeat(np.arange(len(self.h)), self.n)
 
-    def blobs(self, i: int, j: int, at: np.ndarray) -> tuple[bytes, bytes, bytes, bytes]:
-        """Words i to j as bytes; ``at``: the first entry of each word."""
-        return _blob(self.h[i:j], np.uint64), _blob(self.n[i:j], np.uint32), _blob(self.f[at[i] : at[j]], np.uint16), _blob(self.c[at[i] : at[j]], np.int64)
+def least_type(n: int) -> type:
+    return np.uint16 if n <= 1 << 16 else np.uint32
 
 
-def read_counts(t: pa.Table) -> Counts:
-    h, n = _join(t["h"], np.uint64), _join(t["n"], np.uint32)
-    return Counts(h, n.astype(np.int64), _join(t["f"], np.uint16), _join(t["c"], np.int64))
+def unpack_index(b: bytes, n: int) -> np.ndarray:
+    return unpack(b, least_type(n)).astype(np.int64)
 
 
-_STATE = "part int, h binary, n binary, f binary, c binary"
+# --- where restaurants lie ---
 
 
-def count_words(texts: DataFrame, parts: int) -> DataFrame:
-    """Counts of all of ``texts`` (one text column), a row for each part that has words."""
+@dataclass(frozen=True)
+class Layout:
+    """The number of parts, and the words (ascending) whose restaurants of pairs are dealt by both words."""
+
+    parts: int
+    frequent: np.ndarray
+
+    def part(self, two: np.ndarray, one: np.ndarray) -> np.ndarray:
+        _, split = lookup(self.frequent, one)
+        return scaled(T.mix(np.where(split, one ^ T.mix(two), one)), self.parts)
+
+
+def plan_layout(texts: DataFrame, *, part_bytes: int = PART_BYTES, share: float = 0.25) -> Layout:
+    """Parts of about ``part_bytes`` of text; frequent is a word with at least ``share`` of a part's tokens.
+
+    A word of that share has half of it in some block of tokens at least, so blocks only report words
+    above half of it, and there are at most 2 / share words a part. This only says where things lie.
+    """
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(8, -(-size // part_bytes))
+    least = share / parts / 2
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[np.ndarray] = []
 
         def flush() -> pa.RecordBatch:
-            h, f = (np.concatenate(x) for x in zip(*held, strict=True))
+            h = np.concatenate(held)
             held.clear()
-            counts = Counts.of(h, f, np.ones(len(h)))
-            at = np.concatenate([[0], np.cumsum(counts.n)])
-            cut = np.searchsorted(part_of(counts.h, parts), np.arange(parts + 1).astype(np.uint64))
-            rows = [(p, *counts.blobs(i, j, at)) for p, (i, j) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if i < j]
-            cols = list(zip(*rows, strict=True))
-            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(x, pa.binary()) for x in cols[1:])], ["part", "h", "n", "f", "c"])
+            words, n = np.unique(h, return_counts=True)
+            often = n >= least * len(h)
+            return pa.RecordBatch.from_arrays([pa.array([None, *words[often].view(np.int64).tolist()], pa.int64()), pa.array([len(h), *n[often].tolist()], pa.int64())], ["h", "n"])
 
         for b in batches:
             for s in T.slices(b.column(0)):
-                _, h, f = token_stream(s)
-                held.append((h, f))
-                if sum(len(x) for x, _ in held) >= BLOCK_TOKENS:
+                held.append(token_stream(s)[1])
+                if sum(map(len, held)) >= BLOCK_TOKENS:
                     yield flush()
         if held:
             yield flush()
 
-    def merge(t: pa.Table) -> pa.Table:
-        each = read_counts(t)
-        got = Counts.of(np.repeat(each.h, each.n), each.f, each.c)
-        at = np.concatenate([[0], np.cumsum(got.n)])
-        return pa.table([pa.array([t["part"][0].as_py()], pa.int32()), *(pa.array([x], pa.binary()) for x in got.blobs(0, len(got.h), at))], ["part", "h", "n", "f", "c"])
+    counts = texts.select("text").mapInArrow(base.frugal(emit), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    counts = base.stored(counts)
+    total = (counts.where("h IS NULL").first() or {"n": 0})["n"]
+    found = counts.where(F.col("h").isNotNull() & (F.col("n") >= least * total)).select("h").collect()
+    return Layout(int(parts), np.sort(np.array([r.h for r in found], np.int64).view(np.uint64)))
+
 
-    return base.stored(texts.mapInArrow(emit, _STATE).groupBy("part").applyInArrow(merge, _STATE))
+# --- counts ---
 
 
 @dataclass(frozen=True)
-class Totals:
-    """Customers and tables of every restaurant after a sweep."""
+class Counts:
+    """One part: its words (ascending), occurrences ``c`` of (two, one, word) in order of (one, two, word),
+    all by index into the words, and the (one, word) pairs that are asked for though they did not occur."""
+
+    words: np.ndarray
+    two: np.ndarray
+    one: np.ndarray
+    w: np.ndarray
+    c: np.ndarray
+    asked_one: np.ndarray
+    asked_w: np.ndarray
+
+    def blobs(self) -> list[bytes]:
+        kind = least_type(len(self.words))
+        return [pack(self.words), *(pack(x.astype(kind)) for x in (self.two, self.one, self.w)), pack(self.c.astype(np.uint32)), *(pack(x.astype(kind)) for x in (self.asked_one, self.asked_w))]
+
+    @staticmethod
+    def read(row: dict) -> Counts:
+        words = unpack(row["words"], np.uint64)
+        index = {k: unpack_index(row[k], len(words)) for k in ("two", "one", "w", "asked_one", "asked_w")}
+        return Counts(words, index["two"], index["one"], index["w"], unpack(row["c"], np.uint32).astype(np.int64), index["asked_one"], index["asked_w"])
+
+
+_COUNTS = "part int, words binary, two binary, one binary, w binary, c binary, asked_one binary, asked_w binary"
+
+
+def _columns(rows: list[tuple], schema: str) -> list[pa.Array]:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    types = [kinds[x.split()[1]] for x in schema.split(", ")]
+    cols = list(zip(*rows, strict=True)) or [[]] * len(types)
+    return [pa.array(c, k) for c, k in zip(cols, types, strict=True)]
+
+
+def _names(schema: str) -> list[str]:
+    return [x.split()[0] for x in schema.split(", ")]
+
+
+def sorted_entries(key: np.ndarray, *cols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order by the key and then the columns, first position of each distinct one)."""
+    order = np.lexsort((*reversed(cols), key))
+    change = np.ones(len(order), bool)
+    change[1:] = key[order][1:] != key[order][:-1]
+    for c in cols:
+        change[1:] |= c[order][1:] != c[order][:-1]
+    return order, np.flatnonzero(change)
+
+
+class Block:
+    """Tokens of consecutive texts that a task sends on together, sorted by part and context."""
+
+    def __init__(self, layout: Layout, h: np.ndarray, first: np.ndarray) -> None:
+        """``first``: whether a token is the first of its text."""
+        words, r = np.unique(np.append(h, END), return_inverse=True)
+        end, r = r[-1], r[:-1].astype(np.int64)
+        one, two = np.concatenate([[end], r[:-1]]), np.concatenate([[end, end], r[:-2]])[: len(r)]
+        one[first], two[first] = end, end
+        self.words, self.end, self.r, self.one, self.two = words, int(end), r, one, two
+        self.part = layout.part(words[two], words[one])
+
+    def rows(self, layout: Layout, two: np.ndarray, one: np.ndarray, r: np.ndarray) -> Iterator[tuple]:
+        """(part, words, two, one, w, positions of its tokens by entry, first position of each entry) for each part."""
+        n = len(self.words)
+        order, at = sorted_entries(self.part * n + one, two * n + r)
+        cut = np.searchsorted(self.part[order][at], np.arange(layout.parts + 1))
+        bounds = np.append(at, len(order))
+        for p in np.flatnonzero(np.diff(cut)):
+            i, j = cut[p], cut[p + 1]
+            e = order[at[i:j]]
+            ids, index = np.unique(np.concatenate([two[e], one[e], r[e]]), return_inverse=True)
+            index = index.astype(least_type(len(ids))).reshape(3, -1)
+            yield int(p), self.words[ids], *index, order[bounds[i] : bounds[j]], bounds[i:j] - bounds[i]
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], layout: Layout) -> Iterator[tuple[Block, np.ndarray, list[pa.RecordBatch]]]:
+    """(block, document of each token, the documents' rows); texts are in the last column of the batches."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    rows: list[pa.RecordBatch] = []
+    docs = tokens = 0
+
+    def made():
+        doc, h = (np.concatenate(x) for x in zip(*held, strict=True))
+        first = np.ones(len(doc), bool)
+        first[1:] = doc[1:] != doc[:-1]
+        return Block(layout, h, first), doc, list(rows)
+
+    for b in batches:
+        for s in T.slices(b.column(b.num_columns - 1)):
+            doc, h = token_stream(s)
+            held.append((doc.astype(np.int64) + docs, h))
+            rows.append(b.slice(s.first, s.n).select(list(range(b.num_columns - 1))))
+            docs, tokens = docs + s.n, tokens + len(h)
+            if tokens >= BLOCK_TOKENS:
+                yield made()
+                held.clear()
+                rows.clear()
+                docs = tokens = 0
+    if held:
+        yield made()
+
+
+def count_words(docs: DataFrame, layout: Layout) -> DataFrame:
+    """Counts of the texts of ``docs`` (learn boolean, text) that are learnt from, one row for each part.
+
+    The words of the other texts are listed without occurrences, as they will be asked for.
+    """
+    sent = "part int, words binary, two binary, one binary, w binary, c binary"
 
-    fine_c: np.ndarray
-    fine_t: np.ndarray
-    coarse_c: np.ndarray
-    coarse_t: np.ndarray
-    root: np.ndarray  # customers, tables
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, doc, held in _blocks(batches, layout):
+            learn = np.concatenate([x.column(0).to_numpy(zero_copy_only=False).astype(bool) for x in held])[doc]
+            # what is only asked for needs no context, but that of a frequent word
+            _, frequent = lookup(layout.frequent, block.words[block.one])
+            two = np.where(learn, block.two, block.end)
+            one = np.where(learn | frequent, block.one, block.end)
+            rows = []
+            for p, words, i2, i1, iw, tokens, at in block.rows(layout, two, one, block.r):
+                c = np.add.reduceat(learn[tokens].astype(np.uint32), at)
+                rows.append((p, pack(words), pack(i2), pack(i1), pack(iw), pack(c.astype(np.uint32))))
+            yield pa.RecordBatch.from_arrays(_columns(rows, sent), _names(sent))
+
+    def merge(t: pa.Table) -> pa.Table:
+        got: list[list[np.ndarray]] = [[] for _ in range(5)]
+        n = 0
+        for row in t.drop_columns(["part"]).to_pylist():
+            words = unpack(row["words"], np.uint64)
+            for x, v in zip(got, [words, *(unpack_index(row[k], len(words)) + n for k in ("two", "one", "w")), unpack(row["c"], np.uint32)], strict=True):
+                x.append(v)
+            n += len(words)
+        all_words, two, one, w, c = (np.concatenate(x) for x in got)
+        words, at = np.unique(all_words, return_inverse=True)
+        two, one, w = at[two], at[one], at[w]
+        order, first = sorted_entries(one, two * len(words) + w)
+        total = np.add.reduceat(c[order].astype(np.int64), first)
+        e = order[first]
+        seen, asked = e[total > 0], e[total == 0]
+        asked = asked[lookup(layout.frequent, words[one[asked]])[1]]
+        counts = Counts(words, two[seen], one[seen], w[seen], total[total > 0], one[asked], w[asked])
+        return pa.table(_columns([(t["part"][0].as_py(), *counts.blobs())], _COUNTS), _names(_COUNTS))
+
+    sent_rows = docs.mapInArrow(base.frugal(emit), sent)
+    return base.bucketed(sent_rows.groupBy("part").applyInArrow(base.frugal_group(merge), _COUNTS), "part", layout.parts)
+
+
+# --- seating ---
 
 
 @dataclass(frozen=True)
 class Prior:
-    """Discount and concentration of each level (root, parents, contexts) and the base probability."""
+    """Discount and concentration of each level (root, last words, pairs) and the base probability."""
 
     discount: tuple[float, float, float]
     strength: tuple[float, float, float]
     base_p: float
 
 
-def seat(c: np.ndarray, new: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
-    """Sampled numbers of tables of ``c`` customers of one dish, one by one: the next sits alone with
-    probability new / (new + seated - discount * tables).
+def seat(c: np.ndarray, others: np.ndarray, p: np.ndarray, discount: float, strength: float, rng: np.random.Generator) -> np.ndarray:
+    """Sampled numbers of tables of ``c`` customers of one word that sit down one after the other.
 
-    Beyond 64 seated customers, a thirty-second of them at a time draws with the same probability.
+    With n seated at t tables the next one opens a table with probability a / (a + n - discount * t), where
+    a = (strength + discount * (others + t)) * p. Between tables that only falls as n grows, so the next
+    table is drawn by thinning: a geometric step under the present chance, accepted by the ratio of the chance
+    there to it. That is the same as asking one customer at a time, in steps that grow with the tables.
     """
     t = np.minimum(c, 1).astype(np.int64)
     live = np.flatnonzero(c > 1)
-    seated = 1
+    fixed, each = (strength + discount * others[live]) * p[live], discount * p[live]
+    upto, n, made = c[live].astype(float), np.ones(len(live)), np.ones(len(live))
     while len(live):
-        step = max(1, seated // 32) if seated >= 64 else 1
-        p = new[live] / (new[live] + seated - discount * t[live])
-        t[live] += rng.binomial(np.minimum(step, c[live] - seated), p)
-        seated += step
-        live = live[c[live] > seated]
+        a = fixed + each * made
+        rest = n - discount * made
+        with np.errstate(divide="ignore"):
+            at = n + np.floor(np.log(1 - rng.random(len(live))) / -np.log1p(a / rest))  # log(1 - a / (a + rest))
+        end = np.minimum(2 * n, upto)
+        met = at < end
+        opened = met & (rng.random(len(live)) * (a + at - discount * made) < a + rest)
+        made += opened
+        n = np.where(met, at + 1, end)
+        done = n >= upto
+        t[live[done]] = made[done].astype(np.int64)
+        left = ~done
+        live, fixed, each, upto, n, made = (x[left] for x in (live, fixed, each, upto, n, made))
     return t
 
 
-class Sampler:
-    """The seating of one part's words through the sweeps so far."""
+class Seating:
+    """The restaurants of one part: all pairs of words, and of the last words those that are not frequent."""
+
+    def __init__(self, counts: Counts, layout: Layout) -> None:
+        self.counts = counts
+        n = len(counts.words)
+        self.n = n
+        self.context, self.u = np.unique(counts.one * n + counts.two, return_inverse=True)
+        every = np.concatenate([counts.one * n + counts.w, counts.asked_one * n + counts.asked_w])
+        self.pair, at = np.unique(every, return_inverse=True)
+        self.p = at[: len(counts.c)]
+        self.entry = self.u * n + counts.w
+        self.last, self.v = np.unique(self.pair // n, return_inverse=True)
+        self.pair_w = self.pair % n
+        self.frequent = lookup(layout.frequent, counts.words[self.last])[1][self.v]
+        #: Frequent words' pairs in the order in which they are reported.
+        self.shared = np.flatnonzero(self.frequent)
+        self.shared = self.shared[np.lexsort((self.pair[self.shared], self.pair_w[self.shared]))]
+        self.t3 = np.ones(len(counts.c), np.int64)
+        self.t2 = (self.c2 > 0).astype(np.int64)
+        self.full3 = np.bincount(self.u, weights=counts.c, minlength=len(self.context))
 
-    def __init__(self, counts: Counts, prior: Prior) -> None:
-        self.counts, self.prior = counts, prior
-        self.w = counts.word
-        key, self.up = np.unique((self.w << COARSE) | (counts.f >> (FINE - COARSE)), return_inverse=True)
-        self.gw, self.g = key >> COARSE, (key & ((1 << COARSE) - 1)).astype(np.int64)
-        self.key = key
-        self.tf = np.ones(len(counts.f), np.int64)
-        self.tg = np.ones(len(key), np.int64)
-        self.tr = np.ones(len(counts.h), np.int64)
+    @property
+    def c2(self) -> np.ndarray:
+        return np.bincount(self.p, weights=self.t3, minlength=len(self.pair)).astype(np.int64)
 
     @property
-    def cg(self) -> np.ndarray:
-        return np.bincount(self.up, weights=self.tf, minlength=len(self.g)).astype(np.int64)
+    def full2(self) -> np.ndarray:
+        return np.bincount(self.v, weights=self.c2, minlength=len(self.last))
+
+    @property
+    def tables3(self) -> np.ndarray:
+        return np.bincount(self.u, weights=self.t3, minlength=len(self.context))
+
+    @property
+    def tables2(self) -> np.ndarray:
+        return np.bincount(self.v, weights=self.t2, minlength=len(self.last))
+
+    def to_root(self) -> np.ndarray:
+        """Customers that each word sends to the root from here."""
+        own = ~self.frequent
+        return np.bincount(self.pair_w[own], weights=self.t2[own], minlength=self.n).astype(np.int64)
+
+    def sweep(self, root_p: np.ndarray, shared_p: np.ndarray, prior: Prior, rng: np.random.Generator) -> None:
+        """Seat everything anew, given the words' probabilities in the root and in frequent words' restaurants."""
+        (_, d2, d3), (_, s2, s3) = prior.discount, prior.strength
+        c2, total2, tables2 = self.c2, self.full2, self.tables2
+        # the parent's probability of a word without the tables that are about to leave
+        gone = self.t3
+        c = c2[self.p] - gone
+        t = np.minimum(self.t2[self.p], c)
+        v, w = self.v[self.p], self.pair_w[self.p]
+        free = np.where(c > 0, c - d2 * t, 0.0)
+        p = (free + (s2 + d2 * tables2[v]) * root_p[w]) / (s2 + np.maximum(total2[v] - gone, 0))
+        told = np.zeros(len(self.pair))
+        told[self.shared] = shared_p
+        p = np.where(self.frequent[self.p], told[self.p], p)
+        self.t3 = seat(self.counts.c, (self.tables3[self.u] - self.t3), p, d3, s3, rng)
+        c2 = self.c2
+        own = np.flatnonzero(~self.frequent)
+        self.t2[own] = seat(c2[own], tables2[self.v[own]] - self.t2[own], root_p[self.pair_w[own]], d2, s2, rng)
+        self.t2[self.shared] = c2[self.shared] > 0
+
+    def statistics(self) -> np.ndarray:
+        own = np.unique(self.v[~self.frequent])
+        c2 = self.c2[~self.frequent]
+        once = [(x == k).sum() for x in (c2, self.counts.c) for k in (1, 2)]
+        return np.concatenate([histogram(self.full2[own]), histogram(self.tables2[own]), histogram(self.full3), histogram(self.tables3), once]).astype(float)
+
+    def predictor(self, root_p: np.ndarray, shared_p: np.ndarray, prior: Prior):
+        """A function of (two, one, word), by index into the part's words, that gives their predictive probabilities."""
+        (_, d2, d3), (_, s2, s3) = prior.discount, prior.strength
+        n, c2, full2, tables2, tables3 = self.n, self.c2, self.full2, self.tables2, self.tables3
+        kept2, kept3 = np.where(c2 > 0, c2 - d2 * self.t2, 0.0), self.counts.c - d3 * self.t3
+        told = np.zeros(len(self.pair))
+        told[self.shared] = shared_p
+
+        def predict(two: np.ndarray, one: np.ndarray, w: np.ndarray) -> np.ndarray:
+            p = root_p[w]
+            v, known = lookup(self.last, one)
+            if len(self.last):
+                pair, seen = lookup(self.pair, one * n + w)
+                local = (np.where(seen, kept2[pair], 0.0) + (s2 + d2 * tables2[v]) * p) / (s2 + full2[v])
+                p = np.where(known, np.where(seen & self.frequent[pair], told[pair], local), p)
+            u, known = lookup(self.context, one * n + two)
+            if len(self.context):
+                entry, seen = lookup(self.entry, u * n + w)
+                p = np.where(known, (np.where(seen, kept3[entry], 0.0) + (s3 + d3 * tables3[u]) * p) / (s3 + self.full3[u]), p)
+            return p
+
+        return predict
+
+
+#: Sizes below 64 have a bin each, larger ones eight bins to a doubling.
+BINS = 64 + 8 * 57
+
+
+def histogram(x: np.ndarray) -> np.ndarray:
+    """Numbers of positive sizes by bin, then their sums."""
+    x = np.asarray(x, float)
+    x = x[x > 0]
+    at = np.where(x < 64, x, 64 + np.floor(8 * np.log2(np.maximum(x, 64) / 64))).astype(np.int64)
+    return np.concatenate([np.bincount(at, minlength=BINS), np.bincount(at, weights=x, minlength=BINS)])
+
+
+def digamma(x: np.ndarray) -> np.ndarray:
+    x = np.array(x, float)
+    out = np.zeros_like(x)
+    for _ in range(6):
+        low = x < 6
+        out[low] -= 1 / x[low]
+        x[low] += 1
+    y = 1 / (x * x)
+    return out + np.log(x) - 0.5 / x - y * (1 / 12 - y * (1 / 120 - y / 252))
+
+
+def concentration(customers: np.ndarray, tables: np.ndarray, discount: float, rounds: int = 60) -> float:
+    """The concentration of restaurants with these histograms of customers and tables.
+
+    Expectation steps for the usual auxiliary variables (a beta one for each restaurant, a coin for each
+    further table) under a Gamma(1, 1) prior.
+    """
+
+    def read(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n, total = h[:BINS], h[BINS:]
+        return n[n > 0], total[n > 0] / n[n > 0]
+
+    (nc, c), (nt, t) = read(customers), read(tables)
+    s = 1.0
+    for _ in range(rounds):
+        coins = float((nt * s / discount * (digamma(s / discount + t) - digamma(np.full(len(t), s / discount + 1)))).sum())
+        logs = float((nc * (digamma(np.full(len(c), s + 1)) - digamma(s + np.maximum(c, 1)))).sum())
+        s = min(max((1 + max(coins, 0.0)) / (1 - logs), 1e-3), 1e6)
+    return s
+
+
+# --- what parts and groups of words tell each other ---
+
+_REPORT = "grp int, part int, words binary, seen binary, roots binary, pair_word binary, pair_last binary, customers binary, stats binary"
+_SHARED = "grp int, words binary, seen binary, cold binary, pair_w binary, pair_r binary, customers binary, stats binary, parts binary, sizes binary, to_word binary, to_pair binary"
+_ANSWER = "part int, kind int, block long, a binary, b binary, c binary, d binary, e binary, f binary"
+
+
+def reports(part: int, seating: Seating, layout: Layout, samples: list[tuple[np.ndarray, np.ndarray]], stats: np.ndarray) -> Iterator[tuple]:
+    """Rows for each group of words: per sample the customers that go to the root and to frequent words' restaurants."""
+    counts, shared = seating.counts, seating.shared
+    group = scaled(counts.words, layout.parts)
+    seen = np.bincount(counts.w, weights=counts.c, minlength=seating.n).astype(np.int64)
+    cut = np.searchsorted(group, np.arange(layout.parts + 1))
+    pair_w = seating.pair_w[shared]
+    cut_pair = np.searchsorted(group[pair_w], np.arange(layout.parts + 1)) if len(shared) else np.zeros(layout.parts + 1, np.int64)
+    last = lookup(layout.frequent, counts.words[seating.last[seating.v[shared]]])[0]
+    for g in np.union1d(np.flatnonzero(np.diff(cut)), [part]).tolist():
+        i, j, k, m = cut[g], cut[g + 1], cut_pair[g], cut_pair[g + 1]
+        roots = np.concatenate([r[i:j] for r, _ in samples]).astype(np.uint32)
+        customers = np.concatenate([x[k:m] for _, x in samples]).astype(np.uint32)
+        own = pack(stats) if g == part else None
+        yield g, part, pack(counts.words[i:j]), pack(seen[i:j].astype(np.uint32)), pack(roots), pack((pair_w[k:m] - i).astype(np.uint32)), pack(last[k:m].astype(np.uint32)), pack(customers), own
+
+
+def merged_reports(t: pa.Table) -> pa.Table:
+    """All parts' reports on one group of words, and who asked for what."""
+    rows = t.sort_by("part").to_pylist()
+    words = [unpack(r["words"], np.uint64) for r in rows]
+    size = np.array([len(x) for x in words])
+    every, to_word = np.unique(np.concatenate(words), return_inverse=True)
+    start = np.cumsum(size) - size
+    add = lambda at, v, n: np.bincount(at, weights=v, minlength=n).astype(np.int64)
+    seen = add(to_word, np.concatenate([unpack(r["seen"], np.uint32) for r in rows]), len(every))
+    roots = [unpack(r["roots"], np.uint32) for r in rows]
+    kept = max((len(x) // n for x, n in zip(roots, size, strict=True) if n), default=1)
+    cold = np.array([add(to_word, np.concatenate([x[s * n : (s + 1) * n] for x, n in zip(roots, size, strict=True)]), len(every)) for s in range(kept)])
+    at = np.concatenate([to_word[unpack(r["pair_word"], np.uint32).astype(np.int64) + b] for r, b in zip(rows, start, strict=True)])
+    last = [unpack(r["pair_last"], np.uint32).astype(np.int64) for r in rows]
+    pairs = np.array([len(x) for x in last])
+    key, to_pair = np.unique((np.concatenate(last) << 32) | at, return_inverse=True)
+    got = [unpack(r["customers"], np.uint32) for r in rows]
+    customers = np.array([add(to_pair, np.concatenate([x[s * n : (s + 1) * n] for x, n in zip(got, pairs, strict=True)]), len(key)) for s in range(kept)])
+    stats = sum(unpack(r["stats"], np.float64) for r in rows if r["stats"] is not None)
+    row = (
+        t["grp"][0].as_py(), pack(every), pack(seen), pack(cold), pack((key & 0xFFFFFFFF).astype(np.uint32)), pack((key >> 32).astype(np.uint32)), pack(customers),
+        pack(stats) if isinstance(stats, np.ndarray) else None,
+        pack(np.array([r["part"] for r in rows], np.int32)), pack(np.concatenate([size, pairs])), pack(to_word.astype(np.uint32)), pack(to_pair.astype(np.uint32)),
+    )
+    return pa.table(_columns([row], _SHARED), _names(_SHARED))
+
+
+class Shared:
+    """One sample of the root and of frequent words' restaurants, for one group of words."""
+
+    def __init__(self, row: dict, sample: int) -> None:
+        self.words, self.seen = unpack(row["words"], np.uint64), unpack(row["seen"], np.int64)
+        self.w, self.r = unpack(row["pair_w"], np.uint32).astype(np.int64), unpack(row["pair_r"], np.uint32).astype(np.int64)
+        self.cold = unpack(row["cold"], np.int64)[sample * len(self.words) :][: len(self.words)]
+        self.c = unpack(row["customers"], np.int64)[sample * len(self.w) :][: len(self.w)]
+        self.t = np.minimum(self.c, 1)
+        self.t_root = np.minimum(self.c_root, 1)
 
     @property
-    def cr(self) -> np.ndarray:
-        return np.bincount(self.gw, weights=self.tg, minlength=len(self.counts.h)).astype(np.int64)
-
-    def totals(self) -> dict[int, np.ndarray]:
-        f, nf, ng = self.counts.f, 1 << FINE, 1 << COARSE
-        add = lambda at, v, n: np.bincount(at, weights=v, minlength=n)
-        cg, cr = self.cg, self.cr
-        ones = [(x == k).sum() for x in (cr, cg, self.counts.c) for k in (1, 2)]
-        return {
-            0: add(f, self.counts.c, nf),
-            1: add(f, self.tf, nf),
-            2: add(self.g, cg, ng),
-            3: add(self.g, self.tg, ng),
-            4: np.array([cr.sum(), self.tr.sum(), len(self.counts.h), self.counts.c.sum(), *ones], float),
-        }
-
-    def probabilities(self, t: Totals) -> tuple[np.ndarray, np.ndarray]:
-        """Predictive probabilities in the root by word, and in the parents by (word, parent) entry."""
-        (d0, d1, _), (s0, s1, _) = self.prior.discount, self.prior.strength
-        root = (self.cr - d0 * self.tr + (s0 + d0 * t.root[1]) * self.prior.base_p) / (s0 + t.root[0])
-        coarse = (self.cg - d1 * self.tg + (s1 + d1 * t.coarse_t[self.g]) * root[self.gw]) / (s1 + t.coarse_c[self.g])
-        return root, coarse
-
-    def sweep(self, t: Totals, rng: np.random.Generator) -> None:
-        (d0, d1, d2), (s0, s1, s2) = self.prior.discount, self.prior.strength
-        root, coarse = self.probabilities(t)
-        f = self.counts.f
-        self.tf = seat(self.counts.c, (s2 + d2 * t.fine_t[f]) * coarse[self.up], d2, rng)
-        self.tg = seat(self.cg, (s1 + d1 * t.coarse_t[self.g]) * root[self.gw], d1, rng)
-        self.tr = seat(self.cr, np.full(len(root), (s0 + d0 * t.root[1]) * self.prior.base_p), d0, rng)
-
-
-def run_sweeps(counts: Counts, prior: Prior, part: int, totals: list[Totals], seed: int) -> Iterator[Sampler]:
-    """The state after each sweep, sweep i under ``totals[i]``; the same on every call."""
-    sampler = Sampler(counts, prior)
-    for i, t in enumerate(totals):
-        sampler.sweep(t, np.random.default_rng([seed, part, i]))
-        yield sampler
+    def c_root(self) -> np.ndarray:
+        return self.cold + np.bincount(self.w, weights=self.t, minlength=len(self.words)).astype(np.int64)
+
+    def totals(self, frequent: int) -> np.ndarray:
+        """Customers, then tables, of the root and of each frequent word's restaurant."""
+        add = lambda v: np.bincount(self.r, weights=v, minlength=frequent)
+        return np.concatenate([[self.c_root.sum()], add(self.c), [self.t_root.sum()], add(self.t)]).astype(float)
+
+    def root_p(self, prior: Prior, total: float, tables: float) -> np.ndarray:
+        d, s = prior.discount[0], prior.strength[0]
+        return (self.c_root - d * self.t_root + (s + d * tables) * prior.base_p) / (s + total)
+
+    def pair_p(self, prior: Prior, totals: np.ndarray) -> np.ndarray:
+        n = len(totals) // 2
+        d, s = prior.discount[1], prior.strength[1]
+        root = self.root_p(prior, totals[0], totals[n])[self.w]
+        return (self.c - d * self.t + (s + d * totals[n + 1 :][self.r]) * root) / (s + totals[1:n][self.r])
+
+    def sweep(self, totals: np.ndarray, prior: Prior, rng: np.random.Generator) -> None:
+        n = len(totals) // 2
+        (d1, d2, _), (s1, s2, _) = prior.discount, prior.strength
+        root = self.root_p(prior, totals[0], totals[n])
+        self.t = seat(self.c, totals[n + 1 :][self.r] - self.t, root[self.w], d2, s2, rng)
+        c = self.c_root
+        self.t_root = seat(c, np.full(len(c), totals[n]) - np.minimum(self.t_root, c), np.full(len(c), prior.base_p), d1, s1, rng)
+
+
+def seated(row: dict, sample: int, totals: list[np.ndarray], prior: Prior | None, seed: int) -> Shared:
+    """The state after a sweep under each of ``totals``; the same on every call."""
+    state = Shared(row, sample)
+    for i, x in enumerate(totals):
+        state.sweep(x, prior, np.random.default_rng([seed, row["grp"], sample, i]))
+    return state
+
+
+@dataclass(frozen=True)
+class Round:
+    """What a round of reports led to: the groups' rows, each sample's totals before and after its sweep (if there was one), sums over all parts."""
+
+    shared: DataFrame
+    totals: list[list[np.ndarray]]
+    stats: np.ndarray
+    words: int
+    tokens: int
+    once: tuple[np.ndarray, np.ndarray]  # root words and frequent words' pairs with one and two customers
+
+    def prior(self, frequent: int) -> Prior:
+        """Discounts from words seen once and twice, concentrations from the seating."""
+        h = 2 * BINS
+        n2, n3 = self.stats[4 * h : 4 * h + 2], self.stats[4 * h + 2 :]
+        discount = tuple(float(np.clip(x[0] / max(1.0, x[0] + 2 * x[1]), 0.05, 0.98)) for x in (self.once[0], n2 + self.once[1], n3))
+        now = self.totals[0][-1]
+        c, t = now[: 1 + frequent], now[1 + frequent :]
+        of2 = [self.stats[:h] + histogram(c[1:]), self.stats[h : 2 * h] + histogram(t[1:])]
+        root = [histogram(c[:1]), histogram(t[:1])]
+        strength = (concentration(*root, discount[0]), concentration(*of2, discount[1]), concentration(self.stats[2 * h : 3 * h], self.stats[3 * h : 4 * h], discount[2]))
+        return Prior(discount, strength, 1.0 / (self.words + 1))
+
+
+def _sums(shared: DataFrame, samples: int, totals: list[list[np.ndarray]], prior: Prior | None, frequent: int, seed: int, whole: bool) -> dict[int, np.ndarray]:
+    def make(batches: Iterator[pa.RecordBatch]) -> dict[int, np.ndarray]:
+        out: dict[int, np.ndarray] = {}
+
+        def add(k: int, v: np.ndarray) -> None:
+            out[k] = out[k] + v if k in out else np.array(v, float)
+
+        for b in batches:
+            for i in range(b.num_rows):
+                row = b.slice(i, 1).to_pylist()[0]
+                for s in range(samples):
+                    state = seated(row, s, [x[s] for x in totals], prior, seed)
+                    add(s, state.totals(frequent))
+                if whole:
+                    add(samples, np.array([(state.seen > 0).sum(), state.seen.sum(), *((x == k).sum() for x in (state.c_root, state.c) for k in (1, 2))]))
+                    if row["stats"] is not None:
+                        add(samples + 1, unpack(row["stats"], np.float64))
+        return out
+
+    return base.summed_vectors(shared, make)
+
+
+def settle(sent: DataFrame, layout: Layout, samples: int, prior: Prior | None, seed: int, sweep: bool = True) -> tuple[Round, Prior]:
+    """Seat the shared restaurants from the parts' reports; estimates a prior where none is given."""
+    frequent = len(layout.frequent)
+    shared = base.stored(sent.groupBy("grp").applyInArrow(base.frugal_group(merged_reports), _SHARED))
+    got = _sums(shared, samples, [], None, frequent, seed, True)
+    empty = np.zeros(2 + 2 * frequent)
+    first = [got.get(s, empty) for s in range(samples)]
+    n = got.get(samples, np.zeros(6))
+    stats = got.get(samples + 1, np.zeros(8 * BINS + 4))
+    state = Round(shared, [[x] for x in first], stats, int(n[0]), int(n[1]), (n[2:4], n[4:6]))
+    prior = prior or state.prior(frequent)
+    if not sweep:
+        return state, prior
+    after = _sums(shared, samples, [first], prior, frequent, seed, False)
+    return replace(state, totals=[[x, after.get(s, empty)] for s, x in enumerate(first)]), prior
+
+
+def answers(state: Round, prior: Prior, kind: int, seed: int) -> DataFrame:
+    """Rows for the parts: each sample's probabilities of the words and pairs they reported, and the words' occurrences."""
+    totals = state.totals
+
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                row = b.slice(i, 1).to_pylist()[0]
+                n = len(totals[0][-1]) // 2
+                root, pair = [], []
+                for s, (*before, after) in enumerate(totals):
+                    x = seated(row, s, before, prior, seed)
+                    root.append(x.root_p(prior, after[0], after[n]).astype(np.float32))
+                    pair.append(x.pair_p(prior, after).astype(np.float32))
+                parts = unpack(row["parts"], np.int32)
+                size, pairs = unpack(row["sizes"], np.int64).reshape(2, -1)
+                at, to = np.concatenate([[0], np.cumsum(size)]), np.concatenate([[0], np.cumsum(pairs)])
+                to_word, to_pair = unpack(row["to_word"], np.uint32).astype(np.int64), unpack(row["to_pair"], np.uint32).astype(np.int64)
+                rows = []
+                for k, part in enumerate(parts.tolist()):
+                    w, p = to_word[at[k] : at[k + 1]], to_pair[to[k] : to[k + 1]]
+                    rows.append((part, kind, row["grp"], pack(np.concatenate([r[w] for r in root])), pack(np.concatenate([r[p] for r in pair])), pack(x.seen[w]), None, None, None))
+                    if len(rows) == 256:
+                        yield pa.RecordBatch.from_arrays(_columns(rows, _ANSWER), _names(_ANSWER))
+                        rows = []
+                if rows:
+                    yield pa.RecordBatch.from_arrays(_columns(rows, _ANSWER), _names(_ANSWER))
+
+    return state.shared.mapInArrow(base.frugal(tell), _ANSWER)
+
+
+def read_answers(rows: list[dict], kind: int, samples: int) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+    """Per sample the probabilities of the part's words and of its shared pairs; the words' occurrences in training."""
+    rows = sorted((r for r in rows if r["kind"] == kind), key=lambda r: r["block"])
+    root, pair, seen = ([unpack(r[c], k) for r in rows] for c, k in (("a", np.float32), ("b", np.float32), ("c", np.int64)))
+    joined = lambda x, s: np.concatenate([y.reshape(samples, -1)[s] for y in x]).astype(float)
+    return [joined(root, s) for s in range(samples)], [joined(pair, s) for s in range(samples)], np.concatenate(seen)
+
+
+def samples_of(seating: Seating, part: int, root: np.ndarray, pair: np.ndarray, prior: Prior, seed: int, kept: int) -> Iterator[Seating]:
+    """The seating after each sweep that is kept; the same on every call."""
+    for i in range(BURN_IN + kept if kept > 1 else 0):
+        seating.sweep(root, pair, prior, np.random.default_rng([seed, part, i]))
+        if i >= BURN_IN:
+            yield seating
+    if kept == 1:
+        yield seating
+
+
+# --- the whole model ---
 
 
 @dataclass(frozen=True)
 class Model:
-    """The word counts of all parts, and what the restaurants' totals were before and after each sweep."""
+    """All that scoring needs: the counts, the two rounds of answers and their priors."""
 
+    layout: Layout
     counts: DataFrame
-    parts: int
-    prior: Prior
-    totals: list[Totals]
-    burn_in: int
+    first: Round
+    last: Round
+    priors: tuple[Prior, Prior]
+    kept: int
     seed: int
-    train_tokens: int
-    words: int
 
+    @property
+    def train_tokens(self) -> int:
+        return self.first.tokens
 
-def fit(texts: DataFrame, *, sweeps: int = 3, burn_in: int = 1, strength: tuple[float, float, float] = (1.0, 1.0, 1.0), seed: int = 17, parts: int | None = None) -> Model:
-    """Sample the seating of all of ``texts`` (one text column; null is empty)."""
-    parts = parts or max(16, base.shuffle_partitions(texts.sparkSession))
-    counts = count_words(texts, parts)
-
-    def totals_after(prior: Prior, before: list[Totals]) -> dict[int, np.ndarray]:
-        def make(batches: Iterator[pa.RecordBatch]) -> dict[int, np.ndarray]:
-            out: dict[int, np.ndarray] = {}
-            for b in batches:
-                for i in range(b.num_rows):
-                    t = pa.Table.from_batches([b.slice(i, 1)])
-                    c, part = read_counts(t), t["part"][0].as_py()
-                    state = Sampler(c, prior)
-                    for state in run_sweeps(c, prior, part, before, seed):
-                        pass
-                    for k, v in state.totals().items():
-                        out[k] = out[k] + v if k in out else v
-            return out
-
-        return base.summed_vectors(counts, make)
-
-    flat = Prior((0.5, 0.5, 0.5), strength, 1.0)
-    got = totals_after(flat, [])
-    if not got:
-        empty = Totals(np.zeros(1 << FINE), np.zeros(1 << FINE), np.zeros(1 << COARSE), np.zeros(1 << COARSE), np.zeros(2))
-        return Model(counts, parts, flat, [empty, empty], 0, seed, 0, 0)
-    words, tokens = int(got[4][2]), int(got[4][3])
-    n = got[4][4:]
-    discount = tuple(float(np.clip(n[2 * i] / max(1.0, n[2 * i] + 2 * n[2 * i + 1]), 0.05, 0.98)) for i in range(3))
-    prior = Prior(discount, strength, 1.0 / (words + 1))
-    totals = [Totals(*(got[k] for k in range(4)), got[4][:2])]
-    for _ in range(sweeps):
-        got = totals_after(prior, totals)
-        totals.append(Totals(*(got[k] for k in range(4)), got[4][:2]))
-    return Model(counts, parts, prior, totals, burn_in, seed, tokens, words)
+    @property
+    def words(self) -> int:
+        return self.first.words
 
 
-def lookup(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(index, whether present) of each wanted value among ascending keys."""
-    at = np.searchsorted(keys, wanted)
-    at = np.minimum(at, max(0, len(keys) - 1))
-    return at, (keys[at] == wanted) if len(keys) else np.zeros(len(wanted), bool)
-
-
-def predictive(counts: Counts, model: Model, part: int, h: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(occurrences of the word in training, averaged predictive probability) of each (word, context class)."""
-    prior, totals = model.prior, model.totals
-    (d0, d1, d2), (s0, s1, s2) = prior.discount, prior.strength
-    w, known = lookup(counts.h, h)
-    c = np.zeros(len(h), np.int64)
-    if len(counts.h):
-        c[known] = np.bincount(counts.word, weights=counts.c, minlength=len(counts.h)).astype(np.int64)[w[known]]
-    f = f.astype(np.int64)
-    g = f >> (FINE - COARSE)
-    total = np.zeros(len(h))
-    kept = 0
-    for i, s in enumerate(run_sweeps(counts, prior, part, totals[:-1], model.seed)):
-        if i < model.burn_in:
-            continue
-        kept += 1
-        t = totals[i + 1]
-        if not kept - 1:
-            fine_at, in_fine = lookup((s.w << FINE) | counts.f, (w << FINE) | f)
-            coarse_at, in_coarse = lookup(s.key, (w << COARSE) | g)
-            in_fine, in_coarse = in_fine & known, in_coarse & known
-        root, coarse = s.probabilities(t)
-        p = np.full(len(h), (s0 + d0 * t.root[1]) * prior.base_p / (s0 + t.root[0]))
-        p[known] = root[w[known]]
-        p = np.where(in_coarse, coarse[coarse_at] if len(coarse) else 0.0, (s1 + d1 * t.coarse_t[g]) / (s1 + t.coarse_c[g]) * p)
-        own = np.zeros(len(h))
-        own[in_fine] = (counts.c - d2 * s.tf)[fine_at[in_fine]]
-        total += (own + (s2 + d2 * t.fine_t[f]) * p) / (s2 + t.fine_c[f])
-    return c, total / kept
-
-
-_SENT = "part int, block long, h binary, n binary, f binary, doc binary, ids binary"
+def fit(docs: DataFrame, learn: Column | None = None, *, sweeps: bool = True, seed: int = 17, part_bytes: int = PART_BYTES, share: float = 0.25) -> Model:
+    """Sample the seating of the texts of ``docs`` that ``learn`` admits (all by default; null admits none).
+
+    ``docs`` also holds the texts to be scored, so that parts know which words they will be asked for.
+    Without ``sweeps`` every word has one table in each restaurant, as interpolated Kneser-Ney would have it.
+    """
+    flag = F.lit(True) if learn is None else F.coalesce(learn, F.lit(False))
+    texts = docs.select(flag.alias("learn"), "text")
+    layout = plan_layout(texts, part_bytes=part_bytes, share=share)
+    counts = count_words(texts, layout)
+    kept = KEPT if sweeps else 1
+
+    def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                row = b.slice(i, 1).to_pylist()[0]
+                s = Seating(Counts.read(row), layout)
+                rows = list(reports(row["part"], s, layout, [(s.to_root(), s.c2[s.shared])], s.statistics()))
+                yield pa.RecordBatch.from_arrays(_columns(rows, _REPORT), _names(_REPORT))
+
+    first, prior = settle(counts.mapInArrow(base.frugal(begin), _REPORT), layout, 1, None, seed, sweeps)
+    if not sweeps:
+        return Model(layout, counts, first, first, (prior, prior), 1, seed)
+
+    def go_on(left: pa.Table, right: pa.Table) -> pa.Table:
+        rows = []
+        for row in right.to_pylist():
+            s = Seating(Counts.read(row), layout)
+            (root,), (pair,), _ = read_answers(left.to_pylist(), 0, 1)
+            got = []
+            for x in samples_of(s, row["part"], root, pair, prior, seed, kept):
+                got.append((x.to_root(), x.c2[x.shared]))
+            rows += reports(row["part"], s, layout, got, s.statistics())
+        return pa.table(_columns(rows, _REPORT), _names(_REPORT))
+
+    told = answers(first, prior, 0, seed)
+    sent = told.groupBy("part").cogroup(counts.groupBy("part")).applyInArrow(base.frugal_pair(go_on), _REPORT)
+    last, _ = settle(sent, layout, kept, prior, seed + 1)
+    # discounts stay as estimated from the counts; the concentrations follow the seating
+    newer = Prior(prior.discount, last.prior(len(layout.frequent)).strength, prior.base_p)
+    return Model(layout, counts, first, last, (prior, newer), kept, seed)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, n_tokens, n_known, base_score and score of every row.
+    """doc_id, n_tokens, n_known, base_score and score of every row; ``docs`` are those that the model was fitted with.
 
     A null or empty text is its end alone. Repeated rows stay repeated, a null doc_id stays null,
-    other columns are not read.
+    other columns are not read. Rows of an empty table, or without a text to learn from, score 0.
     """
-    parts = model.parts
-    kind = docs.schema["doc_id"].dataType
+    layout, kept, seed = model.layout, model.kept, model.seed
+    kind = docs.schema["doc_id"].dataType.simpleString()
     n_train, n_words = model.train_tokens, model.words
+    (prior, newer), still = model.priors, model.kept == 1
+    tokens, header = 2, 3
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
-        held: list[tuple[np.ndarray, ...]] = []
-        ids: list[pa.Array] = []
-        sent = docs_held = tokens_held = 0
-
-        def flush() -> pa.RecordBatch:
-            nonlocal sent, docs_held, tokens_held
-            doc, h, f = (np.concatenate(x) for x in zip(*held, strict=True))
-            order = np.argsort(h, kind="stable")
-            doc, h, f = doc[order], h[order], f[order]
-            words, n = np.unique(h, return_counts=True)
-            at = np.concatenate([[0], np.cumsum(n)])
-            cut = np.searchsorted(part_of(words, parts), np.arange(parts + 1).astype(np.uint64))
-            block = (task << 24) + sent
-            rows = [(p, block, _blob(words[i:j], np.uint64), _blob(n[i:j], np.uint32), _blob(f[at[i] : at[j]], np.uint16), _blob(doc[at[i] : at[j]], np.uint32), None) for p, (i, j) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if i < j]
-            header = pa.record_batch([pa.concat_arrays(ids), pa.array(np.bincount(doc, minlength=docs_held))], ["doc_id", "n_tokens"])
+        for sent, (block, doc, held) in enumerate(_blocks(batches, layout)):
+            number = (task << 24) + sent
+            n_docs = sum(x.num_rows for x in held)
+            rows = []
+            for p, words, i2, i1, iw, order, at in block.rows(layout, block.two, block.one, block.r):
+                times = np.diff(np.append(at, len(order))).astype(np.uint32)
+                rows.append((p, tokens, number, pack(words), pack(i2), pack(i1), pack(iw), pack(times), pack(doc[order].astype(least_type(n_docs)))))
+            head = pa.record_batch([pa.concat_arrays([x.column(0) for x in held]), pa.array(np.bincount(doc, minlength=n_docs))], ["doc_id", "n_tokens"])
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, header.schema) as out:
-                out.write_batch(header)
-            rows.append((block % parts, block, None, None, None, None, sink.getvalue().to_pybytes()))
-            cols = list(zip(*rows, strict=True))
-            sent, docs_held, tokens_held = sent + 1, 0, 0
-            held.clear()
-            ids.clear()
-            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64()), *(pa.array(x, pa.binary()) for x in cols[2:])], ["part", "block", "h", "n", "f", "doc", "ids"])
+            with pa.ipc.new_stream(sink, head.schema) as out:
+                out.write_batch(head)
+            rows.append((number % layout.parts, header, number, sink.getvalue().to_pybytes(), None, None, None, None, None))
+            yield pa.RecordBatch.from_arrays(_columns(rows, _ANSWER), _names(_ANSWER))
 
-        for b in batches:
-            for s in T.slices(b.column(1)):
-                doc, h, f = token_stream(s)
-                held.append((doc + docs_held, h, f))
-                ids.append(b.column(0).slice(s.first, s.n))
-                docs_held += s.n
-                tokens_held += len(h)
-                if tokens_held >= BLOCK_TOKENS:
-                    yield flush()
-        if held:
-            yield flush()
+    rated_as = "block long, doc binary, base binary, score binary, known binary, ids binary"
 
     def rate(left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[tuple] = []
-        if left.num_rows:
-            counts = read_counts(right)
-            part = left["part"][0].as_py()
-            for r in left.to_pylist():
-                if r["ids"] is not None:
-                    out.append((r["block"], None, None, None, None, r["ids"]))
-            body = left.filter(pa.compute.is_valid(left["h"]))
-            h = np.repeat(_join(body["h"], np.uint64), _join(body["n"], np.uint32))
-            f, doc = _join(body["f"], np.uint16), _join(body["doc"], np.uint32)
-            c, p = predictive(counts, model_, part, h, f)
-            low, high = np.log10((c + 1) / (n_train + n_words + 1)), np.log10(p)
-            size = np.array([len(x) // 2 for x in body["f"].to_pylist()], np.int64)
-            for block, j, n in zip(body["block"].to_pylist(), np.cumsum(size), size, strict=True):
-                d, at = np.unique(doc[j - n : j], return_inverse=True)
-                add = lambda x: np.bincount(at, weights=x[j - n : j])  # noqa: B023, E731
-                out.append((block, _blob(d, np.uint32), add(low).tobytes(), add(high).tobytes(), _blob(add(c > 0), np.uint32), None))
-        cols = list(zip(*out, strict=True)) or [[]] * 6
-        return pa.table([pa.array(cols[0], pa.int64()), *(pa.array(x, pa.binary()) for x in cols[1:])], ["block", "doc", "base", "score", "known", "ids"])
+        rows = left.filter(pa.compute.less(left["kind"], tokens)).to_pylist()
+        asked = left.filter(pa.compute.equal(left["kind"], tokens)).sort_by("block")
+        for r in left.filter(pa.compute.equal(left["kind"], header)).to_pylist():
+            out.append((r["block"], None, None, None, None, r["a"]))
+        if asked.num_rows:
+            row = right.to_pylist()[0]
+            counts = Counts.read(row)
+            seating = Seating(counts, layout)
+            if still:
+                root0, pair0, seen = read_answers(rows, 0, 1)
+                root1, pair1 = root0, pair0
+            else:
+                root0, pair0, _ = read_answers(rows, 0, 1)
+                root1, pair1, seen = read_answers(rows, 1, kept)
+            low = np.log10((seen + 1) / (n_train + n_words + 1))
+            wanted = []
+            for i in range(asked.num_rows):
+                r = asked.slice(i, 1).to_pylist()[0]
+                own = unpack(r["a"], np.uint64)
+                at = np.searchsorted(counts.words, own)
+                wanted.append((r["block"], *(at[unpack_index(r[c], len(own))].astype(np.int32) for c in "bcd"), r["e"], r["f"]))
+            size = [len(x[1]) for x in wanted]
+            two, one, w = (np.concatenate([x[k] for x in wanted]).astype(np.int64) for k in (1, 2, 3))
+            p = np.zeros(len(w))
+            step = 500_000
+            for s, x in enumerate(samples_of(seating, row["part"], root0[0], pair0[0], prior, seed, kept)):
+                predict = x.predictor(root1[s], pair1[s], newer)
+                for i in range(0, len(w), step):
+                    cut = slice(i, i + step)
+                    p[cut] += predict(two[cut], one[cut], w[cut])
+            high = np.log10(np.minimum(p / kept, 1.0))
+            for (block, *_, times, doc), j, n in zip(wanted, np.cumsum(size), size, strict=True):
+                times = unpack(times, np.uint32).astype(np.int64)
+                raw = unpack(doc, np.uint8)
+                doc = raw.view(np.uint16 if len(raw) == 2 * times.sum() else np.uint32)
+                d, at = np.unique(doc, return_inverse=True)
+                add = lambda x: np.bincount(at, weights=np.repeat(x, times))  # noqa: B023, E731
+                here = w[j - n : j]
+                out.append((block, pack(d.astype(np.uint32)), pack(add(low[here])), pack(add(high[j - n : j])), pack(add(seen[here] > 0).astype(np.uint32)), None))
+        return pa.table(_columns(out, rated_as), _names(rated_as))
 
     def gather(t: pa.Table) -> pa.Table:
         head = pa.ipc.open_stream(next(x for x in t["ids"].to_pylist() if x is not None)).read_all()
-        doc = _join(t["doc"], np.uint32)
-        add = lambda c, k: np.bincount(doc, weights=_join(t[c], k), minlength=head.num_rows)
-        return pa.table([head["doc_id"], head["n_tokens"], pa.array(add("known", np.uint32).astype(np.int64)), pa.array(add("base", np.float64)), pa.array(add("score", np.float64))], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
-
-    model_ = Model(None, parts, model.prior, model.totals, model.burn_in, model.seed, n_train, n_words)  # without the DataFrame, to go to the tasks
-    sent = docs.select("doc_id", "text").mapInArrow(emit, _SENT)
-    rated = sent.groupBy("part").cogroup(model.counts.groupBy("part")).applyInArrow(rate, "block long, doc binary, base binary, score binary, known binary, ids binary")
-    return rated.groupBy("block").applyInArrow(gather, f"doc_id {kind.simpleString()}, n_tokens long, n_known long, base_score double, score double")
+        n = head.num_rows
+        known, low, high = np.zeros(n, np.int64), np.zeros(n), np.zeros(n)
+        body = t.filter(pa.compute.is_valid(t["doc"]))
+        parts = sorted(body.to_pylist(), key=lambda r: r["doc"])  # the same sums whatever the order of arrival
+        for r in parts:
+            at = unpack(r["doc"], np.uint32).astype(np.int64)
+            known[at] += unpack(r["known"], np.uint32)
+            low[at] += unpack(r["base"], np.float64)
+            high[at] += unpack(r["score"], np.float64)
+        return pa.table([head["doc_id"], head["n_tokens"], pa.array(known), pa.array(low), pa.array(high)], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
+
+    sent = docs.select("doc_id", "text").mapInArrow(base.frugal(emit), _ANSWER).unionByName(answers(model.first, prior, 0, seed))
+    if not still:
+        sent = sent.unionByName(answers(model.last, prior, 1, seed + 1))
+    rated = sent.groupBy("part").cogroup(model.counts.groupBy("part")).applyInArrow(base.frugal_pair(rate), rated_as)
+    return rated.groupBy("block").applyInArrow(base.frugal_group(gather), f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double")
 
 
 def perplexity(scores: DataFrame) -> Column:

@@ -39,7 +39,7 @@ def op5_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = base.table(spark, sf_dir, "documents")
     held = _held_out(7, 2)
-    model = pitman_yor.fit(docs.where(~held).select("text"))
+    model = pitman_yor.fit(docs, ~held)
     scored = pitman_yor.score(docs, model)
     return scored.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(model.train_tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
