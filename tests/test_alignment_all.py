@@ -10,7 +10,7 @@ from tidemill.queries import QUERIES
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["asof_align_all", "asof_plain_all", "shifted_ticks_all"])
+@pytest.mark.parametrize("name", ["asof_align", "asof_plain", "shifted_ticks"])
 def test_every_series_has_its_bars(spark, name):
     events = spark.read.parquet(f"{SF}/events.parquet")
     bars = {(r.event_type, r.ts.replace(minute=0, second=0, microsecond=0)) for r in events.collect()}
@@ -22,6 +22,6 @@ def test_the_last_of_all_events_is_found(spark):
     seen = defaultdict(list)
     for r in sorted(spark.read.parquet(f"{SF}/events.parquet").collect(), key=lambda r: (r.ts, r.event_id)):
         seen[r.event_type].append((r.ts, r.value))
-    for r in QUERIES["asof_plain_all"](spark, SF).collect():
+    for r in QUERIES["asof_plain"](spark, SF).collect():
         at = bisect_right([t for t, _ in seen[r.series_id]], r.ts)
         assert r.value == pytest.approx(seen[r.series_id][at - 1][1] if at else -1, abs=1e-6)

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stored
 from .bars import bucket
 
 
@@ -72,16 +73,34 @@ def within(df: DataFrame, limits: DataFrame) -> DataFrame:
     return df.join(F.broadcast(limits), F.col("ts").between(F.col("start_ts"), F.col("end_ts"))).select(*df.columns)
 
 
+def in_ranges(df: DataFrame, *order: str) -> DataFrame:
+    """``df`` dealt to ranges of the order, stored with the range's number as ``__p`` and a last tie-break as ``__tie``.
+
+    It is stored because ranges are cut from a sample each time a plan runs, and two plans that read
+    other columns would cut them differently. Rows that are alike in the order are told apart by a hash of
+    the whole row and then by where they came from, so one frequent key does not fill a range.
+    """
+    tied = df.withColumn("__tie", F.struct(F.xxhash64(*df.columns).alias("h"), F.monotonically_increasing_id().alias("i")))
+    return stored(tied.repartitionByRange(*order, "__tie").withColumn("__p", F.spark_partition_id()))
+
+
+def sums_before(df: DataFrame, weight: Column, *keys: str) -> DataFrame:
+    """For each range (and key), the sum of ``weight`` over the ranges before it; one row for each range and key."""
+    sums = df.groupBy("__p", *keys).agg(F.sum(weight).alias("__s"))
+    w = Window.partitionBy(*(keys or (F.lit(1),))).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    return sums.withColumn("__before", F.coalesce(F.sum("__s").over(w), F.lit(0))).drop("__s")
+
+
 def numbered(df: DataFrame, *order: str) -> DataFrame:
     """``df`` with a gapless ``row_pos`` from 1 in the given order, without gathering the rows in one task.
 
-    Rows are range partitioned; each partition is numbered by itself, after the counts of those before.
+    Rows are dealt to ranges; each range is numbered by itself, after the counts of those before. Ties
+    are numbered in the order of a hash of the row.
     """
-    parted = df.repartitionByRange(*order).withColumn("__p", F.spark_partition_id())
-    local = parted.withColumn("__n", F.row_number().over(Window.partitionBy("__p").orderBy(*order)))
-    counts = parted.groupBy("__p").agg(F.count(F.lit(1)).alias("__c"))
-    before = counts.withColumn("__before", F.coalesce(F.sum("__c").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return local.join(F.broadcast(before.drop("__c")), "__p").withColumn("row_pos", (F.col("__n") + F.col("__before")).cast("long")).drop("__p", "__n", "__before")
+    parted = in_ranges(df, *order)
+    local = parted.withColumn("__n", F.row_number().over(Window.partitionBy("__p").orderBy(*order, "__tie")))
+    before = sums_before(parted, F.lit(1))
+    return local.join(F.broadcast(before), "__p").withColumn("row_pos", (F.col("__n") + F.col("__before")).cast("long")).select(*df.columns, "row_pos")
 
 
 def positional(left: DataFrame, right: DataFrame) -> DataFrame:

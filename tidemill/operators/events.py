@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import functions as fn
+from ..session import stored
 from . import align, stats
 from . import rolling as roll
 
@@ -23,9 +24,9 @@ def importance(text: Column) -> Column:
 
 
 def category_codes(df: DataFrame, *columns: str) -> DataFrame:
-    """Each text's rank among the distinct ones, from 0; -1 for null. Only distinct values are ranked."""
+    """Each text's rank among the distinct ones, from 0; -1 for null. Only distinct values are numbered."""
     for c in columns:
-        codes = df.where(F.col(c).isNotNull()).select(c).distinct().withColumn("__code", (F.dense_rank().over(Window.partitionBy(F.lit(1)).orderBy(c)) - 1).cast("int"))
+        codes = align.numbered(df.where(F.col(c).isNotNull()).select(c).distinct(), c).select(c, (F.col("row_pos") - 1).cast("int").alias("__code"))
         df = df.join(codes, c, "left").withColumn(c, F.coalesce("__code", F.lit(-1))).drop("__code")
     return df
 
@@ -46,7 +47,7 @@ def encode_calendar(raw: DataFrame) -> DataFrame:
     typed = raw.withColumns({"importance": importance(F.col("volatility")), **{c: number(F.col(c)) for c in ("actual", "forecast", "previous")}})
     full = surprises(typed.dropna(subset=["importance", "actual", "forecast", "previous"]))
     scaled = stats.min_max(full, "actual", "forecast", "previous", "forecast_diff", "volatility_weighted_diff")
-    return category_codes(scaled, "country", "description")
+    return category_codes(scaled.withColumn("country_name", F.trim("country")), "country", "description")
 
 
 def one_per_time(df: DataFrame, *, importance: str, country: str, preferred: str, tie: str) -> DataFrame:
@@ -73,6 +74,46 @@ def has_event(row: Column) -> Column:
     return F.exists(row, lambda x: x != -1.0)
 
 
+#: A window's row: scaled figures, category codes, and whether there was an event.
+CALENDAR_ROW = ("forecast", "actual", "volatility", "forecast_diff", "volatility_weighted_diff", "country", "description", "event")
+
+
+def aligned_calendar(bars: DataFrame, raw: DataFrame, *, preferred: str = "USA", tie: str = "description") -> DataFrame:
+    """The bars inside the calendar's time, with the one event of each bar's time, -1 where there is none."""
+    coded = stats.min_max(encode_calendar(raw).withColumn("volatility", F.col("importance").cast("double")), "volatility")
+    once = one_per_time(coded.withColumn("series_id", F.lit("calendar")), importance="importance", country="country_name", preferred=preferred, tie=tie)
+    limits = coded.agg(F.min("ts").alias("start_ts"), F.max("ts").alias("end_ts"))
+    row = once.select("ts", *(F.col(c).cast("double").alias(c) for c in CALENDAR_ROW if c != "event"), F.lit(1.0).alias("event"))
+    inside = align.within(bars, limits)
+    joined = inside.join(row, "ts", "left")
+    filled = {c: F.coalesce(c, F.lit(0.0 if c == "event" else -1.0)) for c in CALENDAR_ROW}
+    return joined.withColumns(filled).select(*bars.columns, *CALENDAR_ROW)
+
+
+def calendar_windows(bars: DataFrame, raw: DataFrame, *, window: int = 128, divisor: int = 5, preferred: str = "USA", tie: str = "description") -> DataFrame:
+    """series_id, ts, ``window`` (the calendar rows of the ``window`` bars before), trend and volatility of each bar that has so many before it."""
+    rows = aligned_calendar(bars, raw, preferred=preferred, tie=tie)
+    before = F.collect_list(F.array(*(F.col(c) for c in CALENDAR_ROW))).over(roll.series().rowsBetween(-window, -1))
+    signals = training_signals(rows.select("series_id", "ts", "close", before.alias("window")), "close", max(2, window // divisor))
+    return signals.where(F.size("window") == window).select("series_id", "ts", "window", "trend", "volatility")
+
+
+def process_calendar(bars: DataFrame, raw: DataFrame, *, window: int = 128, divisor: int = 5, kind: str = "linear", save_to: str | None = None) -> DataFrame:
+    """series_id, ts, predicted_trend, predicted_volatility: a calendar's expected effect on the bars.
+
+    Loaded events are encoded, one kept for each time, aligned to the bars, cut into windows, and a regressor fitted on the
+    first part of the time predicts trend and volatility for every bar from the ``window``-th on. ``save_to``: a folder for the models.
+    """
+    from .models import WindowRegressor
+
+    held = calendar_windows(bars, raw, window=window, divisor=divisor)
+    model = WindowRegressor(kind=kind)
+    fitted = model.fit(held)
+    if save_to:
+        model.save(fitted, save_to)
+    return model.predict(fitted, held).select("series_id", "ts", "predicted_trend", "predicted_volatility")
+
+
 def previous_ticks(spine: DataFrame, ticks: DataFrame, value: str, n: int) -> DataFrame:
     """The ``n`` last tick values at or before each bar, the oldest first, nulls in front where there are fewer."""
     w = Window.partitionBy("series_id").orderBy("ts", "tick_id").rowsBetween(-(n - 1), 0)
@@ -88,8 +129,8 @@ def training_signals(df: DataFrame, column: str, n: int = 25) -> DataFrame:
     """Rolling mean (trend) and deviation (volatility): warm-up filled backward, outliers capped, the rest filled by the median, scaled to 0..1."""
     s = df.withColumns({"trend": roll.mean(F.col(column), n), "volatility": roll.std(F.col(column), n)})
     s = s.withColumns({c: F.coalesce(c, roll.fill_backward(F.col(c))) for c in ("trend", "volatility")})
-    s = stats.fill_median(stats.cap_outliers(s, "trend", "volatility"), "trend", "volatility")
-    return stats.min_max(s, "trend", "volatility")
+    # three passes look at the signals
+    return stats.min_max(stats.cap_outliers(stored(s), "trend", "volatility", fill=True), "trend", "volatility")
 
 
 def positional_encoding(df: DataFrame, position: str, d: int) -> DataFrame:
@@ -104,13 +145,15 @@ def seasonality(df: DataFrame) -> DataFrame:
     return df.withColumns({"day_of_month": F.dayofmonth("ts"), "hour_of_day": F.hour("ts"), "day_of_week": F.weekday("ts")})
 
 
-def nearest_labels(points: DataFrame, sample: DataFrame, features: tuple[str, ...], label: str, k: int = 5) -> DataFrame:
+def nearest_labels(points: DataFrame, sample: DataFrame, features: tuple[str, ...], label: str, k: int = 5, max_sample: int = 5000) -> DataFrame:
     """Majority label of the ``k`` nearest sampled points (ties: the nearer, then the smaller label).
 
-    ``sample`` has a stated bound (a clustering sample), so it goes to every task as one array; each
-    point keeps its k best without leaving its row.
+    ``sample`` is a clustering sample of at most ``max_sample`` rows, so it goes to every task as one array; each
+    point keeps its k best without leaving its row. A larger sample is an error when the plan runs.
     """
-    one = sample.agg(F.collect_list(F.struct(*features, F.col(label).alias("__label"))).alias("__s"))
+    row = F.struct(*features, F.col(label).alias("__label"))
+    one = sample.limit(max_sample + 1).agg(F.collect_list(row).alias("__s"))
+    one = one.withColumn("__s", F.when(F.size("__s") <= max_sample, F.col("__s")).otherwise(F.raise_error(F.lit(f"the sample has more than {max_sample} rows"))))
     far = lambda x: sum(((F.col(f) - x[f]) * (F.col(f) - x[f]) for f in features), F.lit(0.0))
     best = F.slice(F.array_sort(F.transform("__s", lambda x: F.struct(far(x).alias("d"), x["__label"].alias("l")))), 1, k)
     votes = F.transform(F.array_distinct(F.transform("__b", lambda x: x["l"])), lambda v: F.struct((-F.size(F.filter("__b", lambda x: x["l"] == v))).alias("n"), v.alias("l")))

@@ -45,6 +45,11 @@ def rsi(df: DataFrame, n: int = 14) -> DataFrame:
     return s.withColumn("rsi", 100 - 100 / (1 + c("avg_gain") / (c("avg_loss") + fn.EPS)))
 
 
+def ema(df: DataFrame, n: int = 20) -> DataFrame:
+    """``ema`` of the close, from its first value on."""
+    return rec.smooth(df, [rec.span("close", "ema", n)])
+
+
 def macd(df: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
     s = rec.smooth(df, [rec.span("close", "ema_fast", fast), rec.span("close", "ema_slow", slow)]).withColumn("macd", c("ema_fast") - c("ema_slow"))
     return rec.smooth(s, [rec.span("macd", "macd_signal", signal)]).withColumn("macd_hist", c("macd") - c("macd_signal"))
@@ -80,8 +85,16 @@ def williams_r(df: DataFrame, n: int = 14) -> DataFrame:
     return df.withColumn("williams_r", -100 * (high - c("close")) / (high - low + fn.EPS))
 
 
+def change_by(df: DataFrame, n: int = 10) -> DataFrame:
+    return df.withColumn("momentum", c("close") - roll.lag(c("close"), n))
+
+
+def rate_of_change(df: DataFrame, n: int = 10) -> DataFrame:
+    return df.withColumn("roc", 100 * roll.change(c("close"), n))
+
+
 def momentum(df: DataFrame, n: int = 10) -> DataFrame:
-    return df.withColumns({"momentum": c("close") - roll.lag(c("close"), n), "roc": 100 * roll.change(c("close"), n)})
+    return rate_of_change(change_by(df, n), n)
 
 
 REGIME_FEATURES = (
@@ -90,6 +103,16 @@ REGIME_FEATURES = (
 )
 
 
+#: The study's features: what describes the state of the market, with the price against the slow mean.
+STUDY_FEATURES = ("adx", "di_spread", "atr_pct", "atr_ratio", "bb_width_pct", "bb_position", "rsi", "roc_12", "price_vs_ema50", "price_vs_ema200", "ema_alignment", "stoch_k", "macd_hist")
+
+
+def study_features(bars: DataFrame, *, rank: int = 120) -> DataFrame:
+    """The study's features of the bars that have them all."""
+    s = regime_features(bars, rank=rank).withColumn("price_vs_ema200", (c("close") - c("ema200")) / (c("atr_raw") + fn.EPS))
+    return s.select("series_id", "ts", *STUDY_FEATURES).dropna(subset=list(STUDY_FEATURES))
+
+
 def regime_features(bars: DataFrame, *, rank: int = 120) -> DataFrame:
     """The features that the regime classifiers use: two recursive passes, one set of windows."""
     eps = fn.EPS

@@ -4,8 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import indicators
 from . import rolling as roll
@@ -31,7 +35,7 @@ def friday_close(hour: int = 20) -> Column:
 
 def _next(flag: Column, skip: int = 1) -> Column:
     """Position of the next flagged bar at least ``skip`` bars on."""
-    return F.min(F.when(flag, F.col("pos"))).over(roll.series().rowsBetween(skip, Window.unboundedFollowing))
+    return F.min(F.when(flag, F.col("pos"))).over(roll.backwards().rowsBetween(Window.unboundedPreceding, -skip))
 
 
 def oracle_horizon(bars: DataFrame, *, hour: int = 20, fallback: int = 120) -> DataFrame:
@@ -50,46 +54,86 @@ def direction_horizon(bars: DataFrame, *, hour: int = 20, fallback: int = 120) -
     return s.withColumn("horizon", F.coalesce(first - F.col("pos"), F.greatest(n - F.col("pos"), F.lit(fallback))).cast("int"))
 
 
-def _touched(frame: Column, stop, target) -> Column:
-    """1 if the target is met before the stop (which counts first inside one bar)."""
-    t = F.array_position(F.transform(frame, target), True)
-    s = F.array_position(F.transform(frame, stop), True)
-    return ((t > 0) & ((s == 0) | (t < s))).cast("int")
-
-
-def buy(frame: Column, target: Column, stop: Column) -> Column:
-    return _touched(frame, lambda x: x["low"] <= stop, lambda x: x["close"] >= target)
-
-
-def sell(frame: Column, target: Column, stop: Column) -> Column:
-    return _touched(frame, lambda x: x["high"] >= stop, lambda x: x["close"] <= target)
+@dataclass(frozen=True)
+class Touch:
+    """The first later bar whose ``value`` reaches ``limit`` from below (``above``) or from above; its distance goes to ``out``."""
 
+    out: str
+    value: str
+    limit: str
+    above: bool
 
-def future(df: DataFrame, longest: int) -> DataFrame:
-    """``df`` with the bars of each row's own horizon as ``frame``."""
-    frame = F.collect_list(F.struct("high", "low", "close")).over(roll.series().rowsBetween(1, max(1, longest)))
-    return df.withColumn("frame", F.slice(frame, 1, F.greatest(F.col("horizon"), F.lit(0))))
 
+def touch_distance(values: np.ndarray, limit: np.ndarray, last: np.ndarray, above: bool) -> np.ndarray:
+    """Bars from each bar to the first later one, at most bar ``last``, that reaches its limit; 0 if none does.
 
-def longest_horizon(df: DataFrame) -> int:
-    """Bars that any row can look ahead: one number from one aggregation."""
-    n = Window.partitionBy("series_id")
-    return df.select(F.least("horizon", F.count(F.lit(1)).over(n)).alias("h")).agg(F.max("h")).first()[0] or 1
+    Extremes of stretches of 1, 2, 4, ... bars let every bar step over what cannot reach its limit, so a
+    bar takes a number of steps in the logarithm of its horizon. A missing value or limit is never reached.
+    """
+    n = len(values)
+    sign = 1.0 if above else -1.0
+    levels = [np.where(np.isnan(values), -np.inf, sign * values)]
+    while 2 ** len(levels) <= n:
+        step = 2 ** (len(levels) - 1)
+        levels.append(np.maximum(levels[-1][:-step], levels[-1][step:]))
+    want = np.where(np.isnan(limit), np.inf, sign * limit)
+    own = np.arange(n)
+    at = own + 1
+    for k in range(len(levels) - 1, -1, -1):
+        fits = at + 2**k - 1 <= last
+        low = np.zeros(n, bool)
+        low[fits] = levels[k][at[fits]] < want[fits]
+        at = at + np.where(low, 2**k, 0)
+    return np.where(at <= last, at - own, 0)
+
+
+def first_touches(df: DataFrame, touches: list[Touch], *, hour: int) -> DataFrame:
+    """``df`` (with pos and horizon) with each touch's distance in bars, null if there is none inside the horizon.
+
+    No horizon goes beyond the next week's close, so a week's bars, with the close before them, form a group:
+    the work of one series is spread over its weeks. A series without such a bar is one group.
+    """
+    closes = F.coalesce(friday_close(hour), F.lit(False)).cast("int")
+    upto = F.sum(closes).over(roll.series().rowsBetween(Window.unboundedPreceding, 0))
+    # the week's close ends its own week and is looked ahead from in the next
+    weeks = F.when(closes == 1, F.array(F.col("__w") - 1, F.col("__w"))).otherwise(F.array("__w"))
+    each = df.withColumn("__w", upto).withColumn("__own", F.col("__w")).withColumn("__w", F.explode(weeks))
+
+    def find(t: pa.Table) -> pa.Table:
+        t = t.sort_by("pos")
+        n = t.num_rows
+        last = np.minimum(np.arange(n) + t["horizon"].to_numpy(), n - 1)
+        # a group's last bar may be a copy that belongs to the week after
+        for x in touches:
+            value, limit = (t[c].cast(pa.float64()).to_pandas().to_numpy(dtype=float, na_value=np.nan) for c in (x.value, x.limit))
+            far = touch_distance(value, limit, last, x.above)
+            t = t.append_column(x.out, pa.array(far.astype(np.int32), mask=far == 0))
+        return t.filter(pc.equal(t["__w"], t["__own"])).drop_columns(["__w", "__own"])
+
+    schema = T.StructType([*df.schema.fields, *(T.StructField(x.out, T.IntegerType()) for x in touches)])
+    return each.groupBy("series_id", "__w").applyInArrow(find, schema)
+
+
+def _won(target: str, stop: str) -> Column:
+    """1 if the target is met before the stop (which counts first inside one bar)."""
+    return (F.col(target).isNotNull() & (F.col(stop).isNull() | (F.col(target) < F.col(stop)))).cast("int")
 
 
 def oracle_labels(bars: DataFrame, *, take: float = 131.325, stop: float = 93.33, costs: Costs | None = None, hour: int = 20, fallback: int = 120) -> DataFrame:
     """Four labels and ``bars_to_friday``; entries must also earn the costs."""
     costs = costs or Costs()
-    s = oracle_horizon(bars, hour=hour, fallback=fallback)
-    s = future(s, longest_horizon(s))
-    price, f, pip = F.col("close"), F.col("frame"), costs.pip
+    price, pip = F.col("close"), costs.pip
     far, near, back = (take + costs.points) * pip, take * pip, stop * pip
+    s = oracle_horizon(bars, hour=hour, fallback=fallback)
+    s = s.withColumns({"far_up": price + far, "far_down": price - far, "near_up": price + near, "near_down": price - near, "back_up": price + back, "back_down": price - back})
+    found = [Touch(f"t_{x}_up", "close", f"{x}_up", True) for x in ("far", "near")] + [Touch(f"t_{x}_down", "close", f"{x}_down", False) for x in ("far", "near")]
+    s = first_touches(s, [*found, Touch("s_buy", "low", "back_down", False), Touch("s_sell", "high", "back_up", True)], hour=hour)
     return s.select(
         "series_id", "ts", "open", "high", "low", "close",
-        buy(f, price + far, price - back).alias("buy_entry_label"),
-        sell(f, price - far, price + back).alias("sell_entry_label"),
-        buy(f, price + near, price - back).alias("buy_exit_label"),
-        sell(f, price - near, price + back).alias("sell_exit_label"),
+        _won("t_far_up", "s_buy").alias("buy_entry_label"),
+        _won("t_far_down", "s_sell").alias("sell_entry_label"),
+        _won("t_near_up", "s_buy").alias("buy_exit_label"),
+        _won("t_near_down", "s_sell").alias("sell_exit_label"),
         F.col("horizon").alias("bars_to_friday"),
     )
 
@@ -97,14 +141,15 @@ def oracle_labels(bars: DataFrame, *, take: float = 131.325, stop: float = 93.33
 def direction_labels(bars: DataFrame, *, n: int = 14, take: float = 2.0, stop: float = 1.0, costs: Costs | None = None, hour: int = 20, fallback: int = 120) -> DataFrame:
     """Long and short labels with levels in ATRs; null without a positive ATR and on the last bar."""
     costs = costs or Costs(15.0, 5.0, 7.0)
+    price, a, extra = F.col("close"), F.col("atr"), costs.points * costs.pip
     s = direction_horizon(indicators.atr(bars, n), hour=hour, fallback=fallback)
-    s = future(s, longest_horizon(s))
-    price, f, a, extra = F.col("close"), F.col("frame"), F.col("atr"), costs.points * costs.pip
-    known = (a > 0) & (roll.lead(price).isNotNull())
+    s = s.withColumns({"up": price + take * a + extra, "down": price - take * a - extra, "stop_low": price - stop * a, "stop_high": price + stop * a, "later": roll.lead(price)})
+    s = first_touches(s, [Touch("t_long", "close", "up", True), Touch("t_short", "close", "down", False), Touch("s_long", "low", "stop_low", False), Touch("s_short", "high", "stop_high", True)], hour=hour)
+    known = (a > 0) & F.col("later").isNotNull()
     return s.select(
         "series_id", "ts", "open", "high", "low", "close",
-        F.when(known, buy(f, price + take * a + extra, price - stop * a)).cast("double").alias("direction_long_label"),
-        F.when(known, sell(f, price - take * a - extra, price + stop * a)).cast("double").alias("direction_short_label"),
+        F.when(known, _won("t_long", "s_long")).cast("double").alias("direction_long_label"),
+        F.when(known, _won("t_short", "s_short")).cast("double").alias("direction_short_label"),
     )
 
 

@@ -8,6 +8,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.clustering import BisectingKMeans
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,6 +38,14 @@ class WindowRegressor:
             out = m.transform(out)
         return out.drop("features")
 
+    def save(self, models: dict[str, PipelineModel], path: str) -> None:
+        """Each target's model to a folder of its own, in the place of what is there."""
+        for t, m in models.items():
+            m.write().overwrite().save(f"{path.rstrip('/')}/{t}")
+
+    def load(self, path: str) -> dict[str, PipelineModel]:
+        return {t: PipelineModel.load(f"{path.rstrip('/')}/{t}") for t in self.targets}
+
 
 def standardise(df: DataFrame, *columns: str) -> DataFrame:
     """``scaled``: the columns by their mean and population deviation."""
@@ -53,6 +62,34 @@ def principal_components(df: DataFrame, k: int) -> tuple[DataFrame, list[float]]
     return m.transform(df), list(m.explainedVariance)
 
 
+def _bisected(df: DataFrame, k: int, seed: int) -> DataFrame:
+    """``df`` with ``cluster``. The library splits a cluster by a step in proportion to its center's length, which is nothing for
+    standardised data, whose center is the origin; so the points are moved away from it first, which changes no distance."""
+    away = df.withColumn("__away", array_to_vector(F.transform(vector_to_array("pca"), lambda x: x + 1.0)))
+    return BisectingKMeans(k=k, seed=seed, featuresCol="__away", predictionCol="cluster").fit(away).transform(away).drop("__away")
+
+
+def linkage(df: DataFrame, k: int, *, seed: int = 42) -> list[tuple[int, int, float, int]]:
+    """The rows of a dendrogram over ``k`` (at most some dozens) clusters: the two that join, their distance by Ward, the size of both.
+
+    The leaves are bisecting k-means clusters of all rows, 0 to k - 1; each join makes the next number.
+    """
+    leaves = _bisected(df, k, seed).groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), Summarizer.mean(F.col("pca")).alias("center")).collect()
+    live = {r.cluster: (r.n, r.center.toArray()) for r in leaves}
+    joins = []
+    while len(live) > 1:
+
+        def cost(a: int, b: int) -> float:
+            (n, x), (m, y) = live[a], live[b]
+            return float((2 * n * m / (n + m) * ((x - y) ** 2).sum()) ** 0.5)
+
+        a, b = min(((a, b) for a in live for b in live if a < b), key=lambda p: (cost(*p), p))
+        far, (n, x), (m, y) = cost(a, b), live.pop(a), live.pop(b)
+        live[k + len(joins)] = n + m, (n * x + m * y) / (n + m)
+        joins.append((a, b, far, n + m))
+    return joins
+
+
 def clusters(df: DataFrame, k: int, *, seed: int = 42) -> DataFrame:
     """``cluster`` by hierarchical (bisecting) k-means over all rows, in place of linkage over a sample."""
-    return BisectingKMeans(k=k, seed=seed, featuresCol="pca", predictionCol="cluster").fit(df).transform(df)
+    return _bisected(df, k, seed)

@@ -44,24 +44,44 @@ State = tuple[float, int, int, float]
 START: State = (np.nan, 0, 0, 0.0)
 
 
+def composed(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For maps y -> a[i] y + b[i], the composition of the first up to each, by doubling stretches: no loop over rows."""
+    a, b = a.copy(), b.copy()
+    step = 1
+    while step < len(a):
+        b[step:] = a[step:] * b[:-step] + b[step:]
+        a[step:] = a[step:] * a[:-step]
+        step *= 2
+    return a, b
+
+
+def _maps(s: Smooth, values: np.ndarray, steps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What an observation, ``steps`` rows after the one before, does to the value: y -> a y + b."""
+    w = (1 - s.alpha) ** steps
+    return w / (w + s.alpha), s.alpha * values / (w + s.alpha)
+
+
 def run(s: Smooth, x: np.ndarray, state: State) -> tuple[np.ndarray, State]:
     """Values of a block and the state at its end. A missing input repeats the value and weakens it."""
     y, gap, seen, total = state
-    decay, out = 1 - s.alpha, np.empty(len(x))
-    for i, v in enumerate(x.tolist()):
-        if v != v:
-            gap += 1
-        else:
-            if seen + 1 < s.seed:
-                total += v
-            elif seen < s.seed:
-                y = (total + v) / s.seed
-            else:
-                w = decay ** (gap + 1)
-                y = (w * y + s.alpha * v) / (w + s.alpha)
-            seen, gap = min(seen + 1, s.seed), 0
-        out[i] = y
-    return out, (y, gap, seen, total)
+    at = np.flatnonzero(~np.isnan(x))
+    m, n = len(at), len(x)
+    if not m:
+        return np.full(n, y), (y, gap + n, seen, total)
+    values = x[at]
+    steps = np.diff(at, prepend=-1 - gap)
+    lacking = max(0, s.seed - seen)  # observations until the seed is complete
+    ys = np.full(m, np.nan)
+    if lacking:
+        total += float(values[: lacking - 1].sum())
+        if lacking <= m:
+            ys[lacking - 1] = y = (total + values[lacking - 1]) / s.seed
+    if lacking < m:
+        a, b = composed(*_maps(s, values[lacking:], steps[lacking:]))
+        ys[lacking:] = a * y + b
+    place = np.cumsum(~np.isnan(x)) - 1
+    out = np.where(place >= 0, ys[place], state[0])
+    return out, (float(ys[-1]), n - 1 - int(at[-1]), min(seen + m, s.seed), total)
 
 
 def summary(s: Smooth, x: np.ndarray) -> dict:
@@ -69,14 +89,13 @@ def summary(s: Smooth, x: np.ndarray) -> dict:
     at = np.flatnonzero(~np.isnan(x))
     k = min(len(at), s.seed)
     a, b = [1.0], [0.0]
-    for j in range(len(at) - 1, 0, -1):
-        w = (1 - s.alpha) ** int(at[j] - at[j - 1])
-        c, g = w / (w + s.alpha), s.alpha * x[at[j]] / (w + s.alpha)
-        m, n = a[0] * c, a[0] * g + b[0]
-        if j <= k:
-            a, b = [m, *a][: k + 1], [n, *b][: k + 1]
-        else:
-            a, b = [m], [n]
+    if len(at) > 1:
+        c, g = _maps(s, x[at[1:]], np.diff(at))
+        if len(at) > k:
+            whole = composed(c[k - 1 :], g[k - 1 :])
+            a, b = [float(whole[0][-1])], [float(whole[1][-1])]
+        for i in range(k - 2, -1, -1):
+            a, b = [a[0] * c[i], *a], [a[0] * g[i] + b[0], *b]
     return {"n": len(x), "places": at[:k].tolist(), "values": x[at[:k]].tolist(), "a": a[: max(1, k)], "b": b[: max(1, k)], "last": int(at[-1]) if len(at) else -1}
 
 

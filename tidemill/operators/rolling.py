@@ -71,8 +71,13 @@ def fill_forward(c: Column) -> Column:
     return F.last(c, ignorenulls=True).over(series().rowsBetween(Window.unboundedPreceding, 0))
 
 
+def backwards() -> WindowSpec:
+    """The series from its end: a frame up to the current row then grows by a row at a time, one that looks ahead would be run anew for each."""
+    return Window.partitionBy("series_id").orderBy(F.desc("ts"))
+
+
 def fill_backward(c: Column) -> Column:
-    return F.first(c, ignorenulls=True).over(series().rowsBetween(0, Window.unboundedFollowing))
+    return F.last(c, ignorenulls=True).over(backwards().rowsBetween(Window.unboundedPreceding, 0))
 
 
 def position() -> Column:

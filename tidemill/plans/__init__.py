@@ -9,9 +9,70 @@ from dataclasses import dataclass, field, fields, replace
 from importlib.metadata import entry_points
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .. import sources
-from ..operators import align, bars, events, indicators, labels, regimes, stats
+from ..operators import align, bars, events, indicators, labels, regimes, spectral, stats
+
+
+@dataclass(frozen=True)
+class Dataset:
+    """Another series that is brought to the bars: which columns, and how.
+
+    ``plain``: the last row at or before each bar, missing values become ``fill``; ``grid``: the last value on a grid of ``seconds``
+    (0 before the first); ``ticks``: ``n`` columns of the grid's values, 1 to n slots before; ``exact``: the row of the same time.
+    """
+
+    frame: DataFrame
+    columns: tuple[str, ...] = ("close",)
+    how: str = "plain"
+    seconds: int = 86400
+    n: int = 3
+    fill: float = -1.0
+    prefix: str = ""
+
+    def onto(self, spine: DataFrame, name: str) -> DataFrame:
+        """series_id, ts and this set's columns, called ``<name>_<column>``, for every bar of the spine."""
+        named = {c: f"{self.prefix or name}_{c}" for c in self.columns}
+        right = self.frame.select("series_id", "ts", *(F.col(c).cast("double").alias(n) for c, n in named.items()))
+        out = spine.select("series_id", "ts")
+        if self.how == "plain":
+            return align.as_of(out, right, *named.values()).fillna(self.fill, subset=list(named.values()))
+        if self.how == "exact":
+            return align.exact(out, right, *named.values(), fill=self.fill)
+        for c in named.values():
+            one = right.select("series_id", "ts", c)
+            if self.how == "grid":
+                out = align.resampled_as_of(out, one, self.seconds, c, fill=0.0)
+            elif self.how == "ticks":
+                out = align.shifted_ticks(out, one, self.seconds, c, self.n).withColumnsRenamed({f"tick_{i}": f"{c}_{i}" for i in range(1, self.n + 1)})
+            else:
+                raise ValueError(f"a data set is brought to the bars as plain, grid, ticks or exact, not as {self.how}")
+        return out
+
+
+def aligned_datasets(df: DataFrame, others: dict[str, Dataset], *, seasons: bool = True) -> dict[str, DataFrame]:
+    """Outputs by name, all over the range that bars and data sets have in common: each set brought to the bars, ``hourly`` (bars
+    with their spreads), ``seasonality`` and ``merged``."""
+    limits = align.common_range(df, *(o.frame for o in others.values()))
+    spine = align.within(df, limits)
+    outputs = {name: o.onto(spine, name) for name, o in others.items()}
+    hourly = bars.spreads(spine).drop("volume")
+    merged = hourly
+    for o in outputs.values():
+        merged = merged.join(o, ["series_id", "ts"], "left")
+    if seasons:
+        outputs["seasonality"] = events.seasonality(hourly.select("series_id", "ts"))
+        merged = events.seasonality(merged)
+    return outputs | {"hourly": hourly, "merged": merged}
+
+
+def write_outputs(outputs: dict[str, DataFrame], folder: str, *, format: str = "parquet") -> dict[str, str]:
+    """Each named output to ``<folder>/<name>_aligned``; gives the places."""
+    places = {name: f"{folder.rstrip('/')}/{name}_aligned" for name in outputs}
+    for name, out in outputs.items():
+        sources.write(out, places[name], format=format)
+    return places
 
 
 class Stage:
@@ -30,11 +91,24 @@ class Stage:
     def params(self) -> dict:
         return {f.name: getattr(self, f.name) for f in fields(self)}
 
+    def debug_info(self, out: DataFrame | None = None) -> dict:
+        """The parameters, and the columns of a result."""
+        return self.params() | ({} if out is None else {"output_columns": out.columns})
+
+    def add_debug_info(self, info: dict, out: DataFrame | None = None) -> None:
+        info.update(self.debug_info(out))
+
+    def additional_datasets(self, df: DataFrame, others: dict[str, Dataset]) -> dict[str, DataFrame]:
+        """Named outputs of the bars and other data sets; see :func:`aligned_datasets`."""
+        return aligned_datasets(df, others)
+
 
 INDICATORS: dict[str, Callable[[DataFrame], DataFrame]] = {
-    "rsi": indicators.rsi, "macd": indicators.macd, "adx": indicators.adx, "atr": indicators.atr, "bbands": indicators.bollinger,
-    "stoch": indicators.stochastic, "cci": indicators.cci, "willr": indicators.williams_r, "mom": indicators.momentum,
+    "rsi": indicators.rsi, "macd": indicators.macd, "ema": indicators.ema, "stoch": indicators.stochastic, "adx": indicators.adx, "atr": indicators.atr,
+    "cci": indicators.cci, "bbands": indicators.bollinger, "williams": indicators.williams_r, "momentum": indicators.change_by, "roc": indicators.rate_of_change,
 }
+#: Further names that a configuration may use.
+ALIASES = {"willr": "williams", "mom": "momentum"}
 
 
 @dataclass(frozen=True)
@@ -44,7 +118,7 @@ class TechnicalIndicators(Stage):
     def transform(self, df: DataFrame) -> DataFrame:
         for name in self.indicators:
             before = set(df.columns)
-            made = INDICATORS[name](df)
+            made = INDICATORS[ALIASES.get(name, name)](df)
             df = made.drop(*(c for c in ("gain", "loss", "avg_gain", "avg_loss", "tr", "dx", "s_tr", "s_plus", "s_minus", "plus_dm", "minus_dm", "raw_k", "tp", "ema_fast", "ema_slow") if c not in before))
         return df
 
@@ -98,9 +172,35 @@ class Seasons(Stage):
         return events.seasonality(bars.spreads(df))
 
 
+@dataclass(frozen=True)
+class Fourier(Stage):
+    """Amplitudes of the first frequencies of a sliding window; its regressor is ``models.WindowRegressor``."""
+
+    column: str = "close"
+    n: int = 32
+    kept: int = 4
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return spectral.fourier(df, self.column, self.n, self.kept)
+
+
+@dataclass(frozen=True)
+class SingularSpectrum(Stage):
+    """Trend and share of power of the strongest components of a sliding window; its regressor is ``models.WindowRegressor``."""
+
+    column: str = "close"
+    n: int = 32
+    lag: int = 8
+    kept: int = 2
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return spectral.singular_spectrum(df, self.column, self.n, self.lag, self.kept)
+
+
 STAGES: dict[str, type[Stage]] = {
     "default": TechnicalIndicators, "tech_indicator": TechnicalIndicators, "technical_indicator": TechnicalIndicators,
     "oracle_labels": OracleLabels, "direction_labels": DirectionLabels, "regimes": Regimes, "seasonality": Seasons,
+    "fft": Fourier, "ssa": SingularSpectrum,
 }
 GROUP = "tidemill.stages"
 

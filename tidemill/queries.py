@@ -5,6 +5,7 @@ Ticks are ``events`` (price ``value``, series ``event_type``); all results are r
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import functions as fn
-from .operators import align, bars, events, indicators, labels, regimes, rolling, stats
+from .operators import align, bars, events, indicators, labels, regimes, rolling, spectral, stats
 from .operators import recursive as rec
 from .session import importable
 
@@ -333,6 +334,11 @@ def regime_classes(spark, d):
     return features(spark, d).select("series_id", "ts", regimes.rules().alias("v1"), regimes.rules_v2().alias("v2"), regimes.nearest_centroid().cast("int").alias("v3"))
 
 
+@register(f"WITH RECURSIVE {FEATURES}, st AS (SELECT series_id, ts, {', '.join(c for c in indicators.STUDY_FEATURES if c != 'price_vs_ema200')}, (close - ema200) / (atr_raw + 1e-10) AS price_vs_ema200 FROM feat) SELECT series_id, ts, round(COLUMNS(* EXCLUDE (series_id, ts)), 6) FROM st WHERE {' AND '.join(f'{c} IS NOT NULL' for c in indicators.STUDY_FEATURES)}")
+def study_features(spark, d):
+    return rounded(indicators.study_features(hourly(spark, d)))
+
+
 def classified(spark: SparkSession, d: str) -> DataFrame:
     s = features(spark, d)
     return s.withColumns({"regime": regimes.rules_v2(), "fwd": rolling.lead(F.col("close")) / F.nullif("close", F.lit(0.0)) - 1})
@@ -471,43 +477,6 @@ def label_counts(spark, d):
 # --- alignment ------------------------------------------------------------------------------------------------------
 
 
-def purchases(spark: SparkSession, d: str) -> DataFrame:
-    """Purchases of even users as observations for the ``view`` series' bars."""
-    return ticks(spark, d, "purchase").where("user_id % 2 = 0").select(F.lit("view").alias("series_id"), "ts", "value", "event_id")
-
-
-def view_bars(spark: SparkSession, d: str) -> DataFrame:
-    return hourly(spark, d).where("series_id = 'view'").select("series_id", "ts", "close")
-
-
-_OBS = "obs AS (SELECT 'view' AS series_id, ts, value, event_id FROM events WHERE event_type = 'purchase' AND user_id % 2 = 0)"
-_VIEW = f"{bars_sql()}, spine AS (SELECT series_id, ts, close FROM bars WHERE series_id = 'view')"
-
-
-@register(f"""WITH {_VIEW}, {_OBS}, e AS (SELECT time_bucket(INTERVAL '1 day', max(ts)) AS last FROM obs),
-    k AS (SELECT series_id, ts, close, least(time_bucket(INTERVAL '1 day', ts), last) AS at FROM spine, e)
-    SELECT k.series_id, k.ts, round(k.close, 6) AS close, round(coalesce(o.value, 0), 6) AS value FROM k ASOF LEFT JOIN obs o ON k.series_id = o.series_id AND k.at >= o.ts""")
-def asof_align(spark, d):
-    return rounded(align.resampled_as_of(view_bars(spark, d), purchases(spark, d), DAY, "value"))
-
-
-@register(f"WITH {_VIEW}, {_OBS} SELECT k.series_id, k.ts, round(coalesce(o.value, -1), 6) AS value FROM spine k ASOF LEFT JOIN obs o ON k.series_id = o.series_id AND k.ts >= o.ts")
-def asof_plain(spark, d):
-    s = align.as_of(view_bars(spark, d), purchases(spark, d), "value")
-    return rounded(s.select("series_id", "ts", F.coalesce("value", F.lit(-1.0)).alias("value")))
-
-
-_TICK = ", ".join(
-    f"(SELECT CASE WHEN k.ts >= (SELECT time_bucket(INTERVAL '15 minutes', min(ts)) FROM obs) + INTERVAL '{15 * i} minutes' AND k.ts <= (SELECT time_bucket(INTERVAL '15 minutes', max(ts)) FROM obs) + INTERVAL '{15 * i} minutes' THEN round(max_by(o.value, o.ts), 6) END FROM obs o WHERE o.ts <= k.ts - INTERVAL '{15 * i} minutes') AS tick_{i}"
-    for i in range(1, 4)
-)
-
-
-@register(f"WITH {_VIEW}, {_OBS} SELECT series_id, ts, round(close, 6) AS close, {_TICK} FROM spine k")
-def shifted_ticks(spark, d):
-    return rounded(align.shifted_ticks(view_bars(spark, d), purchases(spark, d), 900, "value", 3))
-
-
 def observations(spark: SparkSession, d: str) -> DataFrame:
     """All events as observations of their own series, the last one by id at each time."""
     return table(spark, d, "events").groupBy(F.col("event_type").alias("series_id"), "ts").agg(F.max_by("value", "event_id").alias("value"))
@@ -524,12 +493,12 @@ _SLOTS = "e AS (SELECT series_id, time_bucket(INTERVAL '15 minutes', min(ts)) AS
 @register(f"""WITH {_ALL}, e AS (SELECT series_id, time_bucket(INTERVAL '1 day', max(ts)) AS last FROM obs GROUP BY 1),
     k AS (SELECT series_id, ts, close, least(time_bucket(INTERVAL '1 day', ts), last) AS at FROM bars JOIN e USING (series_id))
     SELECT k.series_id, k.ts, round(k.close, 6) AS close, round(coalesce(o.value, 0), 6) AS value FROM k ASOF LEFT JOIN obs o ON k.series_id = o.series_id AND k.at >= o.ts""")
-def asof_align_all(spark, d):
+def asof_align(spark, d):
     return rounded(align.resampled_as_of(all_bars(spark, d), observations(spark, d), DAY, "value"))
 
 
 @register(f"WITH {_ALL} SELECT k.series_id, k.ts, round(coalesce(o.value, -1), 6) AS value FROM bars k ASOF LEFT JOIN obs o ON k.series_id = o.series_id AND k.ts >= o.ts")
-def asof_plain_all(spark, d):
+def asof_plain(spark, d):
     s = align.as_of(all_bars(spark, d), observations(spark, d), "value")
     return rounded(s.select("series_id", "ts", F.coalesce("value", F.lit(-1.0)).alias("value")))
 
@@ -541,7 +510,7 @@ _TICKS = ", ".join(
 
 
 @register(f"WITH {_ALL}, {_SLOTS}, {_TICKS} SELECT series_id, ts, round(close, 6) AS close, tick_1, tick_2, tick_3 FROM bars JOIN t1 USING (series_id, ts) JOIN t2 USING (series_id, ts) JOIN t3 USING (series_id, ts)")
-def shifted_ticks_all(spark, d):
+def shifted_ticks(spark, d):
     return rounded(align.shifted_ticks(all_bars(spark, d), observations(spark, d), 900, "value", 3))
 
 
@@ -599,12 +568,39 @@ _SKEW = "(avg(pow({c} - m, 3))) / pow(avg(pow({c} - m, 2)), 1.5)"
 
 @register(f"WITH {bars_sql()} " + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count({c}) AS n, round(stddev_pop({c}), 6) AS std_pop, round({_SKEW.format(c=c)}, 6) AS skew, round(kurtosis_pop({c}), 6) AS kurt FROM bars, (SELECT avg({c}) AS m FROM bars)" for c in _COLS))
 def moments(spark, d):
-    return rounded(stats.moments(hourly(spark, d), *_COLS).drop("k2"))
+    return rounded(stats.moments(hourly(spark, d), *_COLS).drop("k2", "p_value"))
 
 
-@register()
+_K2 = """m AS (SELECT *, skew * sqrt((n + 1) * (n + 3) / (6 * (n - 2))) AS y, 3 * (n * n + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2) * (n + 5) * (n + 7) * (n + 9)) AS beta,
+        (kurt + 6 / (n + 1)) / sqrt(24 * n * (n - 2) * (n - 3) / (pow(n + 1, 2) * (n + 3) * (n + 5))) AS x,
+        6 * (n * n - 5 * n + 2) / ((n + 7) * (n + 9)) * sqrt(6 * (n + 3) * (n + 5) / (n * (n - 2) * (n - 3))) AS s FROM g),
+    t AS (SELECT *, sqrt(2 * (beta - 1)) - 1 AS w2, 6 + 8 / s * (2 / s + sqrt(1 + 4 / (s * s))) AS a FROM m),
+    z AS (SELECT *, asinh(y / sqrt(2 / (w2 - 1))) / sqrt(0.5 * ln(w2)) AS z1, (1 - 2 / a) / (1 + x * sqrt(2 / (a - 4))) AS r FROM t),
+    k AS (SELECT "column", pow(z1, 2) + pow((1 - 2 / (9 * a) - sign(r) * pow(abs(r), 1 / 3.0)) / sqrt(2 / (9 * a)), 2) AS k2 FROM z)"""
+
+
+@register(f"WITH {bars_sql()}, g AS (" + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count({c})::DOUBLE AS n, {_SKEW.format(c=c)} AS skew, kurtosis_pop({c}) AS kurt FROM bars, (SELECT avg({c}) AS m FROM bars)" for c in _COLS) + f'), {_K2} SELECT "column", round(k2, 4) AS k2, round(exp(-k2 / 2), 6) AS p_value FROM k')
 def normality_k2(spark, d):
-    return stats.moments(hourly(spark, d), *_COLS).select("column", "k2")
+    return stats.moments(hourly(spark, d), *_COLS).select("column", F.round("k2", 4).alias("k2"), F.round("p_value", 6).alias("p_value"))
+
+
+@register()
+def normality_shapiro(spark, d):
+    return rounded(stats.shapiro(hourly(spark, d), *_COLS))
+
+
+@register(f"WITH {bars_sql()} {each_sql('count({c}) AS count, round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS std, min({c}) AS min, round(quantile_cont({c}, 0.25), 6) AS q25, round(quantile_cont({c}, 0.5), 6) AS q50, round(quantile_cont({c}, 0.75), 6) AS q75, max({c}) AS max')}")
+def describe(spark, d):
+    return rounded(stats.describe(hourly(spark, d), *_COLS))
+
+
+@register(f"""WITH {bars_sql()}, v AS ({' UNION ALL '.join(f"SELECT '{c}' AS c, {c} AS value FROM bars" for c in _COLS)}),
+    e AS (SELECT c, min(value) AS a, max(value) AS b, stddev_samp(value) * pow(count(*), -0.2) AS h, count(*) AS n, (max(value) - min(value)) / 500 AS width FROM v GROUP BY 1),
+    bins AS (SELECT c, least(floor((value - a) / width), 499) AS bin, count(*) AS m FROM v JOIN e USING (c) GROUP BY 1, 2),
+    grid AS (SELECT *, a + (b - a) * i / 49 AS x FROM e, range(50) AS r(i))
+    SELECT c AS "column", round(x, 6) AS x, round(sum(exp(-pow((x - a - (bin + 0.5) * width) / h, 2) / 2) * m / (n * h * sqrt(2 * pi()))), 6) AS density FROM bins JOIN grid USING (c) GROUP BY c, x""")
+def density(spark, d):
+    return rounded(stats.density(hourly(spark, d), *_COLS, points=50))
 
 
 @register(f"WITH {bars_sql()} {each_sql('round(quantile_cont({c}, 0.25), 6) AS q25, round(quantile_cont({c}, 0.5), 6) AS q50, round(quantile_cont({c}, 0.75), 6) AS q75')}")
@@ -765,12 +761,12 @@ def sliding_windows(spark, d):
     return rounded(s.select("series_id", "ts", F.size("window").alias("n_rows"), total.alias("high_sum"), F.col("window")[7][2].alias("last_close")))
 
 
-@register(f"""WITH {_VIEW}, {_OBS}, r AS (SELECT k.series_id, k.ts, o.value, row_number() OVER (PARTITION BY k.series_id, k.ts ORDER BY o.ts DESC, o.event_id DESC) AS i FROM spine k JOIN obs o ON o.ts <= k.ts),
+@register(f"""WITH {bars_sql()}, r AS (SELECT k.series_id, k.ts, o.value, row_number() OVER (PARTITION BY k.series_id, k.ts ORDER BY o.ts DESC, o.event_id DESC) AS i FROM bars k JOIN events o ON o.event_type = k.series_id AND o.ts <= k.ts),
     g AS (SELECT series_id, ts, max(CASE WHEN i = 1 THEN value END) AS t1, max(CASE WHEN i = 3 THEN value END) AS t3 FROM r WHERE i <= 3 GROUP BY 1, 2)
-    SELECT series_id, ts, round(t1, 6) AS newest, round(t3, 6) AS oldest FROM spine LEFT JOIN g USING (series_id, ts)""")
+    SELECT series_id, ts, round(t1, 6) AS newest, round(t3, 6) AS oldest FROM bars LEFT JOIN g USING (series_id, ts)""")
 def previous_ticks(spark, d):
-    t = purchases(spark, d).withColumnRenamed("event_id", "tick_id")
-    s = events.previous_ticks(view_bars(spark, d), t, "value", 3)
+    t = table(spark, d, "events").select(F.col("event_type").alias("series_id"), "ts", "value", F.col("event_id").alias("tick_id"))
+    s = events.previous_ticks(all_bars(spark, d), t, "value", 3)
     return rounded(s.select("series_id", "ts", F.col("ticks")[2].alias("newest"), F.col("ticks")[0].alias("oldest")))
 
 
@@ -787,6 +783,53 @@ def training_signals(spark, d):
     return rounded(events.training_signals(hourly(spark, d), "close").select("series_id", "ts", "trend", "volatility"))
 
 
+def _signal(name: str, source: str, n: int) -> str:
+    """Scaled trend and volatility of ``source`` (series_id, ts, close), as CTEs that end in ``name``."""
+    cap = lambda c: f"least(greatest({c}, q.{c}_a - 1.5 * (q.{c}_b - q.{c}_a)), q.{c}_b + 1.5 * (q.{c}_b - q.{c}_a)) AS {c}"
+    ends = ", ".join(f"quantile_cont({c}, {p}) AS {c}_{k}" for c in ("trend", "volatility") for k, p in (("a", 0.25), ("b", 0.75)))
+    return f"""{name}_r AS (SELECT series_id, ts, {agg_sql('avg', 'close', n)} AS trend, {agg_sql('stddev_samp', 'close', n)} AS volatility FROM {source}),
+    {name}_f AS (SELECT series_id, ts, first_value(trend IGNORE NULLS) OVER w AS trend, first_value(volatility IGNORE NULLS) OVER w AS volatility FROM {name}_r WINDOW w AS ({W} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+    {name}_q AS (SELECT {ends} FROM {name}_f), {name}_c AS (SELECT series_id, ts, {cap('trend')}, {cap('volatility')} FROM {name}_f, {name}_q q),
+    {name} AS (SELECT series_id, ts, {_scaled('trend')}, {_scaled('volatility')} FROM {name}_c)"""
+
+
+_LOOK = f"({W} ROWS BETWEEN 25 PRECEDING AND 1 PRECEDING)"
+
+
+@register(f"""WITH {bars_sql()}, {_CAL}, f AS (SELECT *, (actual - forecast) AS forecast_diff FROM cal WHERE actual IS NOT NULL),
+    g AS (SELECT *, {_scaled('forecast_diff')}, (actual - min(actual) OVER ()) / (max(actual) OVER () - min(actual) OVER ()) AS scaled_actual, (importance - min(importance) OVER ()) / (max(importance) OVER () - min(importance) OVER ()) AS volatility FROM (SELECT * FROM f)),
+    r AS (SELECT *, row_number() OVER (PARTITION BY ts ORDER BY importance DESC, (country = 'United States') DESC, event_id) AS k FROM g),
+    inside AS (SELECT b.series_id, b.ts, b.close, coalesce(r.scaled_actual, -1) AS actual, coalesce(r.volatility, -1) AS volatility, (r.ts IS NOT NULL)::INT AS event FROM bars b LEFT JOIN r ON r.ts = b.ts AND r.k = 1 WHERE b.ts BETWEEN (SELECT min(ts) FROM g) AND (SELECT max(ts) FROM g)),
+    {_signal('sig', 'inside', 5)}, w AS (SELECT series_id, ts, count(*) OVER {_LOOK} AS n, sum(event) OVER {_LOOK} AS events, sum(actual) OVER {_LOOK} AS actual_sum, sum(volatility) OVER {_LOOK} AS volatility_sum FROM inside)
+    SELECT w.series_id, w.ts, events::INT AS events, round(actual_sum, 6) AS actual_sum, round(volatility_sum, 6) AS volatility_sum, trend, volatility FROM w JOIN sig USING (series_id, ts) WHERE n = 25""")
+def calendar_windows(spark, d):
+    s = events.calendar_windows(hourly(spark, d), calendar(spark, d), window=25, divisor=5, preferred="UNITED STATES", tie="event_id")
+    total = lambda i: F.aggregate(F.transform("window", lambda r: r[i]), F.lit(0.0), lambda a, x: a + x)
+    at = events.CALENDAR_ROW.index
+    return rounded(s.select("series_id", "ts", total(at("event")).cast("int").alias("events"), total(at("actual")).alias("actual_sum"), total(at("volatility")).alias("volatility_sum"), "trend", "volatility"))
+
+
+@register()
+def economic_calendar(spark, d):
+    return events.process_calendar(hourly(spark, d), calendar(spark, d), window=25, divisor=5)
+
+
+_WAVE = ", ".join(
+    f"CASE WHEN w IS NOT NULL THEN round(2 / 32.0 * sqrt(pow(list_sum(list_transform(list_zip(w, {[math.cos(2 * math.pi * k * j / 32) for j in range(32)]}), lambda p: p[1] * p[2])), 2) + pow(list_sum(list_transform(list_zip(w, {[math.sin(2 * math.pi * k * j / 32) for j in range(32)]}), lambda p: p[1] * p[2])), 2)), 6) END AS fft_{k}"
+    for k in (1, 2)
+)
+
+
+@register(f"WITH {bars_sql()}, l AS (SELECT series_id, ts, CASE WHEN count(close) OVER {frame(32)} = 32 THEN list(close) OVER {frame(32)} END AS w FROM bars) SELECT series_id, ts, {_WAVE} FROM l")
+def window_spectrum(spark, d):
+    return rounded(spectral.fourier(hourly(spark, d).select("series_id", "ts", "close"), "close", 32, 2).drop("close"))
+
+
+@register()
+def singular_spectrum(spark, d):
+    return rounded(spectral.singular_spectrum(hourly(spark, d).select("series_id", "ts", "close")).drop("close"))
+
+
 _ENC = ", ".join(f"round({'cos' if i % 2 else 'sin'}(p / {10000.0 ** (2 * (i // 2) / 4)!r}), 6) AS pos_enc_{i}" for i in range(4))
 
 
@@ -801,16 +844,17 @@ def seasonality(spark, d):
     return events.seasonality(hourly(spark, d).select("series_id", "ts"))
 
 
-_SAMPLE = "s_suppkey <= 40"
+#: Rows of the clustering sample, the lowest by hash.
+SAMPLE = 5000
 
 
-@register(f"""WITH s AS (SELECT s_suppkey, s_acctbal, s_nationkey FROM supplier WHERE {_SAMPLE}),
+@register(f"""WITH s AS (SELECT s_suppkey, s_acctbal, s_nationkey FROM supplier ORDER BY md5(s_suppkey::VARCHAR) LIMIT {SAMPLE}),
     f AS (SELECT p.s_suppkey AS id, s.s_nationkey % 3 AS label, row_number() OVER (PARTITION BY p.s_suppkey ORDER BY pow(p.s_acctbal - s.s_acctbal, 2), s.s_nationkey % 3) AS k FROM supplier p, s),
     v AS (SELECT id, label, count(*) AS n FROM f WHERE k <= 5 GROUP BY 1, 2), w AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY n DESC, label) AS r FROM v) SELECT id, label::INT AS label FROM w WHERE r = 1""")
 def knn_labels(spark, d):
     s = table(spark, d, "supplier")
-    sample = s.where(_SAMPLE).select("s_acctbal", (F.col("s_nationkey") % 3).alias("label"))
-    return events.nearest_labels(s.select(F.col("s_suppkey").alias("id"), "s_acctbal"), sample, ("s_acctbal",), "label").select("id", "label")
+    sample = s.orderBy(F.md5(F.col("s_suppkey").cast("string").cast("binary"))).limit(SAMPLE).select("s_acctbal", (F.col("s_nationkey") % 3).alias("label"))
+    return events.nearest_labels(s.select(F.col("s_suppkey").alias("id"), "s_acctbal"), sample, ("s_acctbal",), "label", max_sample=SAMPLE).select("id", "label")
 
 
 @register(f"""WITH RECURSIVE {CLASSED} SELECT regime, count(*) AS bars, round(avg(fwd), 6) AS mean_fwd, round(avg(adx), 6) AS adx FROM cls GROUP BY 1""")

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators import recursive
+
 
 def streaming_bars(ticks: DataFrame, width: str, late: str, *, series: str, ts: str, price: str, order: str) -> DataFrame:
     """OHLC bars of a tick stream; a bar is final once the watermark has passed its end."""
@@ -23,19 +25,21 @@ def streaming_bars(ticks: DataFrame, width: str, late: str, *, series: str, ts:
 
 def streaming_ema(rows: DataFrame, column: str, n: int) -> DataFrame:
     """Exponential mean of a stream of rows that arrive in order of time in each series; one number of state a series."""
-    alpha = 2.0 / (n + 1)
+    spec = recursive.span(column, "ema", n)
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        y = state.get[0] if state.exists else None
+        y = state.get[0] if state.exists else float("nan")
         for f in frames:
             f = f.sort_values("ts")
-            out = []
-            for x in f[column]:
-                if pd.notna(x):
-                    y = float(x) if y is None else (1 - alpha) * y + alpha * float(x)
-                out.append(y)
-            yield pd.DataFrame({"series_id": key[0], "ts": f["ts"], "ema": out})
-        if y is not None:
+            x = f[column].to_numpy(dtype=float, na_value=float("nan"))
+            known = x[x == x]
+            # a first value is its own mean; missing ones leave the mean as it is
+            out, (last, *_) = recursive.run(spec, known, (y, 0, int(y == y), 0.0))
+            place = (x == x).cumsum() - 1
+            ema = [out[p] if p >= 0 else y for p in place]
+            y = last if len(known) else y
+            yield pd.DataFrame({"series_id": key[0], "ts": f["ts"], "ema": [None if e != e else float(e) for e in ema]})
+        if y == y:
             state.update((y,))
 
     return rows.groupBy("series_id").applyInPandasWithState(step, "series_id string, ts timestamp, ema double", "y double", "append", GroupStateTimeout.NoTimeout)
