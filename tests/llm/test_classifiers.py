@@ -103,3 +103,91 @@ def test_counterfactual_penalty_closes_the_gap_of_neutral_mentions(spark):
 def test_swapping_terms_leaves_other_features():
     terms = toxicity.identity_features()
     assert len({k for k, _, _ in terms}) == len(toxicity.IDENTITY_SETS) and all(h in f for _, h, f in terms)
+
+
+class PlainFtrl:
+    """The updates with dictionaries, one feature at a time."""
+
+    def __init__(self, alpha, l1, l2):
+        self.alpha, self.l1, self.l2, self.z, self.n, self.z0, self.n0 = alpha, l1, l2, {}, {}, 0.0, 0.0
+
+    def weight(self, f):
+        z, n = self.z.get(f, 0.0), self.n.get(f, 0.0)
+        return 0.0 if abs(z) <= self.l1 else -(z - (self.l1 if z > 0 else -self.l1)) / ((1 + n**0.5) / self.alpha + self.l2)
+
+    def bias(self):
+        return -self.z0 / ((1 + self.n0**0.5) / self.alpha)
+
+    def step(self, x, gradient, with_bias=True):
+        w = {f: self.weight(f) for f in x}
+        for f, v in x.items():
+            g, n = gradient * v, self.n.get(f, 0.0)
+            self.z[f] = self.z.get(f, 0.0) + g - ((n + g * g) ** 0.5 - n**0.5) / self.alpha * w[f]
+            self.n[f] = n + g * g
+        if with_bias:
+            b, n = self.bias(), self.n0
+            self.z0 += gradient - ((n + gradient**2) ** 0.5 - n**0.5) / self.alpha * b
+            self.n0 = n + gradient**2
+
+
+def _training_rows(spark, label):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    docs = docs.where("doc_id < 250")
+    rows = quality.labelled_sample(docs, labels, label, 10_000, F.lit(True)).collect()
+    return docs, labels, sorted(rows, key=lambda r: (r.key, r.label))
+
+
+def test_quality_model_equals_plain_updates(spark):
+    docs, labels, rows = _training_rows(spark, "quality")
+    assert len(rows) > 50
+    model = quality.fit_quality(docs, labels, bits=14, epochs=2)
+    plain, xs = PlainFtrl(0.5, 0.0, 1.0), []
+    for f in quality.by_document(pa.array([r.text for r in rows]), linear.word_ngrams):
+        x = {}
+        for h in (f >> np.uint64(50)).tolist():
+            x[h] = x.get(h, 0) + 1
+        xs.append({k: quality.SCALE * c / sum(x.values()) for k, c in x.items()})
+    for epoch in range(2):
+        for i in np.random.default_rng(epoch).permutation(len(rows)):
+            s = plain.bias() + sum(plain.weight(f) * v for f, v in xs[i].items())
+            plain.step(xs[i], float(linear.sigmoid(np.array(s))) - rows[i].label)
+    assert model.bias == pytest.approx(plain.bias())
+    np.testing.assert_allclose(model.weights, [plain.weight(f) for f in range(1 << 14)], atol=1e-9)
+    got = {r.doc_id: r.score for r in quality.score_documents(docs, model, threshold=0.3).collect()}
+    some = docs.where("doc_id < 20 AND text IS NOT NULL").collect()
+    for r, f in zip(some, quality.by_document(pa.array([r.text for r in some]), linear.word_ngrams), strict=True):
+        total = sum(plain.weight(h) for h in (f >> np.uint64(50)).tolist())
+        assert got[r.doc_id] == pytest.approx(float(linear.sigmoid(np.array(plain.bias() + quality.SCALE * total / max(1, len(f))))))
+
+
+@pytest.mark.parametrize("penalty", [0.0, 0.5])
+def test_toxicity_model_equals_plain_updates(spark, penalty):
+    docs, labels, rows = _training_rows(spark, "toxic")
+    model = toxicity.fit_toxicity(docs, labels, epochs=2, penalty=penalty, l1=0.5)
+    plain, rng = PlainFtrl(1.0, 0.5, 0.1), np.random.default_rng(7)
+    slot = lambda h: int(h) >> 42
+    terms = [(k, int(h), {int(x) for x in f}) for k, h, f in toxicity.identity_features()]
+    counts = []
+    for f in quality.by_document(pa.array([r.text for r in rows]), linear.word_prefixes):
+        c = {}
+        for h in f.tolist():
+            c[h] = c.get(h, 0) + 1
+        counts.append(c)
+    for epoch in range(2):
+        for i in np.random.default_rng(epoch).permutation(len(rows)):
+            own = {slot(h) for h in counts[i]}
+            s = plain.bias() + sum(plain.weight(f) for f in own)
+            plain.step(dict.fromkeys(own, 1.0), float(linear.sigmoid(np.array(s))) - rows[i].label)
+            for j, (k, word, parts) in enumerate(terms) if penalty else ():
+                if word not in counts[i]:
+                    continue
+                others = [x for m, (q, _, x) in enumerate(terms) if q == k and m != j]
+                left = {h for h, c in counts[i].items() if c > (counts[i][word] if h in parts else 0)}
+                other = {slot(h) for h in left | others[rng.integers(len(others))]}
+                x = dict.fromkeys(own - other, 1.0) | dict.fromkeys(other - own, -1.0)
+                plain.step(x, 2 * penalty * sum(plain.weight(f) * v for f, v in x.items()), with_bias=False)
+    assert model.bias == pytest.approx(plain.bias())
+    want = {h: plain.weight(slot(h)) for c in counts for h in c}
+    got = dict(zip(model.keys.tolist(), model.weights.tolist(), strict=True))
+    assert got.keys() == {h for h, w in want.items() if w}
+    assert all(got[h] == pytest.approx(want[h], abs=1e-9) for h in got)

@@ -95,18 +95,12 @@ def test_two_documents_replace_the_smallest():
 @given(st.lists(TEXT, min_size=1, max_size=4))
 def test_sentencepiece_parity_and_round_trip(texts):
     enc = _encoder()
-    texts = [t.replace("\x00", "") for t in texts]
-    at = 0
-    for s in T.slices(spm.normalised(pa.array(texts), enc.model)):
-        flat, count, same = enc.encode(s)
-        end = np.cumsum(count)
-        for i, (raw, e, n) in enumerate(zip(enc.decode(flat, count), end, count, strict=True)):
-            t = texts[at + i]
-            if same[i]:
-                assert flat[e - n : e].tolist() == LIB.encode(t)
-            if "▁" not in t:
-                assert raw.decode() == t
-        at += s.n
+    ids, same = enc.encode(texts)
+    assert ids == LIB.encode(texts)
+    for t, x, back, ok in zip(texts, ids, enc.decode(ids), same, strict=True):
+        assert ok == (enc.tok.encode(t, add_special_tokens=False).ids == x)
+        if "▁" not in t:
+            assert back == t
 
 
 _ENC = []
@@ -130,13 +124,56 @@ def test_sentencepiece_rows(spark, edge_docs):
     assert len(rows) == edge_docs.count() and all(r.round_trip for r in rows)
     texts = {r.doc_id: r.text for r in edge_docs.collect()}
     for r in rows:
-        if r.parity:
-            assert list(r.ids) == LIB.encode(texts[r.doc_id] or "")
-        assert r.n_tokens == len(r.ids)
+        assert list(r.ids) == LIB.encode(texts[r.doc_id] or "") and r.n_tokens == len(r.ids)
     assert sum(not r.parity for r in rows) <= 1
     assert spm.encode_documents(edge_docs.limit(0), RAW).count() == 0
 
 
+def test_decoded_rows(spark, edge_docs):
+    encoded = spm.encode_documents(edge_docs, RAW)
+    back = sorted(((r.doc_id, r.text) for r in spm.decode_documents(encoded, RAW).collect()), key=str)
+    assert back == sorted(((r.doc_id, r.text or "") for r in edge_docs.collect()), key=str)
+    odd = spark.createDataFrame([(1, None, 0), (2, [], 0), (None, [15043, None], 0)], "doc_id long, ids array<int>, text int")
+    assert [(r.doc_id, r.text) for r in spm.decode_documents(odd, RAW).collect()] == [(1, None), (2, ""), (None, LIB.decode([15043]))]
+    with pytest.raises(Exception, match="from 0 to"):
+        spm.decode_documents(spark.createDataFrame([(1, [10**6])], "doc_id long, ids array<int>"), RAW).collect()
+
+
+def test_disagreement_shows_and_yields_the_models_own_ids(monkeypatch):
+    enc = spm.Encoder(spm.Model(RAW))
+    enc.tok = spm.build(spm.Model(RAW.replace("▁the".encode(), "▁thz".encode(), 1)))
+    ids, same = enc.encode(["the cat", "cats"])
+    assert ids == LIB.encode(["the cat", "cats"]) and same == [False, True]
+
+
+def _message(n, body):
+    size, out = len(body), b""
+    while size > 127:
+        out, size = out + bytes([size & 127 | 128]), size >> 7
+    return bytes([n << 3 | 2]) + out + bytes([size]) + body
+
+
+def test_a_unigram_model_of_full_size(spark):
+    """The public file's pieces under a unigram model, with byte fallback, against the model's own library on the documents."""
+    m = spm.Model(RAW)
+    raw = b""
+    for i, (piece, _, kind) in enumerate(m.pieces):
+        body = _message(1, piece.encode()) + bytes([2 << 3 | 5]) + np.float32(-np.log(i + 10.0) * 2).tobytes()
+        raw += _message(1, body + (bytes([3 << 3, kind]) if kind != spm.NORMAL else b""))
+    for f, v in spm._fields(RAW):
+        if f == 2:
+            raw += _message(2, v + bytes([3 << 3, spm.UNIGRAM]))  # the last value of a field counts
+        elif f == 3:
+            raw += _message(3, v)
+    own = sentencepiece.SentencePieceProcessor(model_proto=raw)
+    assert spm.Model(raw).kind == spm.UNIGRAM and spm.Model(raw).byte_fallback
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("doc_id < 120")
+    rows = spm.encode_documents(docs, raw).collect()
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    assert all(list(r.ids) == own.encode(texts[r.doc_id] or "") for r in rows)
+    assert sum(r.parity for r in rows) >= 0.95 * len(rows) and all(r.round_trip for r in rows)
+
+
 def test_unigram_model_is_rebuilt(tmp_path):
     def field(n, kind, body):
         return bytes([n << 3 | kind]) + body

@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import atexit
 import ctypes
 import functools
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -14,21 +12,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import importable
+from ..session import importable, remove_at_exit, shared_dir, stored
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return importable(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+__all__ = ["bounded_broadcast", "bucketed", "fold", "free_name", "frugal", "frugal_group", "frugal_pair", "joined_hot", "shared_dir", "shuffle_partitions", "stored", "summed_vectors", "table"]
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a local one only where none is set."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        named = f"file://{tempfile.mkdtemp(prefix='tidemill-')}"
-        spark.sparkContext.setCheckpointDir(named)
-        named = spark.sparkContext.getCheckpointDir()
-    return named
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return importable(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 _LIBC: list = []
@@ -86,40 +77,16 @@ def frugal_pair(fn: Callable[[pa.Table, pa.Table], pa.Table]) -> Callable[[pa.Ta
     return run
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder and read again: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tidemill-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    _drop_at_exit(spark, path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def bucketed(df: DataFrame, key: str, buckets: int) -> DataFrame:
     """``df`` stored by buckets of ``key``, so that later grouping by it reads each bucket where it lies, without a shuffle."""
     spark = df.sparkSession
     name = f"tidemill_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark)}/{name}"
     df.write.option("compression", "zstd").option("path", path).bucketBy(buckets, key).saveAsTable(name, format="parquet")
-    _drop_at_exit(spark, path, name)
+    remove_at_exit(spark, path, name)
     return spark.table(name)
 
 
-def _drop_at_exit(spark: SparkSession, path: str, table_name: str | None = None) -> None:
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-
-    def drop() -> None:
-        try:
-            if table_name:
-                spark.sql(f"DROP TABLE IF EXISTS {table_name}")
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(conf).delete(at, True)
-        except Exception:  # noqa: BLE001 - the JVM may have gone before the interpreter ends
-            pass
-
-    atexit.register(drop)
-
-
 def fold(doc_id: str | Column, mod: int) -> Column:
     """crc32 of the id as text modulo ``mod`` (null for a null id)."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id
@@ -136,6 +103,32 @@ def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if small else df
 
 
+#: Copies of the rows of a join's right side that frequent keys of the left side are dealt to.
+SALTS = 16
+
+
+def joined_hot(left: DataFrame, right: DataFrame, keys: list[str], how: str, max_rows: int) -> DataFrame:
+    """``left`` joined to ``right``, which has one row for a key, where a key may have a third of the rows of ``left``.
+
+    A right side of at most ``max_rows`` rows is broadcast; a larger one is copied ``SALTS`` times, and each row of
+    ``left`` meets one of the copies, so no task gets more than a share of a key.
+    """
+    if right.limit(max_rows + 1).count() <= max_rows:
+        return left.join(F.broadcast(right), keys, how)
+    salt = free_name(left.columns + right.columns, "salt")
+    dealt = left.withColumn(salt, (F.monotonically_increasing_id() % SALTS).cast("int"))
+    copies = right.withColumn(salt, F.explode(F.array(*(F.lit(i) for i in range(SALTS)))))
+    return dealt.join(copies, [*keys, salt], how).drop(salt)
+
+
+def free_name(columns: list[str], name: str) -> str:
+    """``name``, made longer until no column is called so (in any case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 SLICES = 16
 
 

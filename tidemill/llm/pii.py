@@ -1,16 +1,20 @@
 """Personal data: detected entities give way to keyed, type-consistent surrogates. DataFrame functions only.
 
-Mentions are found by one pattern. A mention consists of units (a name has one for each word, any
+Mentions are found by one pattern in one pass. A mention consists of units (a name has one for each word, any
 other mention is one unit). Every distinct unit of the corpus gets a surrogate derived from a keyed hash in
 its own format: letters stay letters of their script and case, digits digits, cards keep their issuer
-digit and check sum, addresses stay valid, names keep gender and script. One unit has one surrogate
-wherever it stands (coreference); a surrogate that another unit has already, or that occurs as a real
-unit, is drawn anew until none is left (distinctness).
+digit and check sum, account numbers their country and check digits, addresses stay valid, names keep gender and
+script. One unit has one surrogate wherever it stands (coreference); a surrogate that another unit has
+already, or that occurs as a real unit, is drawn anew, from a space that grows with the attempts, until
+none is left (distinctness).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import functools
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import base
@@ -19,36 +23,58 @@ MALE_TITLES = ("Mr", "Herr", "Señor", "Monsieur", "Mister", "Sir", "госпо
 FEMALE_TITLES = ("Mrs", "Ms", "Miss", "Frau", "Señora", "Señorita", "Madame", "Mme", "госпожа")
 OPEN_TITLES = ("Dr", "Prof", "Professor", "Doctor", "Doktor")
 #: Given names that tell the gender where no title does.
-MALE_NAMES = ("james", "john", "robert", "michael", "william", "david", "thomas", "peter", "paul", "jean", "pierre", "hans", "klaus", "josé", "carlos", "miguel", "иван", "пётр", "сергей", "дмитрий")
-FEMALE_NAMES = ("mary", "patricia", "jennifer", "linda", "elizabeth", "susan", "sarah", "karen", "marie", "sophie", "ursula", "sabine", "maría", "carmen", "lucía", "анна", "мария", "ольга", "елена", "наталья")
+MALE_NAMES = tuple(
+    "james john robert michael william david thomas peter paul bob bill jim mike steve george charles daniel matthew anthony mark andrew joshua "
+    "kevin brian edward henry frank jack jean pierre jacques michel louis antoine hans klaus jürgen wolfgang stefan heinrich josé carlos miguel juan luis javier "
+    "pedro antonio иван пётр сергей дмитрий александр алексей андрей николай".split()
+)
+FEMALE_NAMES = tuple(
+    "mary patricia jennifer linda elizabeth susan sarah karen alice emily emma jane laura rachel jessica nancy margaret lisa betty helen julia anna "
+    "catherine barbara diana rebecca marie sophie claire isabelle camille nathalie ursula sabine monika petra heike greta maría carmen lucía ana isabel "
+    "elena rosa анна мария ольга елена наталья татьяна ирина светлана екатерина".split()
+)
+
+
+def one_of(words: tuple[str, ...]) -> str:
+    """A pattern of these words that tells them apart letter by letter, the longest first."""
+    heads: dict[str, list[str]] = {}
+    for w in words:
+        heads.setdefault(w[:1], []).append(w[1:])
+    parts = [re.escape(h) + (one_of(tuple(rest)) if rest != [""] else "") for h, rest in heads.items() if h]
+    if len(parts) == 1 and "" not in heads:
+        return parts[0]
+    return "(?:" + "|".join(parts) + ")" + ("?+" if "" in heads else "")
 
-_TITLE = "(?:" + "|".join(MALE_TITLES + FEMALE_TITLES + OPEN_TITLES) + r")\b\.?"
-_GIVEN = "(?:" + "|".join(n.capitalize() for n in MALE_NAMES + FEMALE_NAMES) + ")"
+
+_TITLE = one_of(MALE_TITLES + FEMALE_TITLES + OPEN_TITLES) + r"(?!\p{L})\.?"
+_GIVEN = one_of(tuple(dict.fromkeys(n.capitalize() for n in MALE_NAMES + FEMALE_NAMES))) + r"(?!\p{L})"
 _CAPITAL = r"\p{Lu}[\p{L}'’-]{1,40}"
 
+#: Lookbehinds that only hold inside a text.
+_AFTER_DIGIT = r"(?<=\d[ .-])"
+_AFTER_WORD = r"(?<=(?i:phone|mobile|whatsapp|call|cell|tel|fax|sms)[.:]?\s)"
 _PHONES = (
-    r"(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\) ?|(?<=\d[ .-])\d{2,4}[ .-]|\d{3}[.-])\d{3,4}[ .-]\d{3,4}",
+    rf"(?:\+\d{{1,3}}[ .-]?)?(?:\(\d{{2,4}}\) ?|{_AFTER_DIGIT}\d{{2,4}}[ .-]|\d{{3}}[.-])\d{{3,4}}[ .-]\d{{3,4}}",
     r"\+(?:[ .()/-]{0,2}+\d){7,15}+",  # international, grouped in any way or not at all
-    r"(?<!\d[ .,-])(?:\d{3} \d{3} \d{4}|0\d(?:[ .-]\d{2}){4})(?! \d)",
+    r"(?<!\d[ .,-])(?:\d{3} \d{3} \d{4}|0\d{2,4} \d{3,4} \d{4}|0\d(?:[ .-]\d{2}){4})(?! \d)",
     r"(?<!\d[ .,-])0\d{1,4}[ /-]\d{5,8}",
+    rf"{_AFTER_WORD}(?:\d{{3}}[ -]\d{{4}}|\d{{10}})(?![ -]\d)",  # short or of bare digits
 )
 
-#: Possessive or bounded, so that no text makes it backtrack far.
+#: Possessive or bounded, so that no text makes it backtrack far. All but secrets begin where a word does.
 KINDS: dict[str, str] = {
-    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@(?:[\p{L}\p{N}-]{1,63}+\.){1,8}\p{L}{2,24}+",
-    "secret": r"(?<=(?i:token|secret|password|passwd|api_key|apikey|access_key)['\"]?\s{0,3}[=:]\s{0,3}['\"]?)(?=[A-Za-z0-9+/_.~=%$-]{0,64}?[A-Za-z0-9+/_-]{16})[A-Za-z0-9+/_-]++(?:[.~=%$]{1,3}+[A-Za-z0-9+/_-]++)*+",
-    "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
-    "ip": r"(?<![\p{N}.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?![\p{N}]|\.\d)",
-    "ssn": r"(?<![\p{N}-])\d{3}-\d{2}-\d{4}(?![\p{N}-])",
-    "phone": rf"(?<![\p{{N}}\p{{L}}])(?:{'|'.join(_PHONES)})(?![\p{{N}}])",
-    "card": r"(?<![\p{N}\p{L}])\d(?:[ -]?\d){12,18}(?![\p{N}\p{L}])",
-    "name": rf"(?<!\p{{L}})(?:{_TITLE} {_CAPITAL}(?: {_CAPITAL}){{0,2}}|{_GIVEN} {_CAPITAL}(?: {_CAPITAL})?)",
+    "secret": r"(?<=[=:\s'\"])(?=[A-Za-z0-9+/_.~=%$-]{16})(?<=(?i:token|secret|password|passwd|api_key|apikey|access_key)['\"]?\s{0,3}[=:]\s{0,3}['\"]?)(?=[A-Za-z0-9+/_.~=%$-]{0,64}?[A-Za-z0-9+/_-]{16})[A-Za-z0-9+/_-]++(?:[.~=%$]{1,3}+[A-Za-z0-9+/_-]++)*+",
+    "email": r"(?<![._%+-])[\p{L}\p{N}._%+-]{1,64}+@(?:[\p{L}\p{N}-]{1,63}+\.){1,8}\p{L}{2,24}+",
+    "iban": r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
+    "ip": r"(?<!\.)(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?![\p{N}]|\.\d)",
+    "ip6": r"(?<!:)(?=[A-Fa-f:]{0,30}+[0-9])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![\p{L}\p{N}:])",
+    "ssn": r"(?<!-)\d{3}-\d{2}-\d{4}(?![\p{N}-])",
+    "phone": rf"(?:{'|'.join(_PHONES)})(?![\p{{N}}])",
+    "card": r"\d(?:[ -]?\d){12,18}(?![\p{N}\p{L}])",
+    "name": rf"(?:{_TITLE} {_CAPITAL}(?: {_CAPITAL}){{0,2}}|{_GIVEN} {_CAPITAL}(?: {_CAPITAL})?)",
 }
 #: Its only group holds what stands behind a secret's keyword.
-PATTERN = "|".join(f"({p})" if k == "secret" else f"(?:{p})" for k, p in KINDS.items())
-_KEYWORD = "(?i:token|secret|passw|api_?key|access_key)"
-#: A text without any of these has no mention.
-_HINT = rf"[@0-9]|{_KEYWORD}|(?<!\p{{L}})(?:{_TITLE}|{_GIVEN}) "
+PATTERN = f"({KINDS['secret']})|(?<![\\p{{L}}\\p{{N}}])(?:" + "|".join(p for k, p in KINDS.items() if k != "secret") + ")"
 
 _LATIN_SYLLABLES = ("ba", "be", "da", "do", "fa", "ga", "ha", "ka", "ke", "la", "le", "li", "lo", "ma", "me", "mi", "na", "ne", "no", "pa", "ra", "re", "ri", "ro", "sa", "se", "ta", "te", "va", "vi", "wa", "zo")
 _CYRILLIC_SYLLABLES = ("ба", "бе", "ва", "ви", "га", "да", "до", "жи", "за", "ка", "ко", "ла", "ле", "ли", "ло", "ма", "ме", "ми", "на", "не", "но", "па", "ра", "ре", "ро", "са", "се", "та", "те", "фа", "ха", "зо")
@@ -62,19 +88,33 @@ def _array(words: tuple[str, ...]) -> str:
     return "array(" + ",".join(_sql(w) for w in words) + ")"
 
 
-def mentions(text: Column) -> Column:
-    """The mentions of a text in order (empty for a null text), and whether each stands behind a secret's keyword."""
-    none = F.array().cast("array<string>")
-    found = F.when(text.rlike(_HINT), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).otherwise(none)
-    secret = F.when(text.rlike(_KEYWORD), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(1))).otherwise(none)
-    return F.zip_with(found, secret, lambda m, s: F.struct(m.alias("mention"), F.coalesce(m == s, F.lit(False)).alias("behind")))
+#: Marks around a mention and behind what its secret group holds; they are no characters of any text.
+_MARKS = "\ufdd0", "\ufdd1", "\ufdd2"
+_ANY_MARK = f"[{''.join(_MARKS)}]"
+
+
+def pieces(text: Column) -> Column:
+    """The text before a mention, the mention, and the mention again if it stands behind a secret's keyword (else nothing), in
+    turn; last the text behind all mentions. A text that holds a mark itself is cut in several passes instead of one."""
+    marked = F.regexp_replace(text, F.lit(PATTERN), F.lit(f"{_MARKS[0]}$0{_MARKS[1]}$1{_MARKS[2]}"))
+    rest = F.split(text, PATTERN, -1)
+    found, secret = (F.regexp_extract_all(text, F.lit(PATTERN), F.lit(k)) for k in (0, 1))
+    between = F.transform(rest, lambda x, i: F.when(i < F.size(found), F.array(x, F.get(found, i), F.coalesce(F.get(secret, i), F.lit("")))).otherwise(F.array(x)))
+    return F.when(text.rlike(_ANY_MARK), F.flatten(between)).otherwise(F.split(marked, _ANY_MARK, -1))
+
+
+def mentions(cut: Column) -> Column:
+    """(mention, whether behind a keyword) in order, from :func:`pieces`."""
+    n = ((F.size(cut) - 1) / 3).cast("int")
+    at = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(at, lambda i: F.struct(F.get(cut, 3 * i + 1).alias("mention"), (F.get(cut, 3 * i + 1) == F.get(cut, 3 * i + 2)).alias("behind")))
 
 
 def _kind(m: Column) -> Column:
     """The first kind whose pattern is the whole mention; a secret is what is no other kind."""
     c = F.when(m.contains("@"), "email")
-    for k in ("ip", "ssn", "phone", "card", "iban", "name"):
-        whole = KINDS[k].replace(r"(?<=\d[ .-])", "")
+    for k in ("ip", "ip6", "ssn", "phone", "card", "iban", "name"):
+        whole = KINDS[k].replace(_AFTER_DIGIT, "").replace(_AFTER_WORD, "")
         c = c.when(m.rlike(f"^(?:{whole})$"), k)
     return c.otherwise("secret")
 
@@ -91,6 +131,11 @@ def luhn_sum(digits: str) -> str:
     )
 
 
+def remainder_97(account: str) -> str:
+    """SQL for the remainder by 97 of an account number whose letters count as 10 to 35."""
+    return f"aggregate(split({account}, ''), 0, (a, c) -> CASE WHEN c RLIKE '[0-9]' THEN (a * 10 + int(c)) % 97 WHEN c RLIKE '[A-Z]' THEN (a * 100 + ascii(c) - 55) % 97 ELSE a END)"
+
+
 #: Issuers' leading digits.
 _ISSUER = "^(?:4|5[1-5]|2[2-7]|3[47]|35|36|30|6011|64|65)"
 
@@ -110,7 +155,7 @@ def _units(found: DataFrame) -> DataFrame:
         "kind",
         F.expr(
             f"""CASE kind WHEN 'email' THEN lower(mention) WHEN 'phone' THEN right({_digits("mention")}, 10)
-                WHEN 'card' THEN {_digits("mention")} WHEN 'ssn' THEN {_digits("mention")} WHEN 'iban' THEN replace(mention, ' ', '') ELSE mention END"""
+                WHEN 'card' THEN {_digits("mention")} WHEN 'ssn' THEN {_digits("mention")} WHEN 'iban' THEN replace(mention, ' ', '') WHEN 'ip6' THEN lower(mention) ELSE mention END"""
         ).alias("canon"),
     )
     title = F.regexp_extract(m, rf"^(?:{_TITLE})", 0)
@@ -147,11 +192,14 @@ def _surrogate(key: str) -> Column:
         f"WHEN c RLIKE '\\\\p{{{{Lu}}}}' THEN char(65 + {r('i', 26)}) WHEN c RLIKE '\\\\p{{{{L}}}}' THEN char(97 + {r('i', 26)}) ELSE c END), '')"
     )
     hexed = lambda digits: f"array_join(transform(split(canon, ''), (c, i) -> substr('{digits}', 1 + {r('i', 16)}, 1)), '')"
-    octets = f"array_join(transform(split(canon, '[.]'), (c, i) -> string(CASE length(c) WHEN 1 THEN 1 + {r('i', 9)} WHEN 2 THEN 10 + {r('i', 90)} ELSE 100 + {r('i', 156)} END)), '.')"
+    # further attempts leave the octets' lengths
+    octets = f"array_join(transform(split(canon, '[.]'), (c, i) -> string(CASE WHEN attempt >= 4 THEN 1 + {r('i', 254)} WHEN length(c) = 1 THEN 1 + {r('i', 9)} WHEN length(c) = 2 THEN 10 + {r('i', 90)} ELSE 100 + {r('i', 156)} END)), '.')"
     body = f"concat(left(canon, 1), array_join(transform(sequence(1, length(canon) - 2), i -> string({r('i', 10)})), ''))"
     card = f"concat({body}, string(pmod(10 - {luhn_sum(f'concat({body}, {_sql(chr(48))})')} % 10, 10)))"
     domain = "substring_index(canon, '@', -1)"
-    email = f"concat({by_char.format(text='substring_index(canon, ' + _sql('@') + ', 1)')}, '@', regexp_replace({by_char.format(text=domain)}, '[^.]*$', ''), substring_index({domain}, '.', -1))"
+    # further attempts have a longer local part
+    longer = f"CASE WHEN attempt >= 4 THEN array_join(transform(sequence(1, attempt div 4), i -> char(97 + {r('1000 + i', 26)})), '') ELSE '' END"
+    email = f"concat({by_char.format(text='substring_index(canon, ' + _sql('@') + ', 1)')}, {longer}, '@', regexp_replace({by_char.format(text=domain)}, '[^.]*$', ''), substring_index({domain}, '.', -1))"
 
     def name(kind: str) -> str:
         lat = {"given_m": ("o", "en", "ard"), "given_f": ("a", "ina", "elle"), "given_n": ("is", "in", "y"), "surname": ("son", "berg", "ez", "ani", "ton", "mann")}.get(kind, ("ov",))
@@ -167,35 +215,56 @@ def _surrogate(key: str) -> Column:
     names = " ".join(f"WHEN '{k}' THEN {name(k)}" for k in ("given_m", "given_f", "given_n", "surname", "surname_m", "surname_f", "surname_n"))
     plain = by_char.format(text="canon")
     # further attempts of a short unit whose format has no free place left get a longer surrogate
-    grown = f"concat({plain}, CASE WHEN attempt >= 32 THEN string(attempt) ELSE '' END)"
+    more = f"CASE WHEN attempt >= 8 THEN array_join(transform(sequence(1, attempt div 8), i -> string({r('2000 + i', 10)})), '') ELSE '' END"
+    grown = f"concat({plain}, {more})"
+    # no area 000, 666 or above 899, no group 00, no serial 0000
+    area = f"1 + {r('1', 898)}"
+    ssn = f"CASE WHEN length(canon) = 9 THEN concat(lpad(string({area} + CASE WHEN {area} >= 666 THEN 1 ELSE 0 END), 3, '0'), lpad(string(1 + {r('2', 99)}), 2, '0'), lpad(string(1 + {r('3', 9999)}), 4, '0')) ELSE {grown} END"
+    phone = f"concat(CASE WHEN canon LIKE '0%' THEN '0' ELSE string(2 + {r('0', 8)}) END, substr({plain}, 2), {more})"
+    account = by_char.format(text="substr(canon, 5)")
+    hex6 = f"concat(array_join(transform(split(canon, ''), (c, i) -> CASE WHEN c = ':' THEN c ELSE substr('123456789abcdef', 1 + {r('i', 15)}, 1) END), ''), CASE WHEN attempt >= 8 AND canon LIKE '%::%' THEN ':1' ELSE '' END)"
     secret = f"CASE WHEN canon RLIKE '^[0-9]*[a-f][0-9a-f]*$' THEN {hexed('0123456789abcdef')} WHEN canon RLIKE '^[0-9]*[A-F][0-9A-F]*$' THEN {hexed('0123456789ABCDEF')} ELSE {grown} END"
-    one = f"CASE kind WHEN 'email' THEN {email} WHEN 'ip' THEN {octets} WHEN 'card' THEN {card} WHEN 'secret' THEN {secret} {names} ELSE {grown} END"
+    iban = f"element_at(transform(array(concat({account}, {more})), a -> concat(left(canon, 2), lpad(string(98 - {remainder_97('concat(a, left(canon, 2), ' + _sql('00') + ')')}), 2, '0'), a)), 1)"
+    one = f"CASE kind WHEN 'email' THEN {email} WHEN 'ip' THEN {octets} WHEN 'ip6' THEN {hex6} WHEN 'card' THEN {card} WHEN 'ssn' THEN {ssn} WHEN 'phone' THEN {phone} WHEN 'iban' THEN {iban} WHEN 'secret' THEN {secret} {names} ELSE {grown} END"
     # the seed is made once for a unit, not for each character: a secret may be long
     return F.expr(f"element_at(transform(array({seed}), seed -> {one}), 1)")
 
 
+#: Units up to which those that are drawn anew go to all tasks (about 100 bytes each).
+AGAIN_ROWS = 100_000
+
+
 def distinct_surrogates(units: DataFrame, key: str) -> DataFrame:
-    """kind, canon, surrogate of each distinct unit: no two alike within a kind, none equal to a real unit of it."""
+    """kind, canon, surrogate of each distinct unit: no two alike within a kind, none equal to a real unit of it.
+
+    A round only handles the units that collided in the one before. Each further attempt of a kind draws from a larger
+    space (longer names, local parts, digits), so the rounds end however many units there are.
+    """
     real = base.stored(units.select("kind", "canon").distinct())
-    held = base.stored(real.withColumn("attempt", F.lit(0)).withColumn("surrogate", _surrogate(key)))
+    used = real.select("kind", F.col("canon").alias("surrogate"))
+    pending = real.withColumn("attempt", F.lit(0))
+    settled: DataFrame | None = None
     while True:
-        # the settled one keeps its surrogate: the fewest attempts, then the smallest unit
-        place = F.row_number().over(Window.partitionBy("kind", "surrogate").orderBy("attempt", "canon"))
-        seen = real.select("kind", F.col("canon").alias("surrogate"), F.lit(True).alias("is_real"))
-        marked = held.withColumn("place", place).join(seen, ["kind", "surrogate"], "left")
-        marked = base.stored(marked.select("kind", "canon", "attempt", "surrogate", ((F.col("place") > 1) | F.col("is_real").isNotNull()).alias("again")))
-        if marked.where("again").isEmpty():
-            return held.select("kind", "canon", "surrogate")
-        anew = marked.where("again").select("kind", "canon", (F.col("attempt") + 1).alias("attempt")).withColumn("surrogate", _surrogate(key))
-        held = base.stored(marked.where("NOT again").select("kind", "canon", "attempt", "surrogate").unionByName(anew))
+        drawn = base.stored(pending.withColumn("surrogate", _surrogate(key)))
+        wanted = drawn.select("kind", "surrogate").distinct()
+        taken = used.join(base.bounded_broadcast(wanted, AGAIN_ROWS), ["kind", "surrogate"], "left_semi").withColumn("taken", F.lit(True))
+        place = F.row_number().over(Window.partitionBy("kind", "surrogate").orderBy("canon"))
+        marked = drawn.withColumn("place", place).join(taken.distinct(), ["kind", "surrogate"], "left")
+        marked = base.stored(marked.select("kind", "canon", "attempt", "surrogate", ((F.col("place") > 1) | F.col("taken").isNotNull()).alias("again")))
+        good = marked.where("NOT again").select("kind", "canon", "surrogate")
+        settled = good if settled is None else settled.unionByName(good)
+        used = used.unionByName(good.select("kind", "surrogate"))
+        pending = marked.where("again").select("kind", "canon", (F.col("attempt") + 1).alias("attempt"))
+        if pending.isEmpty():
+            return settled
 
 
 def _rendered() -> Column:
     """The surrogate in the written form of the unit ``raw``."""
     before = "length(regexp_replace(left(raw, i), '[^0-9]', ''))"
     shift = f"(length({_digits('raw')}) - length(canon))"
-    # digits are filled in from the right, so a country code that is no part of the unit stays
-    filled = f"array_join(transform(split(raw, ''), (c, i) -> CASE WHEN c RLIKE '[0-9]' AND {before} >= {shift} THEN substr(surrogate, {before} - {shift} + 1, 1) ELSE c END), '')"
+    # digits are filled in from the right, so a country code that is no part of the unit stays; those of a grown surrogate follow
+    filled = f"concat(array_join(transform(split(raw, ''), (c, i) -> CASE WHEN c RLIKE '[0-9]' AND {before} >= {shift} THEN substr(surrogate, {before} - {shift} + 1, 1) ELSE c END), ''), substr(surrogate, length(canon) + 1))"
     spaced = "CASE WHEN contains(raw, ' ') THEN trim(regexp_replace(surrogate, '(.{4})', '$1 ')) ELSE surrogate END"
     cased = "CASE WHEN raw = upper(raw) AND raw <> lower(raw) AND length(raw) > 1 THEN upper(surrogate) WHEN kind LIKE '%name%' OR kind LIKE 'given%' THEN initcap(surrogate) ELSE surrogate END"
     return F.expr(f"CASE WHEN kind IN ('phone', 'card', 'ssn') THEN {filled} WHEN kind = 'iban' THEN {spaced} WHEN kind IN ('ip', 'secret') THEN surrogate ELSE {cased} END")
@@ -204,21 +273,30 @@ def _rendered() -> Column:
 #: Mentions up to which their surrogates are broadcast (about 150 bytes each); beyond, they are joined by a shuffle.
 BROADCAST_ROWS = 200_000
 
+#: The setting that holds the key of the surrogates.
+KEY_SETTING = "spark.tidemill.surrogateKey"
+
+
+def session_key(spark: SparkSession) -> str:
+    """The surrogates' key from the session; without one, a published key that only suits tests and public texts."""
+    return spark.conf.get(KEY_SETTING, None) or "tidemill-surrogates"
+
 
 def replace_personal_data(docs: DataFrame, *, key: str, text: str = "text") -> DataFrame:
     """``docs`` with all columns, each mention in ``text`` replaced, and the number replaced as ``n_entities``.
 
-    A null text stays null. Texts without personal data stay as they are and are not shuffled.
-    Repeated rows stay repeated and get the same text; ids are not used. An own column of the name
-    ``n_entities`` is replaced. Without rows or mentions the result has the rows as they were.
+    The pattern runs once over every text; the rows are stored with what it found. A null text stays null. Texts without personal
+    data stay as they are and are not shuffled. Repeated rows stay repeated and get the same text; ids are not used. An own column of the name
+    ``n_entities`` is replaced, all others stay whatever they are called. Without rows or mentions the result has the rows as they were.
     """
     columns = [c for c in docs.columns if c != "n_entities"]
-    docs = docs.select(*columns)
-    found = mentions(F.col(text))
-    some = F.coalesce(F.col(text).rlike(_HINT) & F.col(text).rlike(PATTERN), F.lit(False))
-    bearing = docs.where(some)
+    own = functools.partial(base.free_name, docs.columns)
+    cut, mark, filled = own("cut"), own("mark"), own("filled")
+    found = docs.select(*(docs[c] for c in columns)).withColumn(cut, pieces(F.col(text)))
+    held = base.stored(found.withColumn(cut, F.when(F.size(cut) > 1, F.col(cut))))
+    bearing = held.where(F.col(cut).isNotNull())
 
-    listed = base.stored(bearing.select(F.sha2(text, 256).alias("text_key"), found.alias("found")).dropDuplicates(["text_key"]))
+    listed = base.stored(bearing.select(F.sha2(text, 256).alias("text_key"), mentions(F.col(cut)).alias("found")).dropDuplicates(["text_key"]))
     distinct = listed.select(F.inline("found")).distinct()
     units = base.stored(_units(distinct))
     solved = units.join(distinct_surrogates(units, key), ["kind", "canon"]).withColumn("shown", _rendered())
@@ -229,12 +307,12 @@ def replace_personal_data(docs: DataFrame, *, key: str, text: str = "text") -> D
     each = listed.select("text_key", F.posexplode("found").alias("at", "m")).select("text_key", "at", "m.*")
     joined = each.join(base.bounded_broadcast(solved, BROADCAST_ROWS), ["mention", "behind"], "left")
     one = F.struct("at", F.coalesce("shown", "mention").alias("s"), F.col("shown").isNotNull().alias("hit"))
-    filled = joined.groupBy("text_key").agg(F.array_sort(F.collect_list(one)).alias("filled"))
+    answers = joined.groupBy("text_key").agg(F.array_sort(F.collect_list(one)).alias(filled)).select(F.col("text_key").alias(mark), filled)
 
-    rest = F.split(F.col(text), PATTERN, -1)
-    whole = F.array_join(F.zip_with(rest, F.col("__filled"), lambda a, b: F.concat(a, F.coalesce(b["s"], F.lit("")))), "")
-    count = F.size(F.filter("__filled", lambda x: x["hit"]))
-    filled = filled.select(F.col("text_key").alias("__key"), F.col("filled").alias("__filled"))
-    changed = bearing.withColumn("__key", F.sha2(text, 256)).join(filled, "__key", "left")
+    # every third piece is plain text
+    plain = F.filter(F.col(cut), lambda _, i: i % 3 == 0)
+    whole = F.array_join(F.zip_with(plain, F.col(filled), lambda a, b: F.concat(a, F.coalesce(b["s"], F.lit("")))), "")
+    count = F.size(F.filter(filled, lambda x: x["hit"]))
+    changed = bearing.withColumn(mark, F.sha2(text, 256)).join(answers, mark, "left")
     changed = changed.withColumns({text: whole, "n_entities": count}).select(*columns, "n_entities")
-    return docs.where(~some).withColumn("n_entities", F.lit(0)).unionByName(changed)
+    return held.where(F.col(cut).isNull()).select(*columns).withColumn("n_entities", F.lit(0)).unionByName(changed)

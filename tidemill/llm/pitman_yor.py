@@ -210,8 +210,8 @@ class Block:
             yield int(p), self.words[ids], *index, order[bounds[i] : bounds[j]], bounds[i:j] - bounds[i]
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], layout: Layout) -> Iterator[tuple[Block, np.ndarray, list[pa.RecordBatch]]]:
-    """(block, document of each token, the documents' rows); texts are in the last column of the batches."""
+def _blocks(batches: Iterator[pa.RecordBatch], layout: Layout, most: int) -> Iterator[tuple[Block, np.ndarray, list[pa.RecordBatch]]]:
+    """(block of at least ``most`` tokens, document of each token, the documents' rows); texts are in the last column of the batches."""
     held: list[tuple[np.ndarray, np.ndarray]] = []
     rows: list[pa.RecordBatch] = []
     docs = tokens = 0
@@ -228,7 +228,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], layout: Layout) -> Iterator[tuple
             held.append((doc.astype(np.int64) + docs, h))
             rows.append(b.slice(s.first, s.n).select(list(range(b.num_columns - 1))))
             docs, tokens = docs + s.n, tokens + len(h)
-            if tokens >= BLOCK_TOKENS:
+            if tokens >= most:
                 yield made()
                 held.clear()
                 rows.clear()
@@ -245,7 +245,7 @@ def count_words(docs: DataFrame, layout: Layout) -> DataFrame:
     sent = "part int, words binary, two binary, one binary, w binary, c binary"
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, doc, held in _blocks(batches, layout):
+        for block, doc, held in _blocks(batches, layout, BLOCK_TOKENS):
             learn = np.concatenate([x.column(0).to_numpy(zero_copy_only=False).astype(bool) for x in held])[doc]
             # what is only asked for needs no context, but that of a frequent word
             _, frequent = lookup(layout.frequent, block.words[block.one])
@@ -326,8 +326,8 @@ class Seating:
 
     def __init__(self, counts: Counts, layout: Layout) -> None:
         self.counts = counts
-        n = len(counts.words)
-        self.n = n
+        # one number more than there are words stands for a context that the part does not know
+        n = self.n = len(counts.words) + 1
         self.context, self.u = np.unique(counts.one * n + counts.two, return_inverse=True)
         every = np.concatenate([counts.one * n + counts.w, counts.asked_one * n + counts.asked_w])
         self.pair, at = np.unique(every, return_inverse=True)
@@ -748,7 +748,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
-        for sent, (block, doc, held) in enumerate(_blocks(batches, layout)):
+        for sent, (block, doc, held) in enumerate(_blocks(batches, layout, BLOCK_TOKENS)):
             number = (task << 24) + sent
             n_docs = sum(x.num_rows for x in held)
             rows = []
@@ -785,7 +785,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             for i in range(asked.num_rows):
                 r = asked.slice(i, 1).to_pylist()[0]
                 own = unpack(r["a"], np.uint64)
-                at = np.searchsorted(counts.words, own)
+                at, known = lookup(counts.words, own)
+                at = np.where(known, at, len(counts.words))
                 wanted.append((r["block"], *(at[unpack_index(r[c], len(own))].astype(np.int32) for c in "bcd"), r["e"], r["f"]))
             size = [len(x[1]) for x in wanted]
             two, one, w = (np.concatenate([x[k] for x in wanted]).astype(np.int64) for k in (1, 2, 3))

@@ -33,7 +33,7 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = base.table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pii.replace_personal_data(docs, key="tidemill-surrogates")
+    return pii.replace_personal_data(docs, key=pii.session_key(spark))
 
 
 def op6_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:

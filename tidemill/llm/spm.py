@@ -1,9 +1,8 @@
 """SentencePiece encoding and decoding on the tokenizers library.
 
 The model file's protobuf is parsed here; normaliser, metaspace marker, piece scores (unigram) or
-merges (BPE) and byte fallback are rebuilt as a ``tokenizers.Tokenizer``. Batches are encoded through a cache of
-units that no piece crosses, new units by several threads, and each new unit's ids are held
-against the sentencepiece library's.
+merges (BPE) and byte fallback are rebuilt as a ``tokenizers.Tokenizer``. Whole texts are encoded and decoded in
+batches by several threads, and every text's ids are held against the sentencepiece library's.
 """
 
 from __future__ import annotations
@@ -19,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import base, tokens
 from . import text as T
@@ -110,26 +110,9 @@ class Model:
                 found += [(-score, ids[p[:k]], ids[p[k:]], p[:k], p[k:]) for k in range(1, len(p)) if p[:k] in ids and p[k:] in ids]
         return [(a, b) for *_, a, b in sorted(found)]
 
-    @cached_property
-    def isolated(self) -> np.ndarray:
-        """By byte: an ASCII character that no piece of more than one character holds, so that it always stands alone."""
-        out = np.zeros(256, bool)
-        out[:128] = True
-        for p, _, kind in self.pieces:
-            if len(p) > 1 and kind in (NORMAL, USER):
-                for c in p:
-                    if c < "\x80":
-                        out[ord(c)] = False
-        return out
-
-    @property
-    def marks_lead(self) -> bool:
-        """Whether the metaspace only ever begins a piece, so that texts can be cut before it."""
-        return not any(MARK in p.lstrip(MARK) for p, _, kind in self.pieces if kind in (NORMAL, USER))
-
 
-def build(model: Model, *, whole: bool = True):
-    """The tokenizer; with ``whole`` False it takes text that is normalised already."""
+def build(model: Model):
+    """The tokenizer: normaliser, metaspace marks, pieces with scores or merges, byte fallback, decoder."""
     from tokenizers import Regex, Tokenizer, decoders, models, normalizers
 
     if model.kind == BPE:
@@ -139,136 +122,102 @@ def build(model: Model, *, whole: bool = True):
     else:
         raise ValueError(f"model type {model.kind} is neither unigram nor BPE")
     tok = Tokenizer(core)
-    if whole:
-        steps = []
-        if model.charsmap:
-            steps.append(normalizers.Precompiled(model.charsmap))
-        if model.squeeze:
-            steps += [normalizers.Replace(Regex(" {2,}"), " "), normalizers.Strip()]
-        if model.dummy_prefix:
-            steps.append(normalizers.Prepend(MARK))
-        tok.normalizer = normalizers.Sequence([*steps, normalizers.Replace(" ", MARK)])
-    tail = [decoders.Strip(" ", 1, 0)] if model.dummy_prefix else []
-    tok.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse(), *tail])
-    return tok
-
-
-def normalised(texts: pa.Array, model: Model) -> pa.Array:
-    """The texts with metaspace marks, null as empty; spaces are handled for a whole batch at once."""
-    texts = pc.fill_null(texts, "")
+    steps = []
     if model.charsmap:
-        from tokenizers import normalizers
-
-        n = normalizers.Precompiled(model.charsmap)
-        texts = pa.array([n.normalize_str(x) for x in texts.to_pylist()], pa.string())
+        steps.append(normalizers.Precompiled(model.charsmap))
     if model.squeeze:
-        texts = pc.utf8_trim(pc.replace_substring_regex(texts, " {2,}", " "), " ")
-    marked = pc.replace_substring(texts, " ", MARK)
+        steps += [normalizers.Replace(Regex(" {2,}"), " "), normalizers.Strip()]
     if model.dummy_prefix:
-        marked = pc.if_else(pc.equal(pc.binary_length(marked), 0), marked, pc.binary_join_element_wise(MARK, marked, ""))
-    return marked
-
-
-def units(s: T.Slice, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(doc, start, size): cuts before each run of marks and around isolated characters."""
-    b = s.buf
-    cut = np.zeros(len(b) + 1, bool)
-    cut[s.begin] = True
-    if model.marks_lead and len(b) > 2:
-        mark = np.zeros(len(b) + 3, bool)
-        mark[3 : len(b) + 1] = (b[:-2] == 0xE2) & (b[1:-1] == 0x96) & (b[2:] == 0x81)
-        cut[: len(b)] |= mark[3:] & ~mark[: len(b)]
-    alone = np.flatnonzero(model.isolated[b])
-    cut[alone] = True
-    cut[alone + 1] = True
-    cut[len(b)] = True
-    at = np.flatnonzero(cut)
-    start, size = at[:-1], np.diff(at)
-    return T._owner(s, start), start, size
+        steps.append(normalizers.Prepend(MARK))
+    tok.normalizer = normalizers.Sequence([*steps, normalizers.Replace(" ", MARK)])
+    tail = [decoders.Strip(" ", 1, 0)] if model.dummy_prefix else []
+    tok.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse(), *tail])
+    return tok
 
 
 class Encoder:
-    """Batch encoder and decoder with parity check; one for each task."""
+    """Encodes and decodes batches of whole texts on several threads, and holds the ids against the sentencepiece library's."""
 
     def __init__(self, model: Model, threads: int = 2) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "true"
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
         import sentencepiece
 
-        self.model, self.tok, self.threads = model, build(model, whole=False), threads
+        self.tok, self.threads = build(model), threads
         self.other = sentencepiece.SentencePieceProcessor(model_proto=model.raw)
-        self.lead = self.other.encode("\n")
-        self.cache = tokens.UnitCache(self._encode)
-        self.mismatched = np.zeros(0, np.uint64)
-        parts = [bytes([int(p[3:5], 16)]) if kind == BYTE else b"" if kind == CONTROL else " ⁇ ".encode() if kind == UNKNOWN else p.replace(MARK, " ").encode() for p, _, kind in model.pieces]
-        self.part_size = np.array([len(p) for p in parts])
-        self.part_start = np.cumsum(self.part_size) - self.part_size
-        self.parts = np.frombuffer(b"".join(parts), np.uint8)
-
-    def _encode(self, texts: list[str]) -> list[list[int]]:
-        got = [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
-        # the library puts the prefix before each text; a unit without one, or of it alone, is asked for behind a line feed
-        led = [self.model.dummy_prefix and x.startswith(MARK) and x != MARK for x in texts]
-        known = self.other.encode([x.replace(MARK, " ")[1:] if k else "\n" + x.replace(MARK, " ") for x, k in zip(texts, led, strict=True)], num_threads=self.threads)
-        bad = [t for t, g, k, x in zip(texts, got, led, known, strict=True) if g != (x if k else x[len(self.lead) :])]
-        if bad:
-            raw = [x.encode() for x in bad]
-            size = np.array([len(x) for x in raw])
-            h = T.hash_spans(np.frombuffer(b"".join(raw), np.uint8), np.cumsum(size) - size, size, lower=False)
-            self.mismatched = np.union1d(self.mismatched, h)
-        return got
-
-    def encode(self, s: T.Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(ids of all texts, number of ids of each text, whether all units have the other library's ids) of normalised texts."""
-        doc, start, size = units(s, self.model)
-        flat, n = self.cache.lookup(s, start, size)
-        count = np.bincount(doc, weights=n, minlength=s.n).astype(np.int64)
-        same = np.ones(s.n, bool)
-        if len(self.mismatched):
-            same[doc[np.isin(T.hash_spans(s.buf, start, size, lower=False), self.mismatched)]] = False
-        return flat, count, same
-
-    def decode(self, flat: np.ndarray, count: np.ndarray) -> list[bytes]:
-        """The texts of all ids, without the prefix's space."""
-        size = self.part_size[flat]
-        raw = tokens.spread(self.parts, self.part_start[flat], size).tobytes()
-        end = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(count)])]
-        drop = 1 if self.model.dummy_prefix else 0
-        return [raw[i + drop * (raw[i : i + 1] == b" ") : j] if i < j else b"" for i, j in zip(end[:-1], end[1:], strict=True)]
+
+    def encode(self, texts: list[str]) -> tuple[list[list[int]], list[bool]]:
+        """Each whole text's ids, and whether both libraries agree on them; where they do not, the ids are the model's own library's."""
+        ours = [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        known = self.other.encode(texts, num_threads=self.threads)
+        return known, [a == b for a, b in zip(ours, known, strict=True)]
+
+    def decode(self, ids: list[list[int]]) -> list[str]:
+        return self.tok.decode_batch(ids, skip_special_tokens=False)
+
+
+#: Bytes of texts that are encoded at once.
+ENCODED = 1 << 20
+
+
+def _encoder(raw_model: bytes, threads: int) -> Encoder:
+    return tokens.kept(("sentencepiece", raw_model, threads), lambda: Encoder(Model(raw_model), threads))
 
 
 def encode_documents(docs: DataFrame, raw_model: bytes, *, threads: int = 2) -> DataFrame:
     """doc_id, n_tokens, ids, ids_crc32, round_trip and parity of every row.
 
-    ``round_trip``: the decoded ids give the text again (always so with byte fallback, unless the normaliser
-    changes the text); ``parity``: the sentencepiece library gives the same ids. A null or empty text has no ids
-    and both are true. Repeated rows stay repeated, a null doc_id stays null, other columns are not read.
+    ``parity``: the rebuilt tokenizer and the sentencepiece library give the whole text the same ids; where they do not, the
+    latter's are returned. ``round_trip``: the sentencepiece library turns the ids back into the text (always so with byte fallback,
+    unless the normaliser changes the text). A null or empty text has no ids and both are true. Repeated rows stay repeated, a null doc_id stays null,
+    other columns are not read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = tokens.kept(("sentencepiece", raw_model, threads), lambda: Encoder(Model(raw_model), threads))
+        enc = _encoder(raw_model, threads)
         for b in batches:
-            step = 512  # rows whose ids are held at once
-            for at in range(0, b.num_rows, step):
-                part = b.slice(at, step)
-                texts = pc.fill_null(part.column(1), "")
-                for s in T.slices(normalised(texts, enc.model)):
-                    flat, count, same = enc.encode(s)
-                    end = np.cumsum(count)
-                    back = enc.decode(flat, count)
-                    own = texts.slice(s.first, s.n).cast(pa.binary()).to_pylist()
-                    raw = memoryview(flat.astype("<u4").tobytes())
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            part.column(0).slice(s.first, s.n),
-                            pa.array(count),
-                            pa.ListArray.from_arrays(pa.array(np.concatenate([[0], end]), pa.int32()), pa.array(flat, pa.int32())),
-                            pa.array([zlib.crc32(raw[4 * (j - n) : 4 * j]) for n, j in zip(count, end, strict=True)], pa.int64()),
-                            pa.array([x == y for x, y in zip(back, own, strict=True)], pa.bool_()),
-                            pa.array(same),
-                        ],
-                        ["doc_id", "n_tokens", "ids", "ids_crc32", "round_trip", "parity"],
-                    )
+            for s in T.slices(b.column(1), ENCODED):
+                texts = pc.fill_null(b.column(1).slice(s.first, s.n), "").to_pylist()
+                ids, same = enc.encode(texts)
+                back = enc.other.decode(ids)
+                count = np.fromiter(map(len, ids), np.int64, len(ids))
+                end = np.cumsum(count)
+                flat = np.fromiter((x for y in ids for x in y), np.int32, int(count.sum()))
+                raw = memoryview(flat.astype("<u4").tobytes())
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        b.column(0).slice(s.first, s.n),
+                        pa.array(count),
+                        pa.ListArray.from_arrays(pa.array(np.concatenate([[0], end]), pa.int32()), pa.array(flat, pa.int32())),
+                        pa.array([zlib.crc32(raw[4 * (j - n) : 4 * j]) for n, j in zip(count, end, strict=True)], pa.int64()),
+                        pa.array([x == y for x, y in zip(back, texts, strict=True)], pa.bool_()),
+                        pa.array(same, pa.bool_()),
+                    ],
+                    ["doc_id", "n_tokens", "ids", "ids_crc32", "round_trip", "parity"],
+                )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(base.frugal(run), f"doc_id {kind}, n_tokens long, ids array<int>, ids_crc32 long, round_trip boolean, parity boolean")
+
+
+def decode_documents(encoded: DataFrame, raw_model: bytes, *, threads: int = 2) -> DataFrame:
+    """doc_id and text of every row of ``encoded`` (doc_id, ids); null ids give a null text, no ids an empty one.
+
+    Null ids inside a list are left out; an id that the model does not have is an error. Repeated rows stay repeated, other columns are not read.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = _encoder(raw_model, threads)
+        most = enc.other.get_piece_size()
+        for b in batches:
+            for i in range(0, b.num_rows, 256):
+                part = b.slice(i, 256)
+                rows = part.column(1).to_pylist()
+                ids = [[x for x in r or [] if x is not None] for r in rows]
+                if any(not 0 <= x < most for r in ids for x in r):
+                    raise ValueError(f"ids must be from 0 to {most - 1}")
+                texts = [None if r is None else t for r, t in zip(rows, enc.decode(ids), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
+
+    kind = encoded.schema["doc_id"].dataType.simpleString()
+    return encoded.select("doc_id", F.col("ids").cast("array<int>").alias("ids")).mapInArrow(base.frugal(run), f"doc_id {kind}, text string")

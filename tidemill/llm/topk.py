@@ -1,7 +1,8 @@
 """Exact top-k by inner product of integer vectors: exhaustive term-at-a-time accumulation.
 
-Vectors are read as sparse rows: a dimension is a term, a component its weight. Every task turns its
-rows into postings (rows and weights by term). For each term of a query block, the postings
+Vectors are read as sparse rows: a dimension is a term, a component its weight. Queries and candidates are
+gathered into blocks, stored tables of few rows, and every query block meets every candidate block.
+A candidate block becomes postings (rows and weights by term). For each term of a query block, the postings
 scaled by the queries' weights are scattered into dense arrays of scores; a partition selection keeps
 the k best of each query, and the tasks' lists are merged.
 """
@@ -15,10 +16,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Bytes of query vectors that one pass over the candidates takes along.
-PASS_BYTES = 32 << 20
+from . import base
+
+#: Bytes of vectors in a block at most (or one vector).
+PASS_BYTES = 4 << 20
 #: Candidates and queries of a block of dense scores.
 ROWS, QUERIES = 8192, 128
+#: Query rows whose best lists a task holds before it passes them on.
+HELD = 200_000
 
 
 def valid(vector: str) -> Column:
@@ -85,73 +90,69 @@ def best(scores: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int) -> tuple[
     return q, ids[i], scores[q, i]
 
 
+_BLOCK = "ids binary, offsets binary, vals binary"
+
+
+def blocks(rows: DataFrame, most: int) -> DataFrame:
+    """(vec_id, v) rows gathered into blocks of at most ``most`` vectors and ``PASS_BYTES`` bytes."""
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            vid = b.column(0).to_numpy()
+            off, val = _arrays(b.column(1))
+            i = 0
+            while i < len(vid):
+                j = min(i + most, max(i + 1, int(np.searchsorted(off, off[i] + PASS_BYTES // 8, "right")) - 1), len(vid))
+                cut = vid[i:j], off[i : j + 1] - off[i], val[off[i] : off[j]]
+                yield pa.RecordBatch.from_arrays([pa.array([x.astype(np.int64).tobytes()], pa.binary()) for x in cut], [x.split()[0] for x in _BLOCK.split(", ")])
+                i = j
+
+    return rows.mapInArrow(base.frugal(gather), _BLOCK)
+
+
 def exact_top_k(vectors: DataFrame, *, k: int = 5, every: int = 50) -> DataFrame:
     """query_id, rank, vec_id, score: for each row whose ``vec_id`` is a multiple of ``every``, the k best other rows.
 
     The score is the inner product of the quantised vectors. Vectors that are null or hold null or
     non-finite components, and null ids, take no part. A row with the query's own id is not its
     candidate; of other repeated ids each row counts; a repeated query id is one query per distinct vector
-    and its lists are merged. The queries are taken along in passes of bounded size over all candidates.
+    and its lists are merged, so a candidate may then stand in its list once for each of them.
     Sums wrap modulo 2**64. No valid query gives no rows.
     """
     spark = vectors.sparkSession
     rows = vectors.where(valid("embedding") & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), quantised("embedding").alias("v"))
-    queries = rows.where(F.col("vec_id") % every == 0).distinct()
-
-    def search(ids: np.ndarray, offsets: np.ndarray, values: np.ndarray) -> DataFrame:
-        sent = spark.sparkContext.broadcast((ids, offsets, values))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            qid, qoff, qval = sent.value
-            blocks = [(qid[i : i + QUERIES], Postings(qoff[i : i + QUERIES + 1], qval[qoff[i] : qoff[min(i + QUERIES, len(qid))]])) for i in range(0, len(qid), QUERIES)]
-            held: dict[int, list[tuple[np.ndarray, ...]]] = {n: [] for n in range(len(blocks))}
-
-            def merged(n: int) -> tuple[np.ndarray, ...]:
-                q, v, s = (np.concatenate(x) for x in zip(*held[n], strict=True))
-                order = np.lexsort((v, -s, q))
-                q, v, s = q[order], v[order], s[order]
-                place = np.arange(len(q)) - np.searchsorted(q, q)
-                return q[place < k], v[place < k], s[place < k]
-
-            for b in batches:
-                for at in range(0, b.num_rows, ROWS):
-                    part = b.slice(at, ROWS)
-                    vid = part.column(0).to_numpy()
-                    postings = Postings(*_arrays(part.column(1)))
-                    for n, (own, q) in enumerate(blocks):
-                        held[n].append(best(postings.scores(q), vid, own, k))
-                        held[n] = [merged(n)]
-            for n, (own, _) in enumerate(blocks):
-                if held[n]:
-                    q, v, s = held[n][0]
-                    yield pa.RecordBatch.from_arrays([pa.array(own[q]), pa.array(v), pa.array(s)], ["query_id", "vec_id", "score"])
-
-        return rows.mapInArrow(base.frugal(run), "query_id long, vec_id long, score long")
-
-    passes: list[DataFrame] = []
-    ids: list[int] = []
-    vecs: list[np.ndarray] = []
-    held = 0
-
-    def flush() -> None:
-        nonlocal held
-        passes.append(search(np.array(ids, np.int64), np.concatenate([[0], np.cumsum([len(v) for v in vecs])]), np.concatenate(vecs)))
-        ids.clear()
-        vecs.clear()
-        held = 0
-
-    for r in queries.toLocalIterator():
-        ids.append(r.vec_id)
-        vecs.append(np.array(r.v, np.int64))
-        held += 8 * len(r.v) + 64
-        if held >= PASS_BYTES:
-            flush()
-    if ids:
-        flush()
-    if not passes:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    found = passes[0]
-    for p in passes[1:]:
-        found = found.unionByName(p)
+    asked = base.stored(blocks(rows.where(F.col("vec_id") % every == 0).distinct(), QUERIES))
+    # blocks are few and large, so they are dealt out evenly
+    searched = base.stored(blocks(rows, ROWS)).repartition(base.shuffle_partitions(spark))
+    names = [x.split()[0] for x in _BLOCK.split(", ")]
+    met = searched.crossJoin(asked.select(*(F.col(c).alias(f"q_{c}") for c in names)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        last: tuple[bytes, Postings] | None = None
+
+        def merged() -> tuple[np.ndarray, ...]:
+            q, v, s = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.lexsort((v, -s, q))
+            q, v, s = q[order], v[order], s[order]
+            place = np.arange(len(q)) - np.searchsorted(q, q)
+            return q[place < k], v[place < k], s[place < k]
+
+        for b in batches:
+            for r in range(b.num_rows):
+                cols = [c[r].as_buffer() for c in b.columns]
+                ids, offsets, vals, qid, qoff, qval = (np.frombuffer(x, np.int64) for x in cols)
+                if last is None or last[0] != cols[0].to_pybytes():
+                    last = cols[0].to_pybytes(), Postings(offsets, vals)
+                q, v, s = best(last[1].scores(Postings(qoff, qval)), ids, qid, k)
+                held.append((qid[q], v, s))
+                if sum(len(x[0]) for x in held) >= HELD:
+                    held = [merged()]
+                    if len(held[0][0]) >= HELD // 2:
+                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in held.pop()], ["query_id", "vec_id", "score"])
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in merged()], ["query_id", "vec_id", "score"])
+
+    found = met.mapInArrow(base.frugal(run), "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
