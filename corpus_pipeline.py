@@ -2,8 +2,8 @@
 for personal data, packing.
 
 Each stage takes (spark, docs, sf_dir), docs being all that the stage before kept. All but the last return the
-columns of ``documents``. Documents whose id is null or repeated are treated row by row; near-duplicate
-groups keep every row whose id is the group's smallest.
+columns of ``documents``. Documents whose id is null or repeated are treated row by row, so a near-duplicate
+group keeps exactly one row.
 """
 
 from __future__ import annotations
@@ -30,15 +30,21 @@ def judge(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that links by five-word shingles with a similarity of at least 0.8."""
-    groups = jaccard.near_duplicates(docs, n=5, percent=80)
-    gone = groups.where("component_id <> doc_id").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(base.bounded_broadcast(gone, jaccard.BROADCAST_ROWS), F.col("doc_id") == F.col("gone_id"), "left_anti")
+    """One row of each group that links by five-word shingles with a similarity of at least 0.8: that of the smallest id (null ids last).
+
+    Rows are told apart by their place in ``docs``, a table, and not by their id. Texts without a word are no group.
+    """
+    row = base.free_name(docs.columns, "row")
+    placed = docs.withColumn(row, F.monotonically_increasing_id())
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col(row).alias("row"))
+    groups = jaccard.near_duplicates(placed.select(key.alias("doc_id"), "text"), n=5, percent=80)
+    gone = groups.where("component_id.row <> doc_id.row").select(F.col("doc_id.row").alias(row))
+    return placed.join(base.bounded_broadcast(gone, jaccard.BROADCAST_ROWS), row, "left_anti").select(*docs.columns)
 
 
 def pseudonymise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data replaced; n_chars follows the text."""
-    changed = pii.replace_personal_data(docs, key="tidemill-surrogates").drop("n_entities")
+    changed = pii.replace_personal_data(docs, key=pii.session_key(spark)).drop("n_entities")
     if "n_chars" in docs.columns:
         changed = changed.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return changed.select(*docs.columns)
