@@ -102,9 +102,9 @@ def load_tokenizer(spec: str):
 
 
 def token_pieces(docs: DataFrame, spec: str, *, end_id: int, capacity: int) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32: each document's ids and end id, cut only if longer than ``capacity``.
+    """doc_id, piece, start, length, ids_crc32, salt: each document's ids and end id, cut only if longer than ``capacity``.
 
-    The first piece takes what the others leave, so that they fill whole sequences.
+    The first piece takes what the others leave, so that they fill whole sequences. ``salt`` tells repeated rows apart.
     """
 
     def ready():
@@ -113,6 +113,7 @@ def token_pieces(docs: DataFrame, spec: str, *, end_id: int, capacity: int) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok, cache = tokens.kept(("byte-level", spec), ready)
+        made = 0
         for b in batches:
             for s in T.slices(b.column(1)):
                 whole = tokens.has_wide_space(s)
@@ -134,17 +135,19 @@ def token_pieces(docs: DataFrame, spec: str, *, end_id: int, capacity: int) -> D
                         rows.append((s.first + i, k, at, size_k, zlib.crc32(raw[4 * at : 4 * (at + size_k)])))
                         at, k = at + size_k, k + 1
                 cols = list(zip(*rows, strict=True))
+                salt = np.arange(made, made + len(rows)) & 0x7FFFFFFF
+                made += len(rows)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(pa.array(cols[0])), pa.array(cols[1], pa.int32()), *(pa.array(c, pa.int64()) for c in cols[2:])],
-                    ["doc_id", "piece", "start", "length", "ids_crc32"],
+                    [b.column(0).take(pa.array(cols[0])), pa.array(cols[1], pa.int32()), *(pa.array(c, pa.int64()) for c in cols[2:]), pa.array(salt, pa.int32())],
+                    ["doc_id", "piece", "start", "length", "ids_crc32", "salt"],
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(base.frugal(run), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+    return docs.select("doc_id", "text").mapInArrow(base.frugal(run), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, salt int")
 
 
-#: Pieces of one length that are ranked together.
-RANKED = 50_000
+#: Pieces of one length that are ranked together, about.
+RANKED = 5_000
 
 
 def pack(docs: DataFrame, spec: str, *, end_id: int = 2, capacity: int = 1024) -> DataFrame:
@@ -161,13 +164,13 @@ def pack(docs: DataFrame, spec: str, *, end_id: int = 2, capacity: int = 1024) -
     if not len(plan["length"]):
         return pieces.selectExpr("doc_id", "piece", "start", "length", "ids_crc32", "0L AS sequence_id", "0L AS offset")
 
-    # ranks by length: within hashed buckets of bounded size, after the buckets before
-    buckets = int(histogram.sum() // RANKED + 1)
-    held = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(buckets)))
+    # ranks by length: within hashed buckets of bounded size, as many as the length needs, after the buckets before
+    buckets = F.array(*(F.lit(int(n // RANKED + 1)) for n in histogram))
+    held = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "salt"), F.get(buckets, F.col("length").cast("int"))))
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     counts = held.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n"))
     first = counts.select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    within = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")
+    within = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32", "salt")
     ranked = held.withColumn("rn", F.row_number().over(within)).join(first, ["length", "bucket"])
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("first") + F.col("rn") - 1).alias("rank"))
 
