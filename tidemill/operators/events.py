@@ -80,7 +80,7 @@ CALENDAR_ROW = ("forecast", "actual", "volatility", "forecast_diff", "volatility
 
 def aligned_calendar(bars: DataFrame, raw: DataFrame, *, preferred: str = "USA", tie: str = "description") -> DataFrame:
     """The bars inside the calendar's time, with the one event of each bar's time, -1 where there is none."""
-    coded = stats.min_max(encode_calendar(raw).withColumn("volatility", F.col("importance").cast("double")), "volatility")
+    coded = stats.min_max(stored(encode_calendar(raw)).withColumn("volatility", F.col("importance").cast("double")), "volatility")
     once = one_per_time(coded.withColumn("series_id", F.lit("calendar")), importance="importance", country="country_name", preferred=preferred, tie=tie)
     limits = coded.agg(F.min("ts").alias("start_ts"), F.max("ts").alias("end_ts"))
     row = once.select("ts", *(F.col(c).cast("double").alias(c) for c in CALENDAR_ROW if c != "event"), F.lit(1.0).alias("event"))
@@ -92,7 +92,7 @@ def aligned_calendar(bars: DataFrame, raw: DataFrame, *, preferred: str = "USA",
 
 def calendar_windows(bars: DataFrame, raw: DataFrame, *, window: int = 128, divisor: int = 5, preferred: str = "USA", tie: str = "description") -> DataFrame:
     """series_id, ts, ``window`` (the calendar rows of the ``window`` bars before), trend and volatility of each bar that has so many before it."""
-    rows = aligned_calendar(bars, raw, preferred=preferred, tie=tie)
+    rows = stored(aligned_calendar(bars, raw, preferred=preferred, tie=tie))
     before = F.collect_list(F.array(*(F.col(c) for c in CALENDAR_ROW))).over(roll.series().rowsBetween(-window, -1))
     signals = training_signals(rows.select("series_id", "ts", "close", before.alias("window")), "close", max(2, window // divisor))
     return signals.where(F.size("window") == window).select("series_id", "ts", "window", "trend", "volatility")
@@ -106,7 +106,7 @@ def process_calendar(bars: DataFrame, raw: DataFrame, *, window: int = 128, divi
     """
     from .models import WindowRegressor
 
-    held = calendar_windows(bars, raw, window=window, divisor=divisor)
+    held = stored(calendar_windows(bars, raw, window=window, divisor=divisor))
     model = WindowRegressor(kind=kind)
     fitted = model.fit(held)
     if save_to:

@@ -13,6 +13,7 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stored
 from . import labels
 
 
@@ -28,7 +29,8 @@ class WindowRegressor:
         return df.withColumn("features", array_to_vector(F.flatten("window")))
 
     def fit(self, df: DataFrame) -> dict[str, PipelineModel]:
-        first = labels.chronological_split(self._vectors(df), self.train, 1 - self.train).where("split = 'd1'")
+        first = stored(labels.chronological_split(df, self.train, 1 - self.train).where("split = 'd1'").select("window", *self.targets))
+        first = self._vectors(first)
         make = {"linear": lambda t: LinearRegression(labelCol=t, predictionCol=f"predicted_{t}", regParam=0.1), "trees": lambda t: GBTRegressor(labelCol=t, predictionCol=f"predicted_{t}", maxIter=20)}[self.kind]
         return {t: Pipeline(stages=[make(t)]).fit(first.dropna(subset=[t])) for t in self.targets}
 
@@ -48,7 +50,8 @@ class WindowRegressor:
 
 
 def standardise(df: DataFrame, *columns: str) -> DataFrame:
-    """``scaled``: the columns by their mean and population deviation."""
+    """``scaled``: the columns by their mean and population deviation. The rows are stored, as all that follows passes over them often."""
+    df = stored(df)
     n = df.count()
     v = VectorAssembler(inputCols=list(columns), outputCol="raw", handleInvalid="skip").transform(df)
     sample = StandardScaler(withMean=True, withStd=True, inputCol="raw", outputCol="by_sample").fit(v).transform(v)
