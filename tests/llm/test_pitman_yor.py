@@ -72,7 +72,7 @@ def test_predictive_probabilities_sum_to_one(sweeps):
     two, one, w = (np.array([x[k] for x in seen]) for k in range(3))
     frequent = words[[2, 5]]
     asked = [(o, k) for o in (2, 5) for k in range(9) if not ((one == o) & (w == k)).any()]
-    counts = pitman_yor.Counts(words, two, one, w, rng.integers(1, 30, len(w)), np.array([x[0] for x in asked]), np.array([x[1] for x in asked]))
+    counts = pitman_yor.Counts(words, np.arange(9), two, one, w, rng.integers(1, 30, len(w)), np.array([x[0] for x in asked]), np.array([x[1] for x in asked]))
     layout = pitman_yor.Layout(1, np.sort(frequent))
     prior = pitman_yor.Prior((0.6, 0.5, 0.4), (1.5, 0.7, 2.0), 1 / 9)
     s = pitman_yor.Seating(counts, layout)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import functools
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from ..session import importable, remove_at_exit, shared_dir, stored
 
 
-__all__ = ["bounded_broadcast", "bucketed", "fold", "free_name", "frugal", "frugal_group", "frugal_pair", "joined_hot", "shared_dir", "shuffle_partitions", "stored", "summed_vectors", "table"]
+__all__ = ["bounded_broadcast", "bucketed", "fold", "free_name", "frugal", "frugal_group", "frugal_pair", "joined_hot", "let_go", "shared_dir", "shuffle_partitions", "stored", "summed_vectors", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -103,6 +104,12 @@ def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if small else df
 
 
+def let_go(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of frames that are no longer used, which it does when the driver's objects are collected."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 #: Copies of the rows of a join's right side that frequent keys of the left side are dealt to.
 SALTS = 16
 

@@ -21,7 +21,7 @@ identified by 64-bit hashes.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +35,9 @@ from . import text as T
 _U = np.uint64
 #: Bytes of text to a part, and tokens that a task holds before it passes them on.
 PART_BYTES = 12 << 20
-BLOCK_TOKENS = 2_000_000
+BLOCK_TOKENS = 1_200_000
+#: Words that have a short number for sending, and the share of a block's tokens that makes a word one of them.
+COMMON, COMMON_SHARE = 24_576, 1e-5
 #: Sweeps that are thrown away, and kept.
 BURN_IN, KEPT = 1, 2
 #: The token that ends a text; it stands for what comes before a text, too.
@@ -66,13 +68,15 @@ _CODEC = pa.Codec("zstd", compression_level=1)
 
 
 def pack(x: np.ndarray) -> bytes:
-    """An array without its type, compressed behind its size."""
-    raw = np.ascontiguousarray(x).tobytes()
+    """An array without its type, compressed behind its size, first bytes of all values first."""
+    x = np.ascontiguousarray(x).ravel()
+    raw = x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
     return len(raw).to_bytes(8, "little") + _CODEC.compress(raw, asbytes=True)
 
 
 def unpack(b: bytes, kind: type) -> np.ndarray:
-    return np.frombuffer(_CODEC.decompress(b[8:], int.from_bytes(b[:8], "little"), asbytes=True), kind)
+    raw = np.frombuffer(_CODEC.decompress(b[8:], int.from_bytes(b[:8], "little"), asbytes=True), np.uint8)
+    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
 def least_type(n: int) -> type:
@@ -88,10 +92,17 @@ def unpack_index(b: bytes, n: int) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Layout:
-    """The number of parts, and the words (ascending) whose restaurants of pairs are dealt by both words."""
+    """The number of parts, the words (ascending) whose restaurants of pairs are dealt by both words, and words with short numbers."""
 
     parts: int
     frequent: np.ndarray
+    common: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
+
+    def numbers(self, words: np.ndarray) -> np.ndarray:
+        """The short number of each word, -1 without one."""
+        order = np.argsort(self.common)
+        at, known = lookup(self.common[order], words)
+        return np.where(known, order[at] if len(order) else -1, -1)
 
     def part(self, two: np.ndarray, one: np.ndarray) -> np.ndarray:
         _, split = lookup(self.frequent, one)
@@ -102,7 +113,8 @@ def plan_layout(texts: DataFrame, *, part_bytes: int = PART_BYTES, share: float
     """Parts of about ``part_bytes`` of text; frequent is a word with at least ``share`` of a part's tokens.
 
     A word of that share has half of it in some block of tokens at least, so blocks only report words
-    above half of it, and there are at most 2 / share words a part. This only says where things lie.
+    above half of it, and there are at most 2 / share words a part. Blocks also report words with ``COMMON_SHARE`` of their tokens; the
+    most frequent ``COMMON`` of them get short numbers. All this only says where things lie and how they are sent.
     """
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(8, -(-size // part_bytes))
@@ -115,7 +127,7 @@ def plan_layout(texts: DataFrame, *, part_bytes: int = PART_BYTES, share: float
             h = np.concatenate(held)
             held.clear()
             words, n = np.unique(h, return_counts=True)
-            often = n >= least * len(h)
+            often = n >= min(least, COMMON_SHARE) * len(h)
             return pa.RecordBatch.from_arrays([pa.array([None, *words[often].view(np.int64).tolist()], pa.int64()), pa.array([len(h), *n[often].tolist()], pa.int64())], ["h", "n"])
 
         for b in batches:
@@ -130,7 +142,9 @@ def plan_layout(texts: DataFrame, *, part_bytes: int = PART_BYTES, share: float
     counts = base.stored(counts)
     total = (counts.where("h IS NULL").first() or {"n": 0})["n"]
     found = counts.where(F.col("h").isNotNull() & (F.col("n") >= least * total)).select("h").collect()
-    return Layout(int(parts), np.sort(np.array([r.h for r in found], np.int64).view(np.uint64)))
+    common = counts.where("h IS NOT NULL").orderBy(F.desc("n"), "h").limit(COMMON).collect()
+    frequent, common = (np.array([r.h for r in x], np.int64).view(np.uint64) for x in (found, common))
+    return Layout(int(parts), np.sort(frequent), common)
 
 
 # --- counts ---
@@ -138,10 +152,11 @@ def plan_layout(texts: DataFrame, *, part_bytes: int = PART_BYTES, share: float
 
 @dataclass(frozen=True)
 class Counts:
-    """One part: its words (ascending), occurrences ``c`` of (two, one, word) in order of (one, two, word),
-    all by index into the words, and the (one, word) pairs that are asked for though they did not occur."""
+    """One part: its words (ascending), which of them follow a context (``told``, by index) and not only make one, occurrences ``c`` of
+    (two, one, word) in order of (one, two, word), all by index into the words, and the (one, word) pairs that are asked for though they did not occur."""
 
     words: np.ndarray
+    told: np.ndarray
     two: np.ndarray
     one: np.ndarray
     w: np.ndarray
@@ -151,16 +166,16 @@ class Counts:
 
     def blobs(self) -> list[bytes]:
         kind = least_type(len(self.words))
-        return [pack(self.words), *(pack(x.astype(kind)) for x in (self.two, self.one, self.w)), pack(self.c.astype(np.uint32)), *(pack(x.astype(kind)) for x in (self.asked_one, self.asked_w))]
+        return [pack(self.words), *(pack(x.astype(kind)) for x in (self.told, self.two, self.one, self.w)), pack(self.c.astype(np.uint32)), *(pack(x.astype(kind)) for x in (self.asked_one, self.asked_w))]
 
     @staticmethod
     def read(row: dict) -> Counts:
         words = unpack(row["words"], np.uint64)
-        index = {k: unpack_index(row[k], len(words)) for k in ("two", "one", "w", "asked_one", "asked_w")}
-        return Counts(words, index["two"], index["one"], index["w"], unpack(row["c"], np.uint32).astype(np.int64), index["asked_one"], index["asked_w"])
+        index = {k: unpack_index(row[k], len(words)) for k in ("told", "two", "one", "w", "asked_one", "asked_w")}
+        return Counts(words, index["told"], index["two"], index["one"], index["w"], unpack(row["c"], np.uint32).astype(np.int64), index["asked_one"], index["asked_w"])
 
 
-_COUNTS = "part int, words binary, two binary, one binary, w binary, c binary, asked_one binary, asked_w binary"
+_COUNTS = "part int, words binary, told binary, two binary, one binary, w binary, c binary, asked_one binary, asked_w binary"
 
 
 def _columns(rows: list[tuple], schema: str) -> list[pa.Array]:
@@ -190,23 +205,32 @@ class Block:
     def __init__(self, layout: Layout, h: np.ndarray, first: np.ndarray) -> None:
         """``first``: whether a token is the first of its text."""
         words, r = np.unique(np.append(h, END), return_inverse=True)
-        end, r = r[-1], r[:-1].astype(np.int64)
-        one, two = np.concatenate([[end], r[:-1]]), np.concatenate([[end, end], r[:-2]])[: len(r)]
+        r = r.astype(np.int32)
+        end, r = r[-1:], r[:-1]
+        one, two = np.concatenate([end, r[:-1]]), np.concatenate([end, end, r[:-2]])[: len(r)]
         one[first], two[first] = end, end
-        self.words, self.end, self.r, self.one, self.two = words, int(end), r, one, two
-        self.part = layout.part(words[two], words[one])
+        self.words, self.end, self.r, self.one, self.two = words, end[0], r, one, two
+        self.part = layout.part(words[two], words[one]).astype(np.int32)
+        self.number, self.common = layout.numbers(words), len(layout.common)
 
     def rows(self, layout: Layout, two: np.ndarray, one: np.ndarray, r: np.ndarray) -> Iterator[tuple]:
-        """(part, words, two, one, w, positions of its tokens by entry, first position of each entry) for each part."""
+        """(part, words without a short number, two, one, w, positions of its tokens by entry, first position of each entry) for each part.
+
+        Words go by their short numbers, and those without one by their place among the part's behind them.
+        """
         n = len(self.words)
-        order, at = sorted_entries(self.part * n + one, two * n + r)
+        order, at = sorted_entries(self.part.astype(np.int64) * n + one, two.astype(np.int64) * n + r)
         cut = np.searchsorted(self.part[order][at], np.arange(layout.parts + 1))
         bounds = np.append(at, len(order))
         for p in np.flatnonzero(np.diff(cut)):
             i, j = cut[p], cut[p + 1]
             e = order[at[i:j]]
-            ids, index = np.unique(np.concatenate([two[e], one[e], r[e]]), return_inverse=True)
-            index = index.astype(least_type(len(ids))).reshape(3, -1)
+            used = np.concatenate([two[e], one[e], r[e]])
+            index = self.number[used]
+            rare = np.flatnonzero(index < 0)
+            ids, place = np.unique(used[rare], return_inverse=True)
+            index[rare] = self.common + place
+            index = index.astype(least_type(self.common + len(ids))).reshape(3, -1)
             yield int(p), self.words[ids], *index, order[bounds[i] : bounds[j]], bounds[i:j] - bounds[i]
 
 
@@ -258,22 +282,34 @@ def count_words(docs: DataFrame, layout: Layout) -> DataFrame:
             yield pa.RecordBatch.from_arrays(_columns(rows, sent), _names(sent))
 
     def merge(t: pa.Table) -> pa.Table:
+        common = len(layout.common)
         got: list[list[np.ndarray]] = [[] for _ in range(5)]
-        n = 0
+        n = common
         for row in t.drop_columns(["part"]).to_pylist():
             words = unpack(row["words"], np.uint64)
-            for x, v in zip(got, [words, *(unpack_index(row[k], len(words)) + n for k in ("two", "one", "w")), unpack(row["c"], np.uint32)], strict=True):
+            index = (unpack_index(row[k], common + len(words)) for k in ("two", "one", "w"))
+            for x, v in zip(got, [words, *((i + (i >= common) * (n - common)).astype(np.int32) for i in index), unpack(row["c"], np.uint32)], strict=True):
                 x.append(v)
             n += len(words)
-        all_words, two, one, w, c = (np.concatenate(x) for x in got)
-        words, at = np.unique(all_words, return_inverse=True)
-        two, one, w = at[two], at[one], at[w]
+        rare, two, one, w, c = (np.concatenate(x) for x in got)
+        del got
+        # of the words with short numbers, those that occur here
+        here = np.zeros(n, bool)
+        for x in (two, one, w):
+            here[x] = True
+        every = np.concatenate([layout.common, rare])
+        words, at = np.unique(every[here], return_inverse=True)
+        place = np.zeros(n, np.int64)
+        place[here] = at
+        two, one, w = place[two], place[one], place[w]
+        told = np.zeros(len(words), bool)
+        told[w] = True
         order, first = sorted_entries(one, two * len(words) + w)
         total = np.add.reduceat(c[order].astype(np.int64), first)
         e = order[first]
         seen, asked = e[total > 0], e[total == 0]
         asked = asked[lookup(layout.frequent, words[one[asked]])[1]]
-        counts = Counts(words, two[seen], one[seen], w[seen], total[total > 0], one[asked], w[asked])
+        counts = Counts(words, np.flatnonzero(told), two[seen], one[seen], w[seen], total[total > 0], one[asked], w[asked])
         return pa.table(_columns([(t["part"][0].as_py(), *counts.blobs())], _COUNTS), _names(_COUNTS))
 
     sent_rows = docs.mapInArrow(base.frugal(emit), sent)
@@ -466,11 +502,13 @@ _ANSWER = "part int, kind int, block long, a binary, b binary, c binary, d binar
 
 def reports(part: int, seating: Seating, layout: Layout, samples: list[tuple[np.ndarray, np.ndarray]], stats: np.ndarray) -> Iterator[tuple]:
     """Rows for each group of words: per sample the customers that go to the root and to frequent words' restaurants."""
-    counts, shared = seating.counts, seating.shared
-    group = scaled(counts.words, layout.parts)
-    seen = np.bincount(counts.w, weights=counts.c, minlength=seating.n).astype(np.int64)
+    counts, shared, told = seating.counts, seating.shared, seating.counts.told
+    words = counts.words[told]
+    group = scaled(words, layout.parts)
+    seen = np.bincount(counts.w, weights=counts.c, minlength=seating.n).astype(np.int64)[told]
+    samples = [(r[told], x) for r, x in samples]
     cut = np.searchsorted(group, np.arange(layout.parts + 1))
-    pair_w = seating.pair_w[shared]
+    pair_w = np.searchsorted(told, seating.pair_w[shared])
     cut_pair = np.searchsorted(group[pair_w], np.arange(layout.parts + 1)) if len(shared) else np.zeros(layout.parts + 1, np.int64)
     last = lookup(layout.frequent, counts.words[seating.last[seating.v[shared]]])[0]
     for g in np.union1d(np.flatnonzero(np.diff(cut)), [part]).tolist():
@@ -478,7 +516,7 @@ def reports(part: int, seating: Seating, layout: Layout, samples: list[tuple[np.
         roots = np.concatenate([r[i:j] for r, _ in samples]).astype(np.uint32)
         customers = np.concatenate([x[k:m] for _, x in samples]).astype(np.uint32)
         own = pack(stats) if g == part else None
-        yield g, part, pack(counts.words[i:j]), pack(seen[i:j].astype(np.uint32)), pack(roots), pack((pair_w[k:m] - i).astype(np.uint32)), pack(last[k:m].astype(np.uint32)), pack(customers), own
+        yield g, part, pack(words[i:j]), pack(seen[i:j].astype(np.uint32)), pack(roots), pack((pair_w[k:m] - i).astype(np.uint32)), pack(last[k:m].astype(np.uint32)), pack(customers), own
 
 
 def merged_reports(t: pa.Table) -> pa.Table:
@@ -649,12 +687,18 @@ def answers(state: Round, prior: Prior, kind: int, seed: int) -> DataFrame:
     return state.shared.mapInArrow(base.frugal(tell), _ANSWER)
 
 
-def read_answers(rows: list[dict], kind: int, samples: int) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
-    """Per sample the probabilities of the part's words and of its shared pairs; the words' occurrences in training."""
+def read_answers(rows: list[dict], kind: int, samples: int, told: np.ndarray, n: int) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+    """Per sample the probabilities of the part's ``n`` words and of its shared pairs; the words' occurrences in training. Only ``told`` words have them."""
     rows = sorted((r for r in rows if r["kind"] == kind), key=lambda r: r["block"])
     root, pair, seen = ([unpack(r[c], k) for r in rows] for c, k in (("a", np.float32), ("b", np.float32), ("c", np.int64)))
     joined = lambda x, s: np.concatenate([y.reshape(samples, -1)[s] for y in x]).astype(float)
-    return [joined(root, s) for s in range(samples)], [joined(pair, s) for s in range(samples)], np.concatenate(seen)
+
+    def by_word(x: np.ndarray) -> np.ndarray:
+        out = np.zeros(n, x.dtype)
+        out[told] = x
+        return out
+
+    return [by_word(joined(root, s)) for s in range(samples)], [joined(pair, s) for s in range(samples)], by_word(np.concatenate(seen))
 
 
 def samples_of(seating: Seating, part: int, root: np.ndarray, pair: np.ndarray, prior: Prior, seed: int, kept: int) -> Iterator[Seating]:
@@ -719,7 +763,7 @@ def fit(docs: DataFrame, learn: Column | None = None, *, sweeps: bool = True, se
         rows = []
         for row in right.to_pylist():
             s = Seating(Counts.read(row), layout)
-            (root,), (pair,), _ = read_answers(left.to_pylist(), 0, 1)
+            (root,), (pair,), _ = read_answers(left.to_pylist(), 0, 1, s.counts.told, s.n)
             got = []
             for x in samples_of(s, row["part"], root, pair, prior, seed, kept):
                 got.append((x.to_root(), x.c2[x.shared]))
@@ -731,6 +775,7 @@ def fit(docs: DataFrame, learn: Column | None = None, *, sweeps: bool = True, se
     last, _ = settle(sent, layout, kept, prior, seed + 1)
     # discounts stay as estimated from the counts; the concentrations follow the seating
     newer = Prior(prior.discount, last.prior(len(layout.frequent)).strength, prior.base_p)
+    base.let_go(docs.sparkSession)
     return Model(layout, counts, first, last, (prior, newer), kept, seed)
 
 
@@ -775,16 +820,16 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             counts = Counts.read(row)
             seating = Seating(counts, layout)
             if still:
-                root0, pair0, seen = read_answers(rows, 0, 1)
+                root0, pair0, seen = read_answers(rows, 0, 1, counts.told, seating.n)
                 root1, pair1 = root0, pair0
             else:
-                root0, pair0, _ = read_answers(rows, 0, 1)
-                root1, pair1, seen = read_answers(rows, 1, kept)
+                root0, pair0, _ = read_answers(rows, 0, 1, counts.told, seating.n)
+                root1, pair1, seen = read_answers(rows, 1, kept, counts.told, seating.n)
             low = np.log10((seen + 1) / (n_train + n_words + 1))
             wanted = []
             for i in range(asked.num_rows):
                 r = asked.slice(i, 1).to_pylist()[0]
-                own = unpack(r["a"], np.uint64)
+                own = np.concatenate([layout.common, unpack(r["a"], np.uint64)])
                 at, known = lookup(counts.words, own)
                 at = np.where(known, at, len(counts.words))
                 wanted.append((r["block"], *(at[unpack_index(r[c], len(own))].astype(np.int32) for c in "bcd"), r["e"], r["f"]))
@@ -800,8 +845,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             high = np.log10(np.minimum(p / kept, 1.0))
             for (block, *_, times, doc), j, n in zip(wanted, np.cumsum(size), size, strict=True):
                 times = unpack(times, np.uint32).astype(np.int64)
-                raw = unpack(doc, np.uint8)
-                doc = raw.view(np.uint16 if len(raw) == 2 * times.sum() else np.uint32)
+                doc = unpack(doc, np.uint16 if int.from_bytes(doc[:8], "little") == 2 * times.sum() else np.uint32)
                 d, at = np.unique(doc, return_inverse=True)
                 add = lambda x: np.bincount(at, weights=np.repeat(x, times))  # noqa: B023, E731
                 here = w[j - n : j]
