@@ -6,6 +6,7 @@ import ctypes
 import functools
 import gc
 import uuid
+import weakref
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from ..session import importable, remove_at_exit, shared_dir, stored
 
 
-__all__ = ["bounded_broadcast", "bucketed", "fold", "free_name", "frugal", "frugal_group", "frugal_pair", "joined_hot", "let_go", "shared_dir", "shuffle_partitions", "stored", "summed_vectors", "table"]
+__all__ = ["at_most", "bounded_broadcast", "bucketed", "fold", "free_name", "frugal", "frugal_group", "frugal_pair", "joined_hot", "known_rows", "let_go", "shared_dir", "shuffle_partitions", "stored", "summed_vectors", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -114,13 +115,29 @@ def let_go(spark: SparkSession) -> None:
 SALTS = 16
 
 
+#: Upper bounds on the rows of frames, as far as they are known without counting.
+_ROWS: weakref.WeakKeyDictionary[DataFrame, int] = weakref.WeakKeyDictionary()
+
+
+def at_most(df: DataFrame, rows: int | None) -> DataFrame:
+    """``df``, noted to have at most ``rows`` rows."""
+    if rows is not None:
+        _ROWS[df] = rows
+    return df
+
+
+def known_rows(df: DataFrame) -> int | None:
+    return _ROWS.get(df)
+
+
 def joined_hot(left: DataFrame, right: DataFrame, keys: list[str], how: str, max_rows: int) -> DataFrame:
     """``left`` joined to ``right``, which has one row for a key, where a key may have a third of the rows of ``left``.
 
     A right side of at most ``max_rows`` rows is broadcast; a larger one is copied ``SALTS`` times, and each row of
     ``left`` meets one of the copies, so no task gets more than a share of a key.
     """
-    if right.limit(max_rows + 1).count() <= max_rows:
+    known = known_rows(right)
+    if (known if known is not None and known <= max_rows else right.limit(max_rows + 1).count()) <= max_rows:
         return left.join(F.broadcast(right), keys, how)
     salt = free_name(left.columns + right.columns, "salt")
     dealt = left.withColumn(salt, (F.monotonically_increasing_id() % SALTS).cast("int"))
