@@ -29,6 +29,7 @@ REGIME_NAMES_V1 = ("HIGH_VOL_BEARISH_FADING", "STRONG_DOWNTREND", "STRONG_UPTREN
 REGIME_ACTIONS = ("buy_reversal", "flat", "flat", "flat", "buy_meanrevert", "buy_trend")
 
 
+# Fixed values of the published rules: the defaults of both functions below.
 def rules(*, adx_strong: float = 35, di_strong: float = 15, atr_high: float = 0.65, atr_low: float = 0.35, di_mild: float = 5) -> Column:
     """Regime by trend strength first, then by volatility and direction; unknown features make 4."""
     adx, di, atr = F.col("adx"), F.col("di_spread"), F.col("atr_pct")
@@ -107,6 +108,7 @@ def typology(df: DataFrame) -> DataFrame:
     """Mean features of each regime and the text class they make."""
     means = df.groupBy("regime").agg(*(F.avg(c).alias(c) for c in ("adx", "di_spread", "atr_pct")))
     adx, di, atr = F.col("adx"), F.col("di_spread"), F.col("atr_pct")
+    # Fixed values of the published typology: limits and texts.
     text = (
         F.when((adx > 25) & (di > 5), "STRONG UPTREND")
         .when((adx > 25) & (di < -5), "STRONG DOWNTREND")
