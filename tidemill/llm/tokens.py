@@ -15,7 +15,7 @@ from . import text as T
 
 
 class UnitCache:
-    """Ids by unit hash in flat arrays; emptied before they would take more than ``limit`` bytes."""
+    """Ids by unit hash in flat arrays. Before they would take more than ``limit`` bytes the newer half goes: what came first is met most."""
 
     def __init__(self, encode: Callable[[list[str]], list[list[int]]], limit: int = 24 << 20) -> None:
         self.encode, self.limit = encode, limit
@@ -28,10 +28,18 @@ class UnitCache:
     def clear(self) -> None:
         self.keys, self.start, self.size, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
 
+    def shrink(self) -> None:
+        if len(self.start) > 1:
+            cut = int(np.partition(self.start, len(self.start) // 2)[len(self.start) // 2])
+            old = self.start < cut
+            self.keys, self.start, self.size, self.ids = self.keys[old], self.start[old], self.size[old], self.ids[:cut].copy()
+
     def lookup(self, s: T.Slice, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all units one after another, number of ids of each unit)."""
         h = T.hash_spans(s.buf, start, size, lower=False)
         keys, first, at = np.unique(h, return_index=True, return_inverse=True)
+        if self.nbytes + 32 * len(keys) > self.limit:
+            self.shrink()
         if self.nbytes + 32 * len(keys) > self.limit:
             self.clear()
         where = np.searchsorted(self.keys, keys)
