@@ -15,7 +15,7 @@ number follows the size of the texts, so that a pair's restaurant and its parent
 frequent last words are dealt by both words; their parents and the root are seated by word, in groups of words,
 from what the parts report, and the parts are told the probabilities of the words they hold. Only
 totals of the root and of the frequent words' restaurants reach the driver. Words are
-identified by 64-bit hashes.
+identified by 64-bit hashes, inside the part where they are looked up by the first 48 bits.
 """
 
 from __future__ import annotations
@@ -79,6 +79,19 @@ def unpack(b: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
+def pack_sorted(x: np.ndarray) -> bytes:
+    """Ascending numbers by their distances, which are short where there are many."""
+    return pack(np.diff(x, prepend=x.dtype.type(0)))
+
+
+def unpack_sorted(b: bytes) -> np.ndarray:
+    return np.cumsum(unpack(b, np.uint64), dtype=np.uint64)
+
+
+#: Bits of a word's hash that are left out where it is only looked up among a part's own words.
+SHORT = _U(16)
+
+
 def least_type(n: int) -> type:
     return np.uint16 if n <= 1 << 16 else np.uint32
 
@@ -166,11 +179,11 @@ class Counts:
 
     def blobs(self) -> list[bytes]:
         kind = least_type(len(self.words))
-        return [pack(self.words), *(pack(x.astype(kind)) for x in (self.told, self.two, self.one, self.w)), pack(self.c.astype(np.uint32)), *(pack(x.astype(kind)) for x in (self.asked_one, self.asked_w))]
+        return [pack_sorted(self.words), *(pack(x.astype(kind)) for x in (self.told, self.two, self.one, self.w)), pack(self.c.astype(np.uint32)), *(pack(x.astype(kind)) for x in (self.asked_one, self.asked_w))]
 
     @staticmethod
     def read(row: dict) -> Counts:
-        words = unpack(row["words"], np.uint64)
+        words = unpack_sorted(row["words"])
         index = {k: unpack_index(row[k], len(words)) for k in ("told", "two", "one", "w", "asked_one", "asked_w")}
         return Counts(words, index["told"], index["two"], index["one"], index["w"], unpack(row["c"], np.uint32).astype(np.int64), index["asked_one"], index["asked_w"])
 
@@ -189,13 +202,26 @@ def _names(schema: str) -> list[str]:
     return [x.split()[0] for x in schema.split(", ")]
 
 
-def sorted_entries(key: np.ndarray, *cols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(order by the key and then the columns, first position of each distinct one)."""
-    order = np.lexsort((*reversed(cols), key))
-    change = np.ones(len(order), bool)
-    change[1:] = key[order][1:] != key[order][:-1]
+def changes(x: np.ndarray) -> np.ndarray:
+    """Whether each value of an ordered array is the first of its kind."""
+    out = np.ones(len(x), bool)
+    np.not_equal(x[1:], x[:-1], out=out[1:])
+    return out
+
+
+def sorted_entries(n: int, most: int, *cols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order by the columns, first position of each distinct row); the first column is below ``most``, the others below ``n``."""
+    if most * n ** (len(cols) - 1) < 1 << 63:  # one number for a row
+        key = cols[0].astype(np.int64)
+        for c in cols[1:]:
+            key *= n
+            key += c
+        order = np.argsort(key)
+        return order, np.flatnonzero(changes(key[order]))
+    order = np.lexsort(cols[::-1])
+    change = np.zeros(len(order), bool)
     for c in cols:
-        change[1:] |= c[order][1:] != c[order][:-1]
+        change |= changes(c[order])
     return order, np.flatnonzero(change)
 
 
@@ -219,7 +245,7 @@ class Block:
         Words go by their short numbers, and those without one by their place among the part's behind them.
         """
         n = len(self.words)
-        order, at = sorted_entries(self.part.astype(np.int64) * n + one, two.astype(np.int64) * n + r)
+        order, at = sorted_entries(n, layout.parts, self.part, one, two, r)
         cut = np.searchsorted(self.part[order][at], np.arange(layout.parts + 1))
         bounds = np.append(at, len(order))
         for p in np.flatnonzero(np.diff(cut)):
@@ -278,7 +304,7 @@ def count_words(docs: DataFrame, layout: Layout) -> DataFrame:
             rows = []
             for p, words, i2, i1, iw, tokens, at in block.rows(layout, two, one, block.r):
                 c = np.add.reduceat(learn[tokens].astype(np.uint32), at)
-                rows.append((p, pack(words), pack(i2), pack(i1), pack(iw), pack(c.astype(np.uint32))))
+                rows.append((p, pack_sorted(words), pack(i2), pack(i1), pack(iw), pack(c.astype(np.uint32))))
             yield pa.RecordBatch.from_arrays(_columns(rows, sent), _names(sent))
 
     def merge(t: pa.Table) -> pa.Table:
@@ -286,7 +312,7 @@ def count_words(docs: DataFrame, layout: Layout) -> DataFrame:
         got: list[list[np.ndarray]] = [[] for _ in range(5)]
         n = common
         for row in t.drop_columns(["part"]).to_pylist():
-            words = unpack(row["words"], np.uint64)
+            words = unpack_sorted(row["words"])
             index = (unpack_index(row[k], common + len(words)) for k in ("two", "one", "w"))
             for x, v in zip(got, [words, *((i + (i >= common) * (n - common)).astype(np.int32) for i in index), unpack(row["c"], np.uint32)], strict=True):
                 x.append(v)
@@ -304,7 +330,7 @@ def count_words(docs: DataFrame, layout: Layout) -> DataFrame:
         two, one, w = place[two], place[one], place[w]
         told = np.zeros(len(words), bool)
         told[w] = True
-        order, first = sorted_entries(one, two * len(words) + w)
+        order, first = sorted_entries(len(words), len(words), one, two, w)
         total = np.add.reduceat(c[order].astype(np.int64), first)
         e = order[first]
         seen, asked = e[total > 0], e[total == 0]
@@ -364,13 +390,17 @@ class Seating:
         self.counts = counts
         # one number more than there are words stands for a context that the part does not know
         n = self.n = len(counts.words) + 1
-        self.context, self.u = np.unique(counts.one * n + counts.two, return_inverse=True)
+        context = counts.one * n + counts.two  # in order
+        new = changes(context)
+        self.context, self.u = context[new], np.cumsum(new) - 1
         every = np.concatenate([counts.one * n + counts.w, counts.asked_one * n + counts.asked_w])
         self.pair, at = np.unique(every, return_inverse=True)
         self.p = at[: len(counts.c)]
         self.entry = self.u * n + counts.w
-        self.last, self.v = np.unique(self.pair // n, return_inverse=True)
-        self.pair_w = self.pair % n
+        last = self.pair // n
+        new = changes(last)
+        self.last, self.v = last[new], np.cumsum(new) - 1
+        self.pair_w = self.pair - last * n
         self.frequent = lookup(layout.frequent, counts.words[self.last])[1][self.v]
         #: Frequent words' pairs in the order in which they are reported.
         self.shared = np.flatnonzero(self.frequent)
@@ -516,13 +546,13 @@ def reports(part: int, seating: Seating, layout: Layout, samples: list[tuple[np.
         roots = np.concatenate([r[i:j] for r, _ in samples]).astype(np.uint32)
         customers = np.concatenate([x[k:m] for _, x in samples]).astype(np.uint32)
         own = pack(stats) if g == part else None
-        yield g, part, pack(words[i:j]), pack(seen[i:j].astype(np.uint32)), pack(roots), pack((pair_w[k:m] - i).astype(np.uint32)), pack(last[k:m].astype(np.uint32)), pack(customers), own
+        yield g, part, pack_sorted(words[i:j]), pack(seen[i:j].astype(np.uint32)), pack(roots), pack((pair_w[k:m] - i).astype(np.uint32)), pack(last[k:m].astype(np.uint32)), pack(customers), own
 
 
 def merged_reports(t: pa.Table) -> pa.Table:
     """All parts' reports on one group of words, and who asked for what."""
     rows = t.sort_by("part").to_pylist()
-    words = [unpack(r["words"], np.uint64) for r in rows]
+    words = [unpack_sorted(r["words"]) for r in rows]
     size = np.array([len(x) for x in words])
     every, to_word = np.unique(np.concatenate(words), return_inverse=True)
     start = np.cumsum(size) - size
@@ -539,7 +569,7 @@ def merged_reports(t: pa.Table) -> pa.Table:
     customers = np.array([add(to_pair, np.concatenate([x[s * n : (s + 1) * n] for x, n in zip(got, pairs, strict=True)]), len(key)) for s in range(kept)])
     stats = sum(unpack(r["stats"], np.float64) for r in rows if r["stats"] is not None)
     row = (
-        t["grp"][0].as_py(), pack(every), pack(seen), pack(cold), pack((key & 0xFFFFFFFF).astype(np.uint32)), pack((key >> 32).astype(np.uint32)), pack(customers),
+        t["grp"][0].as_py(), pack_sorted(every), pack(seen), pack(cold), pack((key & 0xFFFFFFFF).astype(np.uint32)), pack((key >> 32).astype(np.uint32)), pack(customers),
         pack(stats) if isinstance(stats, np.ndarray) else None,
         pack(np.array([r["part"] for r in rows], np.int32)), pack(np.concatenate([size, pairs])), pack(to_word.astype(np.uint32)), pack(to_pair.astype(np.uint32)),
     )
@@ -550,7 +580,7 @@ class Shared:
     """One sample of the root and of frequent words' restaurants, for one group of words."""
 
     def __init__(self, row: dict, sample: int) -> None:
-        self.words, self.seen = unpack(row["words"], np.uint64), unpack(row["seen"], np.int64)
+        self.words, self.seen = unpack_sorted(row["words"]), unpack(row["seen"], np.int64)
         self.w, self.r = unpack(row["pair_w"], np.uint32).astype(np.int64), unpack(row["pair_r"], np.uint32).astype(np.int64)
         self.cold = unpack(row["cold"], np.int64)[sample * len(self.words) :][: len(self.words)]
         self.c = unpack(row["customers"], np.int64)[sample * len(self.w) :][: len(self.w)]
@@ -799,7 +829,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             rows = []
             for p, words, i2, i1, iw, order, at in block.rows(layout, block.two, block.one, block.r):
                 times = np.diff(np.append(at, len(order))).astype(np.uint32)
-                rows.append((p, tokens, number, pack(words), pack(i2), pack(i1), pack(iw), pack(times), pack(doc[order].astype(least_type(n_docs)))))
+                rows.append((p, tokens, number, pack_sorted(words >> SHORT), pack(i2), pack(i1), pack(iw), pack(times), pack(doc[order].astype(least_type(n_docs)))))
             head = pa.record_batch([pa.concat_arrays([x.column(0) for x in held]), pa.array(np.bincount(doc, minlength=n_docs))], ["doc_id", "n_tokens"])
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, head.schema) as out:
@@ -826,11 +856,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 root0, pair0, _ = read_answers(rows, 0, 1, counts.told, seating.n)
                 root1, pair1, seen = read_answers(rows, 1, kept, counts.told, seating.n)
             low = np.log10((seen + 1) / (n_train + n_words + 1))
-            wanted = []
+            wanted, short = [], counts.words >> SHORT
             for i in range(asked.num_rows):
                 r = asked.slice(i, 1).to_pylist()[0]
-                own = np.concatenate([layout.common, unpack(r["a"], np.uint64)])
-                at, known = lookup(counts.words, own)
+                own = np.concatenate([layout.common >> SHORT, unpack_sorted(r["a"])])
+                at, known = lookup(short, own)
                 at = np.where(known, at, len(counts.words))
                 wanted.append((r["block"], *(at[unpack_index(r[c], len(own))].astype(np.int32) for c in "bcd"), r["e"], r["f"]))
             size = [len(x[1]) for x in wanted]
@@ -849,7 +879,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 d, at = np.unique(doc, return_inverse=True)
                 add = lambda x: np.bincount(at, weights=np.repeat(x, times))  # noqa: B023, E731
                 here = w[j - n : j]
-                out.append((block, pack(d.astype(np.uint32)), pack(add(low[here])), pack(add(high[j - n : j])), pack(add(seen[here] > 0).astype(np.uint32)), None))
+                out.append((block, pack(d.astype(np.uint32)), pack(add(low[here])), pack(add(high[j - n : j]).astype(np.float32)), pack(add(seen[here] > 0).astype(np.uint32)), None))
         return pa.table(_columns(out, rated_as), _names(rated_as))
 
     def gather(t: pa.Table) -> pa.Table:
@@ -862,7 +892,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             at = unpack(r["doc"], np.uint32).astype(np.int64)
             known[at] += unpack(r["known"], np.uint32)
             low[at] += unpack(r["base"], np.float64)
-            high[at] += unpack(r["score"], np.float64)
+            high[at] += unpack(r["score"], np.float32)
         return pa.table([head["doc_id"], head["n_tokens"], pa.array(known), pa.array(low), pa.array(high)], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
     sent = docs.select("doc_id", "text").mapInArrow(base.frugal(emit), _ANSWER).unionByName(answers(model.first, prior, 0, seed))
