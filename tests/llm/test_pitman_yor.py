@@ -150,3 +150,49 @@ def test_a_model_of_three_words_beats_one_of_single_words(spark):
     rows = pitman_yor.score(docs, pitman_yor.fit(docs, ~held)).withColumn("held", held).where("held").collect()
     n = sum(r.n_tokens for r in rows)
     assert sum(r.score for r in rows) / n > sum(r.base_score for r in rows) / n + 0.4
+
+
+def test_texts_are_sent_once(spark, tmp_path):
+    docs = base.table(spark, SF, "documents").where("doc_id < 60").select("doc_id", "text")
+    docs.write.parquet(f"{tmp_path}/documents")
+    docs = spark.read.parquet(f"{tmp_path}/documents")
+    scored = pitman_yor.score(docs, pitman_yor.fit(docs))
+    assert not [f for f in scored.inputFiles() if str(tmp_path) in f]
+    assert scored.count() == docs.count()
+
+
+def test_own_entries_have_the_probabilities_of_the_predictor():
+    rng = np.random.default_rng(4)
+    words = np.sort(rng.integers(1, 2**63, 9).astype(np.uint64))
+    seen = sorted({(int(a), int(b), int(c)) for a, b, c in rng.integers(0, 8, (80, 3))}, key=lambda x: (x[1], x[0], x[2]))
+    two, one, w = (np.array([x[k] for x in seen]) for k in range(3))
+    none = np.zeros(0, np.int64)
+    s = pitman_yor.Seating(pitman_yor.Counts(words, np.arange(9), two, one, w, rng.integers(1, 30, len(w)), none, none), pitman_yor.Layout(1, words[[2, 5]]))
+    root, pair, prior = rng.random(s.n), rng.random(len(s.shared)), pitman_yor.Prior((0.6, 0.5, 0.4), (1.5, 0.7, 2.0), 1 / 9)
+    s.sweep(root, pair, prior, rng)
+    np.testing.assert_allclose(s.own(root, pair, prior), s.predictor(root, pair, prior)(two, one, w))
+
+
+@pytest.mark.parametrize(("n", "most"), [(5, 3), (1 << 20, 3), (1 << 20, 1 << 10), (1 << 40, 4)])
+def test_entries_are_sorted_whatever_their_range(n, most):
+    rng = np.random.default_rng(5)
+    cols = [rng.integers(0, most, 900), *(rng.choice([0, 1, n // 2, n - 1], 900) for _ in range(3))]
+    order, first = pitman_yor.sorted_entries(n, most, *cols)
+    rows = list(zip(*(c.tolist() for c in cols), strict=True))
+    assert [rows[i] for i in order] == sorted(rows)
+    assert [rows[i] for i in order[first]] == sorted(set(rows))
+
+
+def test_sent_columns_come_back():
+    rng = np.random.default_rng(6)
+    for n in (70, 100_000):
+        rows = np.unique(rng.integers(0, [n, n, n], (500, 3)) // [n // 4, n // 5, 1], axis=0)
+        one, two, w = (rows[:, k].astype(pitman_yor.least_type(n)) for k in range(3))
+        for a, b in zip(pitman_yor.unpack_ascending(*pitman_yor.pack_ascending(one, two, w), n), (one, two, w), strict=True):
+            assert a.tolist() == b.tolist()
+    entry = np.array([3, 0, 9, 9, 1])
+    asked = pitman_yor.Asked.sorted(np.array([7, 8]), np.array([3, 2]), entry, 10, np.array([1, 2, 1, 1, 3]), np.array([4, 5, 6, 7, 0, 1, 2, 3], np.uint16), [b"x", b""])
+    blobs = dict(zip(("blocks", "entries", "times", "doc", "head_size", "heads"), asked.blobs(), strict=True))
+    got = [(b, e.tolist(), t.tolist(), d.tolist()) for b, e, t, d in pitman_yor.Asked.read(blobs).each(10)]
+    assert got == [(7, [0, 3, 9], [2, 1, 1], [5, 6, 4, 7]), (8, [1, 9], [3, 1], [1, 2, 3, 0])]
+    assert pitman_yor.Asked.read(blobs).heads == [b"x", b""]

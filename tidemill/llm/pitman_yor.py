@@ -14,8 +14,9 @@ Everything covers all training texts. Restaurants are dealt by their last word t
 number follows the size of the texts, so that a pair's restaurant and its parent lie together. The restaurants of
 frequent last words are dealt by both words; their parents and the root are seated by word, in groups of words,
 from what the parts report, and the parts are told the probabilities of the words they hold. Only
-totals of the root and of the frequent words' restaurants reach the driver. Words are
-identified by 64-bit hashes, inside the part where they are looked up by the first 48 bits.
+totals of the root and of the frequent words' restaurants reach the driver. Every token is sent
+once: a part counts what it gets and keeps, by block of texts, which of its entries stand in which
+document, so that it scores each distinct entry once. Words are identified by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ _U = np.uint64
 PART_BYTES = 12 << 20
 BLOCK_TOKENS = 1_200_000
 #: Words that have a short number for sending, and the share of a block's tokens that makes a word one of them.
-COMMON, COMMON_SHARE = 24_576, 1e-5
+COMMON, COMMON_SHARE = 131_072, 1.5e-6
 #: Sweeps that are thrown away, and kept.
 BURN_IN, KEPT = 1, 2
 #: The token that ends a text; it stands for what comes before a text, too.
@@ -88,10 +89,6 @@ def unpack_sorted(b: bytes) -> np.ndarray:
     return np.cumsum(unpack(b, np.uint64), dtype=np.uint64)
 
 
-#: Bits of a word's hash that are left out where it is only looked up among a part's own words.
-SHORT = _U(16)
-
-
 def least_type(n: int) -> type:
     return np.uint16 if n <= 1 << 16 else np.uint32
 
@@ -126,7 +123,7 @@ def plan_layout(texts: DataFrame, *, part_bytes: int = PART_BYTES, share: float
     """Parts of about ``part_bytes`` of text; frequent is a word with at least ``share`` of a part's tokens.
 
     A word of that share has half of it in some block of tokens at least, so blocks only report words
-    above half of it, and there are at most 2 / share words a part. Blocks also report words with ``COMMON_SHARE`` of their tokens; the
+    above half of it, and there are at most 2 / share words a part. Blocks also report words with ``COMMON_SHARE`` of their tokens, two at least; the
     most frequent ``COMMON`` of them get short numbers. All this only says where things lie and how they are sent.
     """
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -140,8 +137,10 @@ def plan_layout(texts: DataFrame, *, part_bytes: int = PART_BYTES, share: float
             h = np.concatenate(held)
             held.clear()
             words, n = np.unique(h, return_counts=True)
-            often = n >= min(least, COMMON_SHARE) * len(h)
-            return pa.RecordBatch.from_arrays([pa.array([None, *words[often].view(np.int64).tolist()], pa.int64()), pa.array([len(h), *n[often].tolist()], pa.int64())], ["h", "n"])
+            often = n >= min(least * len(h), max(2, COMMON_SHARE * len(h)))
+            words, n = np.append(words[often], END).view(np.int64), np.append(n[often], len(h))
+            total = np.arange(len(n)) == len(n) - 1
+            return pa.RecordBatch.from_arrays([pa.array(words, mask=total), pa.array(n)], ["h", "n"])
 
         for b in batches:
             for s in T.slices(b.column(0)):
@@ -155,8 +154,8 @@ def plan_layout(texts: DataFrame, *, part_bytes: int = PART_BYTES, share: float
     counts = base.stored(counts)
     total = (counts.where("h IS NULL").first() or {"n": 0})["n"]
     found = counts.where(F.col("h").isNotNull() & (F.col("n") >= least * total)).select("h").collect()
-    common = counts.where("h IS NOT NULL").orderBy(F.desc("n"), "h").limit(COMMON).collect()
-    frequent, common = (np.array([r.h for r in x], np.int64).view(np.uint64) for x in (found, common))
+    common = counts.where("h IS NOT NULL").orderBy(F.desc("n"), "h").limit(COMMON).select("h").toArrow()["h"].to_numpy().astype(np.int64).view(np.uint64)
+    frequent = np.array([r.h for r in found], np.int64).view(np.uint64)
     return Layout(int(parts), np.sort(frequent), common)
 
 
@@ -166,7 +165,8 @@ def plan_layout(texts: DataFrame, *, part_bytes: int = PART_BYTES, share: float
 @dataclass(frozen=True)
 class Counts:
     """One part: its words (ascending), which of them follow a context (``told``, by index) and not only make one, occurrences ``c`` of
-    (two, one, word) in order of (one, two, word), all by index into the words, and the (one, word) pairs that are asked for though they did not occur."""
+    (two, one, word) in order of (one, two, word), all by index into the words, and the (one, word) pairs of frequent words and the entries
+    that are asked for though they did not occur."""
 
     words: np.ndarray
     told: np.ndarray
@@ -176,19 +176,72 @@ class Counts:
     c: np.ndarray
     asked_one: np.ndarray
     asked_w: np.ndarray
+    new_two: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    new_one: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    new_w: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
 
     def blobs(self) -> list[bytes]:
         kind = least_type(len(self.words))
-        return [pack_sorted(self.words), *(pack(x.astype(kind)) for x in (self.told, self.two, self.one, self.w)), pack(self.c.astype(np.uint32)), *(pack(x.astype(kind)) for x in (self.asked_one, self.asked_w))]
+        told, two, one, w, *rest = (pack(getattr(self, k).astype(kind)) for k in _INDICES)
+        return [pack_sorted(self.words), told, two, one, w, pack(self.c.astype(np.uint32)), *rest]
 
     @staticmethod
     def read(row: dict) -> Counts:
         words = unpack_sorted(row["words"])
-        index = {k: unpack_index(row[k], len(words)) for k in ("told", "two", "one", "w", "asked_one", "asked_w")}
-        return Counts(words, index["told"], index["two"], index["one"], index["w"], unpack(row["c"], np.uint32).astype(np.int64), index["asked_one"], index["asked_w"])
+        index = {k: unpack_index(row[k], len(words)) for k in _INDICES if k in row}
+        return Counts(words, c=unpack(row["c"], np.uint32).astype(np.int64), **index)
+
+
+_INDICES = ("told", "two", "one", "w", "asked_one", "asked_w", "new_two", "new_one", "new_w")
+_SEATED = "part int, words binary, told binary, two binary, one binary, w binary, c binary, asked_one binary, asked_w binary"
+#: What only scoring reads: the entries that did not occur, then :class:`Asked`.
+_COUNTS = f"{_SEATED}, new_two binary, new_one binary, new_w binary, blocks binary, entries binary, times binary, doc binary, head_size binary, heads binary"
+
+
+@dataclass(frozen=True)
+class Asked:
+    """What a part was sent by each block of texts, in the order of the entries (those of ``Counts``, then its new ones)."""
+
+    blocks: np.ndarray
+    #: Place of the block times the number of entries, plus the entry; ascending.
+    entries: np.ndarray
+    #: How often the entry stands in the block, and in which of its documents, one after another.
+    times: np.ndarray
+    doc: np.ndarray
+    #: Ids and numbers of tokens of some blocks' documents as an Arrow stream; empty for the other blocks.
+    heads: list[bytes]
+
+    @staticmethod
+    def sorted(blocks: np.ndarray, size: np.ndarray, entry: np.ndarray, n: int, times: np.ndarray, doc: np.ndarray, heads: list[bytes]) -> Asked:
+        """From entries (below ``n``) in any order inside their blocks, which have ``size`` of them."""
+        key = np.repeat(np.arange(len(blocks)), size) * n + entry
+        order = np.argsort(key)
+        start, times = (np.cumsum(times) - times)[order], times[order]
+        token = np.repeat(start - (np.cumsum(times) - times), times) + np.arange(len(doc))
+        return Asked(blocks, key[order], times, doc[token], heads)
+
+    def blobs(self) -> list[bytes]:
+        size = np.array([len(x) for x in self.heads], np.int64)
+        return [pack(self.blocks), pack_sorted(self.entries.astype(np.uint64)), pack(self.times.astype(np.uint32)), pack(self.doc), pack(size), b"".join(self.heads)]
+
+    @staticmethod
+    def read(row: dict) -> Asked:
+        times = unpack(row["times"], np.uint32).astype(np.int64)
+        end = np.cumsum(unpack(row["head_size"], np.int64))
+        heads = [row["heads"][i:j] for i, j in zip([0, *end[:-1]], end, strict=True)]
+        return Asked(unpack(row["blocks"], np.int64), unpack_sorted(row["entries"]).astype(np.int64), times, unpack_docs(row["doc"], int(times.sum())), heads)
+
+    def each(self, n: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(block, its entries, how often each, documents of its tokens)."""
+        at = np.searchsorted(self.entries, np.arange(len(self.blocks) + 1) * n)
+        token = np.concatenate([[0], np.cumsum(self.times)])[at]
+        for k, block in enumerate(self.blocks.tolist()):
+            i, j = at[k], at[k + 1]
+            yield block, self.entries[i:j] - k * n, self.times[i:j], self.doc[token[k] : token[k + 1]]
 
 
-_COUNTS = "part int, words binary, told binary, two binary, one binary, w binary, c binary, asked_one binary, asked_w binary"
+def unpack_docs(b: bytes, tokens: int) -> np.ndarray:
+    return unpack(b, np.uint16 if int.from_bytes(b[:8], "little") == 2 * tokens else np.uint32)
 
 
 def _columns(rows: list[tuple], schema: str) -> list[pa.Array]:
@@ -211,13 +264,24 @@ def changes(x: np.ndarray) -> np.ndarray:
 
 def sorted_entries(n: int, most: int, *cols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(order by the columns, first position of each distinct row); the first column is below ``most``, the others below ``n``."""
-    if most * n ** (len(cols) - 1) < 1 << 63:  # one number for a row
+
+    def ordered(cols: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
         key = cols[0].astype(np.int64)
         for c in cols[1:]:
             key *= n
             key += c
         order = np.argsort(key)
-        return order, np.flatnonzero(changes(key[order]))
+        return order, changes(key[order])
+
+    if most * n ** (len(cols) - 1) < 1 << 63:  # one number for a row
+        order, change = ordered(cols)
+        return order, np.flatnonzero(change)
+    if n ** (len(cols) - 1) < 1 << 63:  # one for all but the first column, by which they are dealt then
+        order, change = ordered(cols[1:])
+        rank = np.cumsum(change)
+        dealt = np.argsort(cols[0][order].astype(least_type(most)), kind="stable")
+        order, rank = order[dealt], rank[dealt]
+        return order, np.flatnonzero(changes(rank) | changes(cols[0][order]))
     order = np.lexsort(cols[::-1])
     change = np.zeros(len(order), bool)
     for c in cols:
@@ -231,13 +295,18 @@ class Block:
     def __init__(self, layout: Layout, h: np.ndarray, first: np.ndarray) -> None:
         """``first``: whether a token is the first of its text."""
         words, r = np.unique(np.append(h, END), return_inverse=True)
-        r = r.astype(np.int32)
+        # in order of the numbers by which they are sent, so that what is sent ascends
+        number = layout.numbers(words)
+        order = np.argsort(np.where(number < 0, len(layout.common) + np.arange(len(words)), number))
+        place = np.empty(len(words), np.int32)
+        place[order] = np.arange(len(words), dtype=np.int32)
+        words, r = words[order], place[r]
         end, r = r[-1:], r[:-1]
         one, two = np.concatenate([end, r[:-1]]), np.concatenate([end, end, r[:-2]])[: len(r)]
         one[first], two[first] = end, end
         self.words, self.end, self.r, self.one, self.two = words, end[0], r, one, two
         self.part = layout.part(words[two], words[one]).astype(np.int32)
-        self.number, self.common = layout.numbers(words), len(layout.common)
+        self.number, self.common = number[order], len(layout.common)
 
     def rows(self, layout: Layout, two: np.ndarray, one: np.ndarray, r: np.ndarray) -> Iterator[tuple]:
         """(part, words without a short number, two, one, w, positions of its tokens by entry, first position of each entry) for each part.
@@ -260,6 +329,23 @@ class Block:
             yield int(p), self.words[ids], *index, order[bounds[i] : bounds[j]], bounds[i:j] - bounds[i]
 
 
+def pack_ascending(one: np.ndarray, two: np.ndarray, w: np.ndarray) -> tuple[bytes, bytes, bytes]:
+    """Columns of rows in order, each but the last by its distances where those before it stay the same."""
+    step = two.copy()
+    step[1:] -= two[:-1] * (one[1:] == one[:-1])
+    return pack(np.diff(one, prepend=one.dtype.type(0))), pack(step), pack(w)
+
+
+def unpack_ascending(one: bytes, two: bytes, w: bytes, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(one, two, w) of :func:`pack_ascending`, below ``n``."""
+    kind = least_type(n)
+    first, step = np.cumsum(unpack(one, kind), dtype=kind).astype(np.int64), unpack(two, kind).astype(np.int64)
+    total = np.cumsum(step)
+    start = np.flatnonzero(changes(first))
+    before = np.concatenate([[0], total])[start]
+    return first, total - np.repeat(before, np.diff(np.append(start, len(first)))), unpack_index(w, n)
+
+
 def _blocks(batches: Iterator[pa.RecordBatch], layout: Layout, most: int) -> Iterator[tuple[Block, np.ndarray, list[pa.RecordBatch]]]:
     """(block of at least ``most`` tokens, document of each token, the documents' rows); texts are in the last column of the batches."""
     held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -288,36 +374,45 @@ def _blocks(batches: Iterator[pa.RecordBatch], layout: Layout, most: int) -> Ite
 
 
 def count_words(docs: DataFrame, layout: Layout) -> DataFrame:
-    """Counts of the texts of ``docs`` (learn boolean, text) that are learnt from, one row for each part.
+    """Counts and :class:`Asked` of the texts of ``docs`` (learn boolean, doc_id, text), one row for each part.
 
-    The words of the other texts are listed without occurrences, as they will be asked for.
+    Words of texts that are not learnt from are listed without occurrences, as they will be asked for.
     """
-    sent = "part int, words binary, two binary, one binary, w binary, c binary"
+    sent = "part int, block long, words binary, one binary, two binary, w binary, c binary, times binary, doc binary, head binary"
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, doc, held in _blocks(batches, layout, BLOCK_TOKENS):
+        task = TaskContext.get().partitionId()
+        for n, (block, doc, held) in enumerate(_blocks(batches, layout, BLOCK_TOKENS)):
+            number, n_docs = (task << 24) + n, sum(x.num_rows for x in held)
             learn = np.concatenate([x.column(0).to_numpy(zero_copy_only=False).astype(bool) for x in held])[doc]
-            # what is only asked for needs no context, but that of a frequent word
-            _, frequent = lookup(layout.frequent, block.words[block.one])
-            two = np.where(learn, block.two, block.end)
-            one = np.where(learn | frequent, block.one, block.end)
             rows = []
-            for p, words, i2, i1, iw, tokens, at in block.rows(layout, two, one, block.r):
-                c = np.add.reduceat(learn[tokens].astype(np.uint32), at)
-                rows.append((p, pack_sorted(words), pack(i2), pack(i1), pack(iw), pack(c.astype(np.uint32))))
+            for p, words, i2, i1, iw, tokens, at in block.rows(layout, block.two, block.one, block.r):
+                c = np.add.reduceat(learn[tokens].astype(np.uint32), at).astype(np.uint32)
+                times = np.diff(np.append(at, len(tokens))).astype(np.uint32)
+                rows.append((p, number, pack_sorted(words), *pack_ascending(i1, i2, iw), pack(c), pack(times), pack(doc[tokens].astype(least_type(n_docs))), b""))
+            head = pa.record_batch([pa.concat_arrays([x.column(1) for x in held]), pa.array(np.bincount(doc, minlength=n_docs))], ["doc_id", "n_tokens"])
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, head.schema) as out:
+                out.write_batch(head)
+            k = (task + n) % len(rows)
+            rows[k] = (*rows[k][:-1], sink.getvalue().to_pybytes())
             yield pa.RecordBatch.from_arrays(_columns(rows, sent), _names(sent))
 
     def merge(t: pa.Table) -> pa.Table:
         common = len(layout.common)
-        got: list[list[np.ndarray]] = [[] for _ in range(5)]
-        n = common
-        for row in t.drop_columns(["part"]).to_pylist():
+        got: list[list[np.ndarray]] = [[] for _ in range(7)]
+        heads, n = [], common
+        t = t.sort_by("block")
+        for row in t.drop_columns(["part", "block"]).to_pylist():
             words = unpack_sorted(row["words"])
-            index = (unpack_index(row[k], common + len(words)) for k in ("two", "one", "w"))
-            for x, v in zip(got, [words, *((i + (i >= common) * (n - common)).astype(np.int32) for i in index), unpack(row["c"], np.uint32)], strict=True):
+            index = unpack_ascending(row["one"], row["two"], row["w"], common + len(words))
+            times = unpack(row["times"], np.uint32)
+            for x, v in zip(got, [words, *((i + (i >= common) * (n - common)).astype(np.int32) for i in index), unpack(row["c"], np.uint32), times, unpack_docs(row["doc"], int(times.sum()))], strict=True):
                 x.append(v)
+            heads.append(row["head"])
             n += len(words)
-        rare, two, one, w, c = (np.concatenate(x) for x in got)
+        size = np.array([len(x) for x in got[1]])
+        rare, one, two, w, c, times, doc = (np.concatenate(x) for x in got)
         del got
         # of the words with short numbers, those that occur here
         here = np.zeros(n, bool)
@@ -333,10 +428,15 @@ def count_words(docs: DataFrame, layout: Layout) -> DataFrame:
         order, first = sorted_entries(len(words), len(words), one, two, w)
         total = np.add.reduceat(c[order].astype(np.int64), first)
         e = order[first]
-        seen, asked = e[total > 0], e[total == 0]
-        asked = asked[lookup(layout.frequent, words[one[asked]])[1]]
-        counts = Counts(words, np.flatnonzero(told), two[seen], one[seen], w[seen], total[total > 0], one[asked], w[asked])
-        return pa.table(_columns([(t["part"][0].as_py(), *counts.blobs())], _COUNTS), _names(_COUNTS))
+        seen, new = e[total > 0], e[total == 0]
+        asked = new[lookup(layout.frequent, words[one[new]])[1]]
+        counts = Counts(words, np.flatnonzero(told), two[seen], one[seen], w[seen], total[total > 0], one[asked], w[asked], two[new], one[new], w[new])
+        place = np.empty(len(first), np.int64)
+        place[np.concatenate([np.flatnonzero(total > 0), np.flatnonzero(total == 0)])] = np.arange(len(first))
+        entry = np.empty(len(order), np.int64)
+        entry[order] = np.repeat(place, np.diff(np.append(first, len(order))))
+        sent_here = Asked.sorted(t["block"].to_numpy(), size, entry, len(first), times.astype(np.int64), doc, heads)
+        return pa.table(_columns([(t["part"][0].as_py(), *counts.blobs(), *sent_here.blobs())], _COUNTS), _names(_COUNTS))
 
     sent_rows = docs.mapInArrow(base.frugal(emit), sent)
     return base.bucketed(sent_rows.groupBy("part").applyInArrow(base.frugal_group(merge), _COUNTS), "part", layout.parts)
@@ -480,6 +580,16 @@ class Seating:
         return predict
 
 
+    def own(self, root_p: np.ndarray, shared_p: np.ndarray, prior: Prior) -> np.ndarray:
+        """The predictive probabilities of the entries that occur."""
+        (_, d2, d3), (_, s2, s3) = prior.discount, prior.strength
+        c2 = self.c2
+        kept = np.where(c2 > 0, c2 - d2 * self.t2, 0.0)
+        p = (kept + (s2 + d2 * self.tables2)[self.v] * root_p[self.pair_w]) / (s2 + self.full2)[self.v]
+        p[self.shared] = shared_p
+        return (self.counts.c - d3 * self.t3 + (s3 + d3 * self.tables3)[self.u] * p[self.p]) / (s3 + self.full3)[self.u]
+
+
 #: Sizes below 64 have a bin each, larger ones eight bins to a doubling.
 BINS = 64 + 8 * 57
 
@@ -527,7 +637,7 @@ def concentration(customers: np.ndarray, tables: np.ndarray, discount: float, ro
 
 _REPORT = "grp int, part int, words binary, seen binary, roots binary, pair_word binary, pair_last binary, customers binary, stats binary"
 _SHARED = "grp int, words binary, seen binary, cold binary, pair_w binary, pair_r binary, customers binary, stats binary, parts binary, sizes binary, to_word binary, to_pair binary"
-_ANSWER = "part int, kind int, block long, a binary, b binary, c binary, d binary, e binary, f binary"
+_ANSWER = "part int, kind int, grp int, a binary, b binary, c binary"
 
 
 def reports(part: int, seating: Seating, layout: Layout, samples: list[tuple[np.ndarray, np.ndarray]], stats: np.ndarray) -> Iterator[tuple]:
@@ -707,7 +817,7 @@ def answers(state: Round, prior: Prior, kind: int, seed: int) -> DataFrame:
                 rows = []
                 for k, part in enumerate(parts.tolist()):
                     w, p = to_word[at[k] : at[k + 1]], to_pair[to[k] : to[k + 1]]
-                    rows.append((part, kind, row["grp"], pack(np.concatenate([r[w] for r in root])), pack(np.concatenate([r[p] for r in pair])), pack(x.seen[w]), None, None, None))
+                    rows.append((part, kind, row["grp"], pack(np.concatenate([r[w] for r in root])), pack(np.concatenate([r[p] for r in pair])), pack(x.seen[w])))
                     if len(rows) == 256:
                         yield pa.RecordBatch.from_arrays(_columns(rows, _ANSWER), _names(_ANSWER))
                         rows = []
@@ -719,7 +829,7 @@ def answers(state: Round, prior: Prior, kind: int, seed: int) -> DataFrame:
 
 def read_answers(rows: list[dict], kind: int, samples: int, told: np.ndarray, n: int) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
     """Per sample the probabilities of the part's ``n`` words and of its shared pairs; the words' occurrences in training. Only ``told`` words have them."""
-    rows = sorted((r for r in rows if r["kind"] == kind), key=lambda r: r["block"])
+    rows = sorted((r for r in rows if r["kind"] == kind), key=lambda r: r["grp"])
     root, pair, seen = ([unpack(r[c], k) for r in rows] for c, k in (("a", np.float32), ("b", np.float32), ("c", np.int64)))
     joined = lambda x, s: np.concatenate([y.reshape(samples, -1)[s] for y in x]).astype(float)
 
@@ -772,9 +882,13 @@ def fit(docs: DataFrame, learn: Column | None = None, *, sweeps: bool = True, se
     Without ``sweeps`` every word has one table in each restaurant, as interpolated Kneser-Ney would have it.
     """
     flag = F.lit(True) if learn is None else F.coalesce(learn, F.lit(False))
-    texts = docs.select(flag.alias("learn"), "text")
+    texts = docs.select(flag.alias("learn"), "doc_id", "text")
     layout = plan_layout(texts, part_bytes=part_bytes, share=share)
-    counts = count_words(texts, layout)
+    stored = count_words(texts, layout)
+    base.let_go(docs.sparkSession)
+    # short numbers were for sending
+    layout = replace(layout, common=layout.common[:0])
+    counts = stored.select(*_names(_SEATED))
     kept = KEPT if sweeps else 1
 
     def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -787,7 +901,7 @@ def fit(docs: DataFrame, learn: Column | None = None, *, sweeps: bool = True, se
 
     first, prior = settle(counts.mapInArrow(base.frugal(begin), _REPORT), layout, 1, None, seed, sweeps)
     if not sweeps:
-        return Model(layout, counts, first, first, (prior, prior), 1, seed)
+        return Model(layout, stored, first, first, (prior, prior), 1, seed)
 
     def go_on(left: pa.Table, right: pa.Table) -> pa.Table:
         rows = []
@@ -806,80 +920,50 @@ def fit(docs: DataFrame, learn: Column | None = None, *, sweeps: bool = True, se
     # discounts stay as estimated from the counts; the concentrations follow the seating
     newer = Prior(prior.discount, last.prior(len(layout.frequent)).strength, prior.base_p)
     base.let_go(docs.sparkSession)
-    return Model(layout, counts, first, last, (prior, newer), kept, seed)
+    return Model(layout, stored, first, last, (prior, newer), kept, seed)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, n_tokens, n_known, base_score and score of every row; ``docs`` are those that the model was fitted with.
 
-    A null or empty text is its end alone. Repeated rows stay repeated, a null doc_id stays null,
-    other columns are not read. Rows of an empty table, or without a text to learn from, score 0.
+    Their tokens were stored then, so the texts are not read again. A null or empty text is its end alone. Repeated
+    rows stay repeated, a null doc_id stays null, other columns are not read. Rows of an empty table, or without a text to learn from, score 0.
     """
     layout, kept, seed = model.layout, model.kept, model.seed
     kind = docs.schema["doc_id"].dataType.simpleString()
     n_train, n_words = model.train_tokens, model.words
     (prior, newer), still = model.priors, model.kept == 1
-    tokens, header = 2, 3
-
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task = TaskContext.get().partitionId()
-        for sent, (block, doc, held) in enumerate(_blocks(batches, layout, BLOCK_TOKENS)):
-            number = (task << 24) + sent
-            n_docs = sum(x.num_rows for x in held)
-            rows = []
-            for p, words, i2, i1, iw, order, at in block.rows(layout, block.two, block.one, block.r):
-                times = np.diff(np.append(at, len(order))).astype(np.uint32)
-                rows.append((p, tokens, number, pack_sorted(words >> SHORT), pack(i2), pack(i1), pack(iw), pack(times), pack(doc[order].astype(least_type(n_docs)))))
-            head = pa.record_batch([pa.concat_arrays([x.column(0) for x in held]), pa.array(np.bincount(doc, minlength=n_docs))], ["doc_id", "n_tokens"])
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, head.schema) as out:
-                out.write_batch(head)
-            rows.append((number % layout.parts, header, number, sink.getvalue().to_pybytes(), None, None, None, None, None))
-            yield pa.RecordBatch.from_arrays(_columns(rows, _ANSWER), _names(_ANSWER))
 
     rated_as = "block long, doc binary, base binary, score binary, known binary, ids binary"
 
     def rate(left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[tuple] = []
-        rows = left.filter(pa.compute.less(left["kind"], tokens)).to_pylist()
-        asked = left.filter(pa.compute.equal(left["kind"], tokens)).sort_by("block")
-        for r in left.filter(pa.compute.equal(left["kind"], header)).to_pylist():
-            out.append((r["block"], None, None, None, None, r["a"]))
-        if asked.num_rows:
-            row = right.to_pylist()[0]
-            counts = Counts.read(row)
+        rows = left.to_pylist()
+        for row in right.to_pylist():
+            counts, asked = Counts.read(row), Asked.read(row)
             seating = Seating(counts, layout)
+            root0, pair0, seen = read_answers(rows, 0, 1, counts.told, seating.n)
             if still:
-                root0, pair0, seen = read_answers(rows, 0, 1, counts.told, seating.n)
                 root1, pair1 = root0, pair0
             else:
-                root0, pair0, _ = read_answers(rows, 0, 1, counts.told, seating.n)
                 root1, pair1, seen = read_answers(rows, 1, kept, counts.told, seating.n)
-            low = np.log10((seen + 1) / (n_train + n_words + 1))
-            wanted, short = [], counts.words >> SHORT
-            for i in range(asked.num_rows):
-                r = asked.slice(i, 1).to_pylist()[0]
-                own = np.concatenate([layout.common >> SHORT, unpack_sorted(r["a"])])
-                at, known = lookup(short, own)
-                at = np.where(known, at, len(counts.words))
-                wanted.append((r["block"], *(at[unpack_index(r[c], len(own))].astype(np.int32) for c in "bcd"), r["e"], r["f"]))
-            size = [len(x[1]) for x in wanted]
-            two, one, w = (np.concatenate([x[k] for x in wanted]).astype(np.int64) for k in (1, 2, 3))
-            p = np.zeros(len(w))
+            own, n = len(counts.c), len(counts.c) + len(counts.new_w)
+            p = np.zeros(n)
             step = 500_000
             for s, x in enumerate(samples_of(seating, row["part"], root0[0], pair0[0], prior, seed, kept)):
+                p[:own] += x.own(root1[s], pair1[s], newer)
                 predict = x.predictor(root1[s], pair1[s], newer)
-                for i in range(0, len(w), step):
+                for i in range(0, n - own, step):
                     cut = slice(i, i + step)
-                    p[cut] += predict(two[cut], one[cut], w[cut])
+                    p[own:][cut] += predict(counts.new_two[cut], counts.new_one[cut], counts.new_w[cut])
             high = np.log10(np.minimum(p / kept, 1.0))
-            for (block, *_, times, doc), j, n in zip(wanted, np.cumsum(size), size, strict=True):
-                times = unpack(times, np.uint32).astype(np.int64)
-                doc = unpack(doc, np.uint16 if int.from_bytes(doc[:8], "little") == 2 * times.sum() else np.uint32)
-                d, at = np.unique(doc, return_inverse=True)
-                add = lambda x: np.bincount(at, weights=np.repeat(x, times))  # noqa: B023, E731
-                here = w[j - n : j]
-                out.append((block, pack(d.astype(np.uint32)), pack(add(low[here])), pack(add(high[j - n : j]).astype(np.float32)), pack(add(seen[here] > 0).astype(np.uint32)), None))
+            w = np.concatenate([counts.w, counts.new_w])
+            low, known = np.log10((seen + 1) / (n_train + n_words + 1))[w], (seen > 0)[w].astype(float)
+            for block, entry, times, doc in asked.each(n):
+                d = np.flatnonzero(np.bincount(doc))
+                add = lambda x: np.bincount(doc, weights=np.repeat(x[entry], times))[d]  # noqa: B023, E731
+                out.append((block, pack(d.astype(np.uint32)), pack(add(low)), pack(add(high).astype(np.float32)), pack(add(known).astype(np.uint32)), None))
+            out += [(block, None, None, None, None, head) for block, head in zip(asked.blocks.tolist(), asked.heads, strict=True) if head]
         return pa.table(_columns(out, rated_as), _names(rated_as))
 
     def gather(t: pa.Table) -> pa.Table:
@@ -895,7 +979,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             high[at] += unpack(r["score"], np.float32)
         return pa.table([head["doc_id"], head["n_tokens"], pa.array(known), pa.array(low), pa.array(high)], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
-    sent = docs.select("doc_id", "text").mapInArrow(base.frugal(emit), _ANSWER).unionByName(answers(model.first, prior, 0, seed))
+    sent = answers(model.first, prior, 0, seed)
     if not still:
         sent = sent.unionByName(answers(model.last, prior, 1, seed + 1))
     rated = sent.groupBy("part").cogroup(model.counts.groupBy("part")).applyInArrow(base.frugal_pair(rate), rated_as)
