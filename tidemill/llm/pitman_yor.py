@@ -505,13 +505,16 @@ class Seating:
         #: Frequent words' pairs in the order in which they are reported.
         self.shared = np.flatnonzero(self.frequent)
         self.shared = self.shared[np.lexsort((self.pair[self.shared], self.pair_w[self.shared]))]
+        # customers that are alone have their one table whatever happens
+        self.many = np.flatnonzero(counts.c > 1)
+        self.least2, self.least3 = np.bincount(self.p, minlength=len(self.pair)), np.bincount(self.u, minlength=len(self.context))
         self.t3 = np.ones(len(counts.c), np.int64)
         self.t2 = (self.c2 > 0).astype(np.int64)
         self.full3 = np.bincount(self.u, weights=counts.c, minlength=len(self.context))
 
     @property
     def c2(self) -> np.ndarray:
-        return np.bincount(self.p, weights=self.t3, minlength=len(self.pair)).astype(np.int64)
+        return self.least2 + np.bincount(self.p[self.many], weights=self.t3[self.many] - 1, minlength=len(self.pair)).astype(np.int64)
 
     @property
     def full2(self) -> np.ndarray:
@@ -519,7 +522,7 @@ class Seating:
 
     @property
     def tables3(self) -> np.ndarray:
-        return np.bincount(self.u, weights=self.t3, minlength=len(self.context))
+        return self.least3 + np.bincount(self.u[self.many], weights=self.t3[self.many] - 1, minlength=len(self.context))
 
     @property
     def tables2(self) -> np.ndarray:
@@ -535,20 +538,22 @@ class Seating:
         (_, d2, d3), (_, s2, s3) = prior.discount, prior.strength
         c2, total2, tables2 = self.c2, self.full2, self.tables2
         # the parent's probability of a word without the tables that are about to leave
-        gone = self.t3
-        c = c2[self.p] - gone
-        t = np.minimum(self.t2[self.p], c)
-        v, w = self.v[self.p], self.pair_w[self.p]
+        many = self.many
+        at, gone = self.p[many], self.t3[many]
+        c = c2[at] - gone
+        t = np.minimum(self.t2[at], c)
+        v, w = self.v[at], self.pair_w[at]
         free = np.where(c > 0, c - d2 * t, 0.0)
         p = (free + (s2 + d2 * tables2[v]) * root_p[w]) / (s2 + np.maximum(total2[v] - gone, 0))
         told = np.zeros(len(self.pair))
         told[self.shared] = shared_p
-        p = np.where(self.frequent[self.p], told[self.p], p)
-        self.t3 = seat(self.counts.c, (self.tables3[self.u] - self.t3), p, d3, s3, rng)
+        p = np.where(self.frequent[at], told[at], p)
+        self.t3[many] = seat(self.counts.c[many], self.tables3[self.u[many]] - gone, p, d3, s3, rng)
         c2 = self.c2
-        own = np.flatnonzero(~self.frequent)
-        self.t2[own] = seat(c2[own], tables2[self.v[own]] - self.t2[own], root_p[self.pair_w[own]], d2, s2, rng)
-        self.t2[self.shared] = c2[self.shared] > 0
+        several = np.flatnonzero(~self.frequent & (c2 > 1))
+        before = self.t2[several]
+        self.t2 = np.minimum(c2, 1)
+        self.t2[several] = seat(c2[several], tables2[self.v[several]] - before, root_p[self.pair_w[several]], d2, s2, rng)
 
     def statistics(self) -> np.ndarray:
         own = np.unique(self.v[~self.frequent])
