@@ -70,3 +70,34 @@ def test_url_edges(spark):
     for i, c in enumerate(cases):
         assert got[i] == c[1:], c[0][:40]
     assert urls.filter_urls(df.limit(0)).count() == 0
+
+
+def test_best_of_a_block_as_floats_equals_the_loop_over_queries():
+    rng = np.random.default_rng(8)
+    for n, width in ((3, 5), (700, 5), (5000, 900), (5000, 3)):
+        ids, own = rng.integers(0, n, n), rng.integers(0, n, 40)
+        scores = rng.integers(-width, width, (40, n))
+        got, want = (sorted(zip(*(x.tolist() for x in f(s, ids, own, 5)), strict=True)) for f, s in ((topk.best_of_floats, scores.astype(np.float32)), (topk.best, scores)))
+        assert got == want
+
+
+@pytest.mark.parametrize(("low", "high", "kind"), [(-150, 150, np.float32), (-(1 << 20), 1 << 20, np.float64), (-(1 << 62), 1 << 62, np.int64)])
+def test_scores_are_exact_and_dense_terms_are_summed_at_once(low, high, kind):
+    rng = np.random.default_rng(9)
+    rows = rng.integers(low, high, (300, 20))
+    rows[:, 15:] *= rng.random((300, 5)) < 0.02
+    off = np.arange(301) * 20
+    p = topk.Postings(off, rows.ravel())
+    got = p.scores(topk.Postings(off[:41], rows[:40].ravel()))
+    assert got.dtype == kind and p.few.tolist() == [15, 16, 17, 18, 19]
+    assert (got.astype(np.int64) == rows[:40] @ rows.T).all()
+
+
+def test_vectors_at_the_ends_of_the_longs(spark):
+    rows = [(0, [1e300, -1.0]), (1, [-1e300, 0.5]), (2, [3.5e16, 2.0]), (3, [0.001, -0.001]), (4, [-0.001, 0.001])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    v = {r.vec_id: r.v for r in df.select("vec_id", topk.quantised("embedding").alias("v")).collect()}
+    assert [topk.floored(np.array(x)).tolist() for _, x in rows] == [v[i] for i, _ in rows]
+    wrap = lambda x: (x + 2**63) % 2**64 - 2**63
+    best = sorted((-wrap(sum(a * b for a, b in zip(v[0], v[i], strict=True))), i) for i in range(1, 5))
+    assert [tuple(r) for r in topk.exact_top_k(df).orderBy("rank").collect()] == [(0, k + 1, i, -s) for k, (s, i) in enumerate(best)]
