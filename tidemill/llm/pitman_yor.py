@@ -317,14 +317,18 @@ class Block:
         order, at = sorted_entries(n, layout.parts, self.part, one, two, r)
         cut = np.searchsorted(self.part[order][at], np.arange(layout.parts + 1))
         bounds = np.append(at, len(order))
+        mark, places = np.zeros(n, bool), np.zeros(n, np.int64)
         for p in np.flatnonzero(np.diff(cut)):
             i, j = cut[p], cut[p + 1]
             e = order[at[i:j]]
             used = np.concatenate([two[e], one[e], r[e]])
             index = self.number[used]
             rare = np.flatnonzero(index < 0)
-            ids, place = np.unique(used[rare], return_inverse=True)
-            index[rare] = self.common + place
+            mark[used[rare]] = True
+            ids = np.flatnonzero(mark)
+            mark[ids] = False
+            places[ids] = self.common + np.arange(len(ids))
+            index[rare] = places[used[rare]]
             index = index.astype(least_type(self.common + len(ids))).reshape(3, -1)
             yield int(p), self.words[ids], *index, order[bounds[i] : bounds[j]], bounds[i:j] - bounds[i]
 
