@@ -2,6 +2,7 @@
 
 import math
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -196,3 +197,68 @@ def test_sent_columns_come_back():
     got = [(b, e.tolist(), t.tolist(), d.tolist()) for b, e, t, d in pitman_yor.Asked.read(blobs).each(10)]
     assert got == [(7, [0, 3, 9], [2, 1, 1], [5, 6, 4, 7]), (8, [1, 9], [3, 1], [1, 2, 3, 0])]
     assert pitman_yor.Asked.read(blobs).heads == [b"x", b""]
+
+
+class Frame:
+    """Stands for any frame; what would run on workers is recorded."""
+
+    def __getattr__(self, name):
+        return lambda *a, **k: self
+
+
+def merged_part(monkeypatch, texts, layout, block):
+    """(entries that blocks sent, the part's row, bytes of working memory at most) of one part of these texts, without Spark."""
+    made = {}
+    for name in ("frugal", "frugal_group"):
+        monkeypatch.setattr(base, name, lambda fn: made.setdefault(fn.__name__, fn))
+    monkeypatch.setattr(base, "bucketed", lambda *a: Frame())
+    monkeypatch.setattr(pitman_yor, "BLOCK_TOKENS", block)
+    monkeypatch.setattr(pitman_yor, "MERGED_TOKENS", block, raising=False)
+    monkeypatch.setattr(pitman_yor.TaskContext, "get", classmethod(lambda cls: type("Task", (), {"partitionId": lambda self: 0})()))
+    pitman_yor.count_words(Frame(), layout)
+    docs = pa.record_batch([pa.array([i % 7 != 2 for i in range(len(texts))]), pa.array(range(len(texts))), pa.array(texts)], ["learn", "doc_id", "text"])
+    sent = pa.Table.from_batches(made["emit"](iter([docs])))
+    tracemalloc.start()
+    got = made["merge"](sent)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return sum(len(pitman_yor.unpack(x, np.uint32)) for x in sent["c"].to_pylist()), got.to_pylist()[0], most
+
+
+def test_a_part_is_merged_and_seated_in_bounded_memory(monkeypatch):
+    rng = np.random.default_rng(7)
+    texts = [" ".join(f"w{x}" for x in rng.zipf(1.2, 3000) % 40_000) for _ in range(200)]
+    layout = pitman_yor.Layout(1, np.zeros(0, np.uint64))
+    entries, row, most = merged_part(monkeypatch, texts, layout, 25_000)
+    assert entries > 300_000 and most < 100 * entries
+    tracemalloc.start()
+    s = pitman_yor.Seating(pitman_yor.Counts.read(row), layout)
+    now = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert now < 75 * len(s.p)
+
+
+def test_blocks_of_any_number_are_put_in_order_alike():
+    rng = np.random.default_rng(8)
+    size, n = rng.integers(1, 40, 30), 60
+    entry = np.concatenate([rng.permutation(n)[:k] for k in size])
+    times = rng.integers(1, 4, len(entry)).astype(np.uint32)
+    doc, heads, blocks = rng.integers(0, 9, times.sum()).astype(np.uint16), [b"%d" % i for i in range(30)], np.arange(30) << 24
+    cut = np.cumsum(size)
+    token = np.concatenate([[0], np.cumsum(times, dtype=np.int64)])
+
+    def some(step):
+        for i in range(0, 30, step):
+            j = min(30, i + step)
+            a, b = cut[i] - size[i], cut[j - 1]
+            yield blocks[i:j], size[i:j], entry[a:b], times[a:b], doc[token[a] : token[b]], heads[i:j]
+
+    want = [(b, sorted(entry[c - k : c].tolist())) for b, k, c in zip(blocks.tolist(), size, cut, strict=True)]
+    for step in (1, 7, 30):
+        asked = pitman_yor.Asked.gathered(some(step), n)
+        assert asked.heads == heads
+        assert asked.blobs() == pitman_yor.Asked.sorted(blocks, size, entry, n, times, doc, heads).blobs()
+        assert [(b, e.tolist()) for b, e, _, _ in asked.each(n)] == want
+        for (_, e, often, d), c, k in zip(asked.each(n), cut, size, strict=True):
+            at = {int(entry[i]): doc[token[i] : token[i + 1]].tolist() for i in range(c - k, c)}
+            assert d.tolist() == [x for y in e.tolist() for x in at[y]] and often.sum() == len(d)

@@ -21,7 +21,7 @@ document, so that it scores each distinct entry once. Words are identified by 64
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field, replace
 
 import numpy as np
@@ -94,7 +94,14 @@ def least_type(n: int) -> type:
 
 
 def unpack_index(b: bytes, n: int) -> np.ndarray:
-    return unpack(b, least_type(n)).astype(np.int64)
+    return unpack(b, least_type(n)).astype(np.int32)
+
+
+def joined(some: list[np.ndarray]) -> np.ndarray:
+    """The arrays of ``some`` as one; the list is emptied, so that they can be let go."""
+    out = np.concatenate(some)
+    some.clear()
+    return out
 
 
 # --- where restaurants lie ---
@@ -189,7 +196,7 @@ class Counts:
     def read(row: dict) -> Counts:
         words = unpack_sorted(row["words"])
         index = {k: unpack_index(row[k], len(words)) for k in _INDICES if k in row}
-        return Counts(words, c=unpack(row["c"], np.uint32).astype(np.int64), **index)
+        return Counts(words, c=unpack(row["c"], np.uint32), **index)
 
 
 _INDICES = ("told", "two", "one", "w", "asked_one", "asked_w", "new_two", "new_one", "new_w")
@@ -203,8 +210,8 @@ class Asked:
     """What a part was sent by each block of texts, in the order of the entries (those of ``Counts``, then its new ones)."""
 
     blocks: np.ndarray
-    #: Place of the block times the number of entries, plus the entry; ascending.
-    entries: np.ndarray
+    #: Distances of the ascending numbers that are the place of the block times the number of entries, plus the entry.
+    steps: np.ndarray
     #: How often the entry stands in the block, and in which of its documents, one after another.
     times: np.ndarray
     doc: np.ndarray
@@ -213,31 +220,47 @@ class Asked:
 
     @staticmethod
     def sorted(blocks: np.ndarray, size: np.ndarray, entry: np.ndarray, n: int, times: np.ndarray, doc: np.ndarray, heads: list[bytes]) -> Asked:
-        """From entries (below ``n``) in any order inside their blocks, which have ``size`` of them."""
-        key = np.repeat(np.arange(len(blocks)), size) * n + entry
-        order = np.argsort(key)
-        start, times = (np.cumsum(times) - times)[order], times[order]
-        token = np.repeat(start - (np.cumsum(times) - times), times) + np.arange(len(doc))
-        return Asked(blocks, key[order], times, doc[token], heads)
+        """From entries (below ``n``) in any order inside their blocks, which have ``size`` of them, one at least."""
+        return Asked.gathered([(blocks, size, entry, times, doc, heads)], n)
+
+    @staticmethod
+    def gathered(some: Iterable[tuple], n: int) -> Asked:
+        """The same from some blocks after others, of which only those at hand take working memory."""
+        blocks, steps, often, docs, heads = [], [], [], [], []
+        before = done = 0
+        for block, size, entry, times, doc, head in some:
+            key = np.repeat(np.arange(done, done + len(block)), size) * n + entry
+            order = np.argsort(key)
+            key, times = key[order], times.astype(np.int64)
+            start, times = (np.cumsum(times) - times)[order], times[order]
+            token = np.repeat(start - (np.cumsum(times) - times), times) + np.arange(len(doc))
+            blocks.append(block)
+            steps.append(np.diff(key, prepend=before).astype(np.uint32))
+            often.append(times.astype(np.uint32))
+            docs.append(doc[token])
+            heads += head
+            before, done = key[-1], done + len(block)
+        return Asked(joined(blocks), joined(steps), joined(often), joined(docs), heads)
 
     def blobs(self) -> list[bytes]:
         size = np.array([len(x) for x in self.heads], np.int64)
-        return [pack(self.blocks), pack_sorted(self.entries.astype(np.uint64)), pack(self.times.astype(np.uint32)), pack(self.doc), pack(size), b"".join(self.heads)]
+        return [pack(self.blocks), pack(self.steps), pack(self.times), pack(self.doc), pack(size), b"".join(self.heads)]
 
     @staticmethod
     def read(row: dict) -> Asked:
-        times = unpack(row["times"], np.uint32).astype(np.int64)
+        times = unpack(row["times"], np.uint32)
         end = np.cumsum(unpack(row["head_size"], np.int64))
         heads = [row["heads"][i:j] for i, j in zip([0, *end[:-1]], end, strict=True)]
-        return Asked(unpack(row["blocks"], np.int64), unpack_sorted(row["entries"]).astype(np.int64), times, unpack_docs(row["doc"], int(times.sum())), heads)
+        return Asked(unpack(row["blocks"], np.int64), unpack(row["entries"], np.uint32), times, unpack_docs(row["doc"], int(times.sum(dtype=np.int64))), heads)
 
     def each(self, n: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
         """(block, its entries, how often each, documents of its tokens)."""
-        at = np.searchsorted(self.entries, np.arange(len(self.blocks) + 1) * n)
-        token = np.concatenate([[0], np.cumsum(self.times)])[at]
+        entries = np.cumsum(self.steps, dtype=np.int64)
+        at = np.searchsorted(entries, np.arange(len(self.blocks) + 1) * n)
+        token = np.concatenate([[0], np.cumsum(np.add.reduceat(self.times, at[:-1], dtype=np.int64))])
         for k, block in enumerate(self.blocks.tolist()):
             i, j = at[k], at[k + 1]
-            yield block, self.entries[i:j] - k * n, self.times[i:j], self.doc[token[k] : token[k + 1]]
+            yield block, entries[i:j] - k * n, self.times[i:j], self.doc[token[k] : token[k + 1]]
 
 
 def unpack_docs(b: bytes, tokens: int) -> np.ndarray:
@@ -377,6 +400,66 @@ def _blocks(batches: Iterator[pa.RecordBatch], layout: Layout, most: int) -> Ite
         yield made()
 
 
+#: Tokens whose documents are put in order together when a part's blocks are merged.
+MERGED_TOKENS = 1 << 18
+
+
+def merged_counts(t: pa.Table, layout: Layout) -> pa.Table:
+    """What all blocks sent to one part, as one row. Documents of tokens, which take the most room, are only unpacked for a few blocks at a time."""
+    common = len(layout.common)
+    rare, one, two, w, c = ([] for _ in range(5))
+    blocks, n = t["block"].to_numpy(), common
+    rows = np.argsort(blocks).tolist()
+    for words, *index, times in ([t[k][i].as_py() for k in ("words", "one", "two", "w", "c")] for i in rows):
+        rare.append(unpack_sorted(words))
+        for x, i in zip((one, two, w), unpack_ascending(*index, common + len(rare[-1])), strict=True):
+            x.append((i + (i >= common) * (n - common)).astype(np.int32))
+        c.append(unpack(times, np.uint32))
+        n += len(rare[-1])
+    size = np.array([len(x) for x in one])
+    rare, one, two, w, c = (joined(x) for x in (rare, one, two, w, c))
+    # of the words with short numbers, those that occur here
+    here = np.zeros(n, bool)
+    for x in (two, one, w):
+        here[x] = True
+    words, at = np.unique(np.concatenate([layout.common, rare])[here], return_inverse=True)
+    place = np.zeros(n, np.int32)
+    place[here] = at
+    del rare, here, at
+    one, two, w = place[one], place[two], place[w]
+    told = np.zeros(len(words), bool)
+    told[w] = True
+    order, first = sorted_entries(len(words), len(words), one, two, w)
+    total = np.add.reduceat(c[order], first, dtype=np.int64)
+    old = total > 0
+    place = np.empty(len(first), np.int32)
+    place[np.concatenate([np.flatnonzero(old), np.flatnonzero(~old)])] = np.arange(len(first), dtype=np.int32)
+    entry = np.empty(len(order), np.int32)
+    entry[order] = np.repeat(place, np.diff(np.append(first, len(order))))
+    e = order[first]
+    del order, c, place
+    seen, new = e[old], e[~old]
+    asked = new[lookup(layout.frequent, words[one[new]])[1]]
+    counts = Counts(words, np.flatnonzero(told), two[seen], one[seen], w[seen], total[old], one[asked], w[asked], two[new], one[new], w[new])
+    n = len(first)
+    del one, two, w, total, old, e, seen, new, asked, first
+    made = counts.blobs()
+    del counts
+
+    def some() -> Iterator[tuple]:
+        end, begin, held = np.cumsum(size), 0, []
+        for k, i in enumerate(rows):
+            times = unpack(t["times"][i].as_py(), np.uint32)
+            held.append((i, times, unpack_docs(t["doc"][i].as_py(), int(times.sum(dtype=np.int64)))))
+            if k == len(rows) - 1 or sum(len(x[2]) for x in held) >= MERGED_TOKENS:
+                at = [x[0] for x in held]
+                yield blocks[at], size[k + 1 - len(at) : k + 1], entry[begin : end[k]], *(np.concatenate([x[j] for x in held]) for j in (1, 2)), [t["head"][j].as_py() for j in at]
+                begin = end[k]
+                held.clear()
+
+    return pa.table(_columns([(t["part"][0].as_py(), *made, *Asked.gathered(some(), n).blobs())], _COUNTS), _names(_COUNTS))
+
+
 def count_words(docs: DataFrame, layout: Layout) -> DataFrame:
     """Counts and :class:`Asked` of the texts of ``docs`` (learn boolean, doc_id, text), one row for each part.
 
@@ -403,44 +486,7 @@ def count_words(docs: DataFrame, layout: Layout) -> DataFrame:
             yield pa.RecordBatch.from_arrays(_columns(rows, sent), _names(sent))
 
     def merge(t: pa.Table) -> pa.Table:
-        common = len(layout.common)
-        got: list[list[np.ndarray]] = [[] for _ in range(7)]
-        heads, n = [], common
-        t = t.sort_by("block")
-        for row in t.drop_columns(["part", "block"]).to_pylist():
-            words = unpack_sorted(row["words"])
-            index = unpack_ascending(row["one"], row["two"], row["w"], common + len(words))
-            times = unpack(row["times"], np.uint32)
-            for x, v in zip(got, [words, *((i + (i >= common) * (n - common)).astype(np.int32) for i in index), unpack(row["c"], np.uint32), times, unpack_docs(row["doc"], int(times.sum()))], strict=True):
-                x.append(v)
-            heads.append(row["head"])
-            n += len(words)
-        size = np.array([len(x) for x in got[1]])
-        rare, one, two, w, c, times, doc = (np.concatenate(x) for x in got)
-        del got
-        # of the words with short numbers, those that occur here
-        here = np.zeros(n, bool)
-        for x in (two, one, w):
-            here[x] = True
-        every = np.concatenate([layout.common, rare])
-        words, at = np.unique(every[here], return_inverse=True)
-        place = np.zeros(n, np.int64)
-        place[here] = at
-        two, one, w = place[two], place[one], place[w]
-        told = np.zeros(len(words), bool)
-        told[w] = True
-        order, first = sorted_entries(len(words), len(words), one, two, w)
-        total = np.add.reduceat(c[order].astype(np.int64), first)
-        e = order[first]
-        seen, new = e[total > 0], e[total == 0]
-        asked = new[lookup(layout.frequent, words[one[new]])[1]]
-        counts = Counts(words, np.flatnonzero(told), two[seen], one[seen], w[seen], total[total > 0], one[asked], w[asked], two[new], one[new], w[new])
-        place = np.empty(len(first), np.int64)
-        place[np.concatenate([np.flatnonzero(total > 0), np.flatnonzero(total == 0)])] = np.arange(len(first))
-        entry = np.empty(len(order), np.int64)
-        entry[order] = np.repeat(place, np.diff(np.append(first, len(order))))
-        sent_here = Asked.sorted(t["block"].to_numpy(), size, entry, len(first), times.astype(np.int64), doc, heads)
-        return pa.table(_columns([(t["part"][0].as_py(), *counts.blobs(), *sent_here.blobs())], _COUNTS), _names(_COUNTS))
+        return merged_counts(t, layout)
 
     sent_rows = docs.mapInArrow(base.frugal(emit), sent)
     return base.bucketed(sent_rows.groupBy("part").applyInArrow(base.frugal_group(merge), _COUNTS), "part", layout.parts)
@@ -487,32 +533,45 @@ def seat(c: np.ndarray, others: np.ndarray, p: np.ndarray, discount: float, stre
     return t
 
 
+def numbered(new: np.ndarray) -> np.ndarray:
+    """The number of each value of an ordered array, given where they change."""
+    out = np.cumsum(new, dtype=np.int32)
+    out -= 1
+    return out
+
+
+#: Entries that are scored at once.
+STEP = 1 << 17
+
+
 class Seating:
     """The restaurants of one part: all pairs of words, and of the last words those that are not frequent."""
 
     def __init__(self, counts: Counts, layout: Layout) -> None:
-        self.counts = counts
         # one number more than there are words stands for a context that the part does not know
         n = self.n = len(counts.words) + 1
-        context = counts.one * n + counts.two  # in order
-        new = changes(context)
-        self.context, self.u = context[new], np.cumsum(new) - 1
-        every = np.concatenate([counts.one * n + counts.w, counts.asked_one * n + counts.asked_w])
+        every = np.concatenate([counts.one.astype(np.int64) * n + counts.w, counts.asked_one.astype(np.int64) * n + counts.asked_w])
         self.pair, at = np.unique(every, return_inverse=True)
-        self.p = at[: len(counts.c)]
-        self.entry = self.u * n + counts.w
+        self.p = at[: len(counts.c)].astype(np.int32)
+        del every, at
+        context = counts.one.astype(np.int64) * n + counts.two  # in order
+        new = changes(context)
+        self.context, self.u = context[new], numbered(new)
+        del context
+        none = np.zeros(0, np.int32)
+        self.counts = replace(counts, two=none, one=none, asked_one=none, asked_w=none)
         last = self.pair // n
         new = changes(last)
-        self.last, self.v = last[new], np.cumsum(new) - 1
-        self.pair_w = self.pair - last * n
+        self.last, self.v = last[new], numbered(new)
+        self.pair_w = (self.pair - last * n).astype(np.int32)
         self.frequent = lookup(layout.frequent, counts.words[self.last])[1][self.v]
         #: Frequent words' pairs in the order in which they are reported.
         self.shared = np.flatnonzero(self.frequent)
         self.shared = self.shared[np.lexsort((self.pair[self.shared], self.pair_w[self.shared]))]
         # customers that are alone have their one table whatever happens
-        self.many = np.flatnonzero(counts.c > 1)
-        self.least2, self.least3 = np.bincount(self.p, minlength=len(self.pair)), np.bincount(self.u, minlength=len(self.context))
-        self.t3 = np.ones(len(counts.c), np.int64)
+        self.many = np.flatnonzero(counts.c > 1).astype(np.int32)
+        self.least2, self.least3 = np.bincount(self.p, minlength=len(self.pair)).astype(np.int32), np.bincount(self.u, minlength=len(self.context)).astype(np.int32)
+        self.t3 = np.ones(len(counts.c), np.int32)
         self.t2 = (self.c2 > 0).astype(np.int64)
         self.full3 = np.bincount(self.u, weights=counts.c, minlength=len(self.context))
 
@@ -569,7 +628,7 @@ class Seating:
         """A function of (two, one, word), by index into the part's words, that gives their predictive probabilities."""
         (_, d2, d3), (_, s2, s3) = prior.discount, prior.strength
         n, c2, full2, tables2, tables3 = self.n, self.c2, self.full2, self.tables2, self.tables3
-        kept2, kept3 = np.where(c2 > 0, c2 - d2 * self.t2, 0.0), self.counts.c - d3 * self.t3
+        kept2, entries = np.where(c2 > 0, c2 - d2 * self.t2, 0.0), self.u.astype(np.int64) * n + self.counts.w
         told = np.zeros(len(self.pair))
         told[self.shared] = shared_p
 
@@ -577,18 +636,17 @@ class Seating:
             p = root_p[w]
             v, known = lookup(self.last, one)
             if len(self.last):
-                pair, seen = lookup(self.pair, one * n + w)
+                pair, seen = lookup(self.pair, one.astype(np.int64) * n + w)
                 local = (np.where(seen, kept2[pair], 0.0) + (s2 + d2 * tables2[v]) * p) / (s2 + full2[v])
                 p = np.where(known, np.where(seen & self.frequent[pair], told[pair], local), p)
-            u, known = lookup(self.context, one * n + two)
+            u, known = lookup(self.context, one.astype(np.int64) * n + two)
             if len(self.context):
-                entry, seen = lookup(self.entry, u * n + w)
-                p = np.where(known, (np.where(seen, kept3[entry], 0.0) + (s3 + d3 * tables3[u]) * p) / (s3 + self.full3[u]), p)
+                entry, seen = lookup(entries, u * n + w)
+                p = np.where(known, (np.where(seen, self.counts.c[entry] - d3 * self.t3[entry], 0.0) + (s3 + d3 * tables3[u]) * p) / (s3 + self.full3[u]), p)
             return p
 
         return predict
 
-
     def own(self, root_p: np.ndarray, shared_p: np.ndarray, prior: Prior) -> np.ndarray:
         """The predictive probabilities of the entries that occur."""
         (_, d2, d3), (_, s2, s3) = prior.discount, prior.strength
@@ -596,7 +654,13 @@ class Seating:
         kept = np.where(c2 > 0, c2 - d2 * self.t2, 0.0)
         p = (kept + (s2 + d2 * self.tables2)[self.v] * root_p[self.pair_w]) / (s2 + self.full2)[self.v]
         p[self.shared] = shared_p
-        return (self.counts.c - d3 * self.t3 + (s3 + d3 * self.tables3)[self.u] * p[self.p]) / (s3 + self.full3)[self.u]
+        back, full = s3 + d3 * self.tables3, s3 + self.full3
+        out = np.empty(len(self.u))
+        for i in range(0, len(out), STEP):
+            cut = slice(i, i + STEP)
+            u = self.u[cut]
+            out[cut] = (self.counts.c[cut] - d3 * self.t3[cut] + back[u] * p[self.p[cut]]) / full[u]
+        return out
 
 
 #: Sizes below 64 have a bin each, larger ones eight bins to a doubling.
@@ -945,33 +1009,41 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     rated_as = "block long, doc binary, base binary, score binary, known binary, ids binary"
 
+    def entry_scores(left: pa.Table, row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(log10 probability of each entry, its word, occurrences of each word in training)."""
+        counts = Counts.read(row)
+        seating = Seating(counts, layout)
+        counts = seating.counts
+        rows = left.to_pylist()
+        root0, pair0, seen = read_answers(rows, 0, 1, counts.told, seating.n)
+        if still:
+            root1, pair1 = root0, pair0
+        else:
+            root1, pair1, seen = read_answers(rows, 1, kept, counts.told, seating.n)
+        del rows
+        own, n = len(counts.c), len(counts.c) + len(counts.new_w)
+        p = np.zeros(n)
+        for s, x in enumerate(samples_of(seating, row["part"], root0[0], pair0[0], prior, seed, kept)):
+            p[:own] += x.own(root1[s], pair1[s], newer)
+            predict = x.predictor(root1[s], pair1[s], newer)
+            for i in range(0, n - own, STEP):
+                cut = slice(i, i + STEP)
+                p[own:][cut] += predict(counts.new_two[cut], counts.new_one[cut], counts.new_w[cut])
+            del predict
+        p /= kept
+        np.log10(np.minimum(p, 1.0, out=p), out=p)
+        return p, np.concatenate([counts.w, counts.new_w]), seen
+
     def rate(left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[tuple] = []
-        rows = left.to_pylist()
         for row in right.to_pylist():
-            counts, asked = Counts.read(row), Asked.read(row)
-            seating = Seating(counts, layout)
-            root0, pair0, seen = read_answers(rows, 0, 1, counts.told, seating.n)
-            if still:
-                root1, pair1 = root0, pair0
-            else:
-                root1, pair1, seen = read_answers(rows, 1, kept, counts.told, seating.n)
-            own, n = len(counts.c), len(counts.c) + len(counts.new_w)
-            p = np.zeros(n)
-            step = 500_000
-            for s, x in enumerate(samples_of(seating, row["part"], root0[0], pair0[0], prior, seed, kept)):
-                p[:own] += x.own(root1[s], pair1[s], newer)
-                predict = x.predictor(root1[s], pair1[s], newer)
-                for i in range(0, n - own, step):
-                    cut = slice(i, i + step)
-                    p[own:][cut] += predict(counts.new_two[cut], counts.new_one[cut], counts.new_w[cut])
-            high = np.log10(np.minimum(p / kept, 1.0))
-            w = np.concatenate([counts.w, counts.new_w])
-            low, known = np.log10((seen + 1) / (n_train + n_words + 1))[w], (seen > 0)[w].astype(float)
-            for block, entry, times, doc in asked.each(n):
-                d = np.flatnonzero(np.bincount(doc))
-                add = lambda x: np.bincount(doc, weights=np.repeat(x[entry], times))[d]  # noqa: B023, E731
-                out.append((block, pack(d.astype(np.uint32)), pack(add(low)), pack(add(high).astype(np.float32)), pack(add(known).astype(np.uint32)), None))
+            high, w, seen = entry_scores(left, row)
+            low, known = np.log10((seen + 1) / (n_train + n_words + 1)), (seen > 0).astype(float)
+            asked = Asked.read(row)
+            for block, entry, times, doc in asked.each(len(w)):
+                d, word = np.flatnonzero(np.bincount(doc)), w[entry]
+                add = lambda x: np.bincount(doc, weights=np.repeat(x, times))[d]  # noqa: B023, E731
+                out.append((block, pack(d.astype(np.uint32)), pack(add(low[word])), pack(add(high[entry]).astype(np.float32)), pack(add(known[word]).astype(np.uint32)), None))
             out += [(block, None, None, None, None, head) for block, head in zip(asked.blocks.tolist(), asked.heads, strict=True) if head]
         return pa.table(_columns(out, rated_as), _names(rated_as))
 
