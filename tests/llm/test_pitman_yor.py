@@ -262,3 +262,20 @@ def test_blocks_of_any_number_are_put_in_order_alike():
         for (_, e, often, d), c, k in zip(asked.each(n), cut, size, strict=True):
             at = {int(entry[i]): doc[token[i] : token[i + 1]].tolist() for i in range(c - k, c)}
             assert d.tolist() == [x for y in e.tolist() for x in at[y]] and often.sum() == len(d)
+
+
+def test_a_block_is_dealt_in_bounded_memory():
+    rng = np.random.default_rng(9)
+    texts = [" ".join(f"w{x}" for x in rng.zipf(1.3, 3000) % 40_000) for _ in range(500)]
+    h = pitman_yor.T.words(next(pitman_yor.T.slices(pa.array([" ".join(f"w{x}" for x in range(1, 9))])))).hash
+    layout = pitman_yor.Layout(16, np.sort(h))
+    batch = pa.record_batch([pa.array(range(500)), pa.array(texts)], ["doc_id", "text"])
+    tracemalloc.start()
+    ((block, doc, rows),) = pitman_yor._blocks(iter([batch]), layout, 10**9)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert doc.tolist() == [i for i, t in enumerate(texts) for _ in tokens(t)] and sum(x.num_rows for x in rows) == 500
+    assert most < 75 * len(doc)
+    one, two = block.words[block.one], block.words[block.two]
+    key = np.where(np.isin(one, h), one ^ pitman_yor.T.mix(two), one)
+    assert np.array_equal(block.part, pitman_yor.scaled(pitman_yor.T.mix(key), 16)) and np.isin(one, h).mean() > 0.3

@@ -121,9 +121,12 @@ class Layout:
         at, known = lookup(self.common[order], words)
         return np.where(known, order[at] if len(order) else -1, -1)
 
-    def part(self, two: np.ndarray, one: np.ndarray) -> np.ndarray:
-        _, split = lookup(self.frequent, one)
-        return scaled(T.mix(np.where(split, one ^ T.mix(two), one)), self.parts)
+    def part(self, words: np.ndarray, two: np.ndarray, one: np.ndarray) -> np.ndarray:
+        """The part of each pair of words, by index into ``words``."""
+        out = scaled(T.mix(words), self.parts).astype(np.int32)[one]
+        split = np.flatnonzero(lookup(self.frequent, words)[1][one])
+        out[split] = scaled(T.mix(words[one[split]] ^ T.mix(words)[two[split]]), self.parts)
+        return out
 
 
 def plan_layout(texts: DataFrame, *, part_bytes: int = PART_BYTES, share: float = 0.25) -> Layout:
@@ -328,7 +331,7 @@ class Block:
         one, two = np.concatenate([end, r[:-1]]), np.concatenate([end, end, r[:-2]])[: len(r)]
         one[first], two[first] = end, end
         self.words, self.end, self.r, self.one, self.two = words, end[0], r, one, two
-        self.part = layout.part(words[two], words[one]).astype(np.int32)
+        self.part = layout.part(words, two, one)
         self.number, self.common = number[order], len(layout.common)
 
     def rows(self, layout: Layout, two: np.ndarray, one: np.ndarray, r: np.ndarray) -> Iterator[tuple]:
@@ -381,6 +384,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], layout: Layout, most: int) -> Ite
 
     def made():
         doc, h = (np.concatenate(x) for x in zip(*held, strict=True))
+        held.clear()
         first = np.ones(len(doc), bool)
         first[1:] = doc[1:] != doc[:-1]
         return Block(layout, h, first), doc, list(rows)
@@ -388,12 +392,11 @@ def _blocks(batches: Iterator[pa.RecordBatch], layout: Layout, most: int) -> Ite
     for b in batches:
         for s in T.slices(b.column(b.num_columns - 1)):
             doc, h = token_stream(s)
-            held.append((doc.astype(np.int64) + docs, h))
+            held.append((doc + np.int32(docs), h))
             rows.append(b.slice(s.first, s.n).select(list(range(b.num_columns - 1))))
             docs, tokens = docs + s.n, tokens + len(h)
             if tokens >= most:
                 yield made()
-                held.clear()
                 rows.clear()
                 docs = tokens = 0
     if held:
